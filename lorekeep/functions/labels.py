@@ -65,7 +65,8 @@ def support(text: Column) -> Column:
 def use_score(text: Column) -> Column:
     """1..5, taken from the first digit after the label."""
     digit = F.regexp_extract(text, USE, 1).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), digit)), F.lit(DEFAULT_USE))
+    digit = F.coalesce(digit, F.lit(DEFAULT_USE))
+    return F.greatest(F.lit(1), F.least(F.lit(5), digit))
 
 
 def wants_retrieval(text: Column) -> Column:

@@ -113,9 +113,9 @@ def shortened(text: Column, limit: int = 300) -> Column:
 def without_noise(text: Column, extra: Sequence[str] = ()) -> Column:
     """Drop repeated page lines, squeeze runs of blank lines, trim.
 
-    The fixed patterns never overlap, so one pass serves them all; extra ones run in turn.
+    One pass per pattern: dropping a line can bring the parts of the next match together.
     """
-    for pattern in ("|".join(NOISE_LINES), *extra):
+    for pattern in (*NOISE_LINES, *extra):
         text = F.regexp_replace(text, f"(?mdU){pattern}", "")
     return stripped(F.regexp_replace(text, "\n{3,}", "\n\n"))
 

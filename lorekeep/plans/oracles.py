@@ -467,7 +467,7 @@ ORACLES = {
     "answer_labels": _with(
         _ANSWERS,
         f"read AS (SELECT doc_id, coalesce(nullif(regexp_extract(output, '{_SUP}', 1), ''), '部分支持') AS is_sup, "
-        f"coalesce(greatest(1, least(5, TRY_CAST(regexp_extract(output, '{_USE}', 1) AS BIGINT))), 3) AS is_use, "
+        f"greatest(1, least(5, coalesce(TRY_CAST(regexp_extract(output, '{_USE}', 1) AS BIGINT), 3))) AS is_use, "
         f"md5(nullif({_strip(_untag(_strip(f'array_to_string({_GROUNDED}, {_NL})')))}, '')) AS reply_md5 FROM answers)",
     )
     + "SELECT *, CAST(is_sup = '无支持' OR is_use < 3 AS BIGINT) AS retry FROM read",

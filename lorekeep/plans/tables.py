@@ -5,7 +5,7 @@ All of them are row-wise projections, so their size follows the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import FRIEND_NOTICE
@@ -17,10 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _materialised(columns: list[Column], source: DataFrame) -> DataFrame:
+    """Columns computed once per row, as if read from a file.
+
+    Plain projections are inlined into every later use; a generator is not.
+    """
+    return source.select(F.explode(F.array(F.struct(*columns))).alias("r")).select("r.*")
+
+
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rows of exported chat files, all text: one file per day, times by the hour."""
+    number = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     e = table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    e = _materialised([F.col("event_id"), F.col("ts"), F.col("user_id"), F.col("event_type"), number.alias("k")], e)
+    k = F.col("k")
     kind = F.col("event_type")
     kt = k.cast("string")
     plain = F.concat(kind, F.lit(" number "), kt)
@@ -33,7 +43,7 @@ def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "error") & (k >= 95), F.lit(" 　"))
         .otherwise(F.concat(F.lit("  "), plain, F.lit("\n")))
     )
-    return e.select(
+    columns = [
         F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv")).alias("source"),
         F.col("event_id").alias("position"),
         F.floor(F.col("event_id") / ROWS_PER_BLOCK).alias("block"),
@@ -60,7 +70,8 @@ def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k < 60, F.lit("export")).alias("src"),
         F.when(k >= 70, F.concat(F.lit("room"), kt)).otherwise(F.lit("")).alias("room_name"),
         F.when(k < 10, F.lit("1")).when(k < 20, F.lit("yes")).alias("is_forward"),
-    )
+    ]
+    return _materialised(columns, e)
 
 
 def memory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
