@@ -166,11 +166,10 @@ def new_chunks(chunks: DataFrame, tracked: DataFrame | None = None) -> DataFrame
     keyed = with_chunk_keys(chunks)
     if tracked is not None:
         keyed = keyed.join(tracked.select("text_hash"), "text_hash", "left_anti")
-    owner = keyed.groupBy("text_hash").agg(F.min("source").alias("_owner"))
-    # A text repeated in very many chunks is one hot key here: AQE splits that
-    # partition of the chunk side, the owner side has one row per text.
-    owned = keyed.join(owner, "text_hash").where(F.col("source") == F.col("_owner"))
-    return owned.drop("_owner")
+    owner = keyed.groupBy("text_hash").agg(F.min("source").alias("source"))
+    # Joined on text and file, not text alone: copies of one text in many files
+    # land in many partitions. AQE splits what one file repeats too often.
+    return keyed.join(owner, ["text_hash", "source"], "left_semi")
 
 
 def page_counts(raw: DataFrame, pages: DataFrame) -> DataFrame:

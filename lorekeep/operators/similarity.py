@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lorekeep.functions import vectors as V
 
 
+# Upper bound of tasks in a search scan: each hands k rows to the one task that
+# merges them, so that task sees at most SEARCH_TASKS * k small rows.
+SEARCH_TASKS = 16384
+
+
 def nearest(
     table: DataFrame,
     query: Sequence[float],
@@ -26,7 +31,7 @@ def nearest(
         F.col(id_col).alias("id"),
         V.distance(F.col(vector_col), V.as_literal(query), metric).alias("distance"),
     )
-    best = scored.orderBy("distance", "id").limit(k)
+    best = scored.coalesce(SEARCH_TASKS).orderBy("distance", "id").limit(k)
     # k rows in one array: ranks without a second sort.
     ordered = best.agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("hits"))
     return ordered.select(F.posexplode("hits").alias("_pos", "hit")).select(

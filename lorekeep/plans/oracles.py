@@ -488,6 +488,9 @@ ORACLES = {
     "numbered_passages": _with(_search(), recursive=True)
     + f"SELECT string_agg('[' || rank || '] ' || substr(replace({_strip('content')}, {_NL}, ' '), 1, 120), {_NL} ORDER BY rank) AS passages, "
     "count(*) AS lines FROM found WHERE rank <= 15",
+    "streamed_import": _FULL + "SELECT id, source, row_no, content, CAST(64 AS BIGINT) AS dim FROM keyed",
+    "streamed_session_tail": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations "
+    "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "session_tail": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations "
     "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "session_history": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role FROM conversations "

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import chat, context, labels, text
 from lorekeep.operators import chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats
 from lorekeep.plans import search, tables
+from lorekeep.session import checkpoint_dir
+from lorekeep.sources.collections import Collections
+from lorekeep.sources.providers import HashEmbedder
+from lorekeep.streaming.imports import start_import
+from lorekeep.streaming.sessions import MESSAGE, session_tails
 
 TRACKED_BEFORE = "2024-01-16.csv"
 STORED_UNTIL = "2024-01-20.csv"
@@ -452,6 +459,34 @@ def message_previews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ── streams ──────────────────────────────────────────────────────────────────
+
+
+def streamed_import(spark: SparkSession, sf: str) -> DataFrame:
+    """The chat rows as a stream, imported into a new collection; returns what it then holds."""
+    store = Collections(spark, f"{checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}")
+    rows = tables.chat_rows_of(tables.stream(spark, sf, "events"))
+    start_import(rows, store, "live", HashEmbedder(), f"{store.root}/checkpoint").awaitTermination()
+    return store.read("live").select("id", "source", F.col("row_no").cast("long"), "content", F.size("embedding").cast("long").alias("dim"))
+
+
+def streamed_session_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations as a stream; returns the last three messages of each session."""
+    root = f"{checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/tails/batch={batch_id}")
+
+    tails = session_tails(tables.session_messages_of(tables.stream(spark, sf, "conversations")), keep=3)
+    (
+        tails.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    updates = spark.read.schema(f"{MESSAGE}, batch long").parquet(f"{root}/tails")
+    last = updates.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    return updates.join(last, ["session_id", "batch"], "left_semi").select("session_id", "seq", "role", "content")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -465,6 +500,6 @@ QUERIES = {
         collection_sizes, write_batches, book_search, book_context, book_sources,
         relevance_labels, answer_labels, stripped_answers, retrieval_decisions, relevant_results,
         numbered_passages, session_tail, session_history, persona_parameters, persona_requests,
-        persona_stats, query_guards, message_previews,
+        persona_stats, query_guards, message_previews, streamed_import, streamed_session_tail,
     )
 }

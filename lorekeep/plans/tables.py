@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _materialised(columns: list[Column], source: DataFrame) -> DataFrame:
     """Columns computed once per row, as if read from a file.
 
@@ -26,10 +32,14 @@ def _materialised(columns: list[Column], source: DataFrame) -> DataFrame:
 
 
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rows_of(table(spark, sf_dir, "events"))
+
+
+def chat_rows_of(events: DataFrame) -> DataFrame:
     """Events as rows of exported chat files, all text: one file per day, times by the hour."""
     number = F.regexp_extract("props", r"(\d+)", 1).cast("int")
-    e = table(spark, sf_dir, "events")
-    e = _materialised([F.col("event_id"), F.col("ts"), F.col("user_id"), F.col("event_type"), number.alias("k")], e)
+    used = [F.col("event_id"), F.col("ts"), F.col("user_id"), F.col("event_type"), number.alias("k")]
+    e = _materialised(used, events)
     k = F.col("k")
     kind = F.col("event_type")
     kt = k.cast("string")
@@ -131,7 +141,11 @@ def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
+    return session_messages_of(table(spark, sf_dir, "conversations"))
+
+
+def session_messages_of(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         F.col("conv_id").cast("string").alias("session_id"),
         F.col("turn").alias("seq"),
         "role",

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions import chat
+from lorekeep.sources.csv_records import read_records
 
 ROWS_PER_BLOCK = 1_000_000
+# Files up to this size may be read by one task when their fields span lines.
+WHOLE_FILE_BYTES = 256 * 1024 * 1024
 PLACE_COLUMNS = ("source", "block", "position")
 
 
@@ -26,6 +29,7 @@ class HeaderGroup:
 
     header: tuple[str, ...]
     paths: tuple[str, ...]
+    sizes: tuple[int, ...]
 
     @property
     def format(self) -> str:
@@ -49,7 +53,7 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             with _open(path) as lines:
                 found.append(next(csv.reader(lines), []))
-        yield pd.DataFrame({"path": batch["path"], "header": found})
+        yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "header": found})
 
 
 def header_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[HeaderGroup]:
@@ -60,11 +64,15 @@ def header_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> l
         .option("recursiveFileLookup", True)
         .load(folder)
         .where(F.col("length") > 0)
-        .select("path")
+        .select("path", "length")
     )
-    headers = files.mapInPandas(_read_headers, "path string, header array<string>")
-    grouped = headers.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return [HeaderGroup(tuple(r.header), tuple(r.paths)) for r in grouped.orderBy("paths").collect() if r.header]
+    headers = files.mapInPandas(_read_headers, "path string, size long, header array<string>")
+    grouped = headers.groupBy("header").agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("files"))
+    return [
+        HeaderGroup(tuple(r.header), tuple(f.path for f in r.files), tuple(f["size"] for f in r.files))
+        for r in grouped.orderBy("files").collect()
+        if r.header
+    ]
 
 
 def _field_names(header: tuple[str, ...]) -> list[str]:
@@ -84,19 +92,24 @@ def _with_line_breaks(spark: SparkSession, paths: tuple[str, ...]) -> set[str]:
     return {_same_form(unquote(r.path)) for r in odd.collect()}
 
 
-def read_group(spark: SparkSession, group: HeaderGroup) -> DataFrame:
+def read_group(spark: SparkSession, group: HeaderGroup, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """All rows of a header group as text, with source, block and position.
 
-    Spark can split a CSV file only when no field spans lines, so just the files
-    that have such fields are read whole; each still streams through its task.
+    Spark splits a CSV file only when told that no field spans lines. Files that
+    have such fields are read whole while they are small, and record by record
+    from their lines when they are large.
     """
     names = _field_names(group.header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    whole = _with_line_breaks(spark, group.paths)
-    by_mode: dict[bool, list[str]] = {}
-    for path in group.paths:
-        by_mode.setdefault(_same_form(path) in whole, []).append(path)
-    parts = [_read(spark, schema, paths, multi_line) for multi_line, paths in by_mode.items()]
+    spanning = _with_line_breaks(spark, group.paths)
+    by_reader: dict = {}
+    for path, size in zip(group.paths, group.sizes):
+        if _same_form(path) not in spanning:
+            reader = _read_split
+        else:
+            reader = _read_whole if size <= whole_file_bytes else _read_records
+        by_reader.setdefault(reader, []).append(path)
+    parts = [reader(spark, schema, paths) for reader, paths in by_reader.items()]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -113,7 +126,7 @@ def _decoded(name: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def _read(spark: SparkSession, schema: T.StructType, paths: list[str], multi_line: bool) -> DataFrame:
+def _read_split(spark: SparkSession, schema: T.StructType, paths: list[str], multi_line: bool = False) -> DataFrame:
     rows = (
         spark.read.schema(schema)
         .option("header", True)
@@ -123,14 +136,33 @@ def _read(spark: SparkSession, schema: T.StructType, paths: list[str], multi_lin
         .option("maxCharsPerColumn", -1)
         .csv(paths)
     )
-    path = F.col("_metadata.file_path")
+    start = F.col("_metadata.file_block_start")
+    return _placed(rows, F.col("_metadata.file_path"), start, F.monotonically_increasing_id())
+
+
+def _read_whole(spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
+    return _plain_breaks(_read_split(spark, schema, paths, multi_line=True), schema)
+
+
+def _read_records(spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
+    rows = _plain_breaks(read_records(spark, schema, paths), schema)
+    return _placed(rows, F.col("path"), F.lit(0).cast("long"), F.col("record_no").cast("long")).drop("path", "record_no")
+
+
+def _plain_breaks(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Line breaks inside fields as \\n, however the file writes them."""
+    crlf, cr, lf = F.lit("\r\n"), F.lit("\r"), F.lit("\n")
+    return rows.withColumns({n: F.replace(F.replace(F.col(f"`{n}`"), crlf, lf), cr, lf) for n in schema.names})
+
+
+def _placed(rows: DataFrame, path: Column, start: Column, row: Column) -> DataFrame:
+    """Adds source, block and position."""
     # Written tables keep the file name in a folder name, source=<name>.
     folder = _decoded(_decoded(F.regexp_extract(path, r"/source=([^/]+)/", 1)))
-    name = F.when(folder != "", folder).otherwise(F.col("_metadata.file_name"))
-    start, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    own = _decoded(F.regexp_extract(path, r"([^/]+)$", 1))
     return rows.select(
         "*",
-        name.alias("source"),
+        F.when(folder != "", folder).otherwise(own).alias("source"),
         F.struct(path.alias("path"), start.alias("start"), F.floor(row / ROWS_PER_BLOCK).alias("part")).alias("block"),
         F.struct(path.alias("path"), start.alias("start"), row.alias("row")).alias("position"),
     )

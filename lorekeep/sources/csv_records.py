@@ -1,0 +1,104 @@
+"""Records of large CSV files whose quoted fields span lines, read by many tasks.
+
+Spark reads such a file in one task. Here the file is read as lines, which split
+freely. Whether a line starts inside quotes follows from what each earlier line
+does to that state: set it, keep it or flip it. Blocks of lines are summed up in
+one row each, so no window spans more than a block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lorekeep.operators.ordering import number_in_order
+
+LINES_PER_BLOCK = 1_000_000
+
+_QUOTED = r'"(?:[^"]++|"")*+'
+_FIELD = rf'{_QUOTED}"[^,]*+|[^",][^,]*+'
+# The last field of a line opens a quote: from outside quotes, and after the close of an open one.
+_OPENS = rf'^(?:(?:{_FIELD}|),)*+{_QUOTED}$'
+_STAYS_OPEN = rf'^(?:[^"]++|"")*+(?:"[^,]*+(?:,(?:{_FIELD}|(?=,|$)))*+,{_QUOTED})?$'
+
+
+def _states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], effect: str, out: str) -> DataFrame:
+    """Effect of all rows of a window before each one: '0', '1', 'flip' or 'keep'."""
+    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy(*order)
+    flip = F.when(F.col(effect) == "flip", 1).otherwise(0)
+    rows = rows.withColumn("_flips", F.sum(flip).over(upto))
+    set_here = F.when(F.col(effect).isin("0", "1"), F.struct(F.col(effect).cast("int").alias("v"), F.col("_flips").alias("f")))
+    rows = rows.withColumn("_set", F.last(set_here, ignorenulls=True).over(upto))
+    value = F.when(
+        F.col("_set").isNotNull(), F.pmod(F.col("_set.v") + F.col("_flips") - F.col("_set.f"), F.lit(2)).cast("string")
+    ).otherwise(F.when(F.col("_flips") % 2 == 1, "flip").otherwise("keep"))
+    rows = rows.withColumn("_total", value)
+    return rows.withColumn(out, F.lag("_total", 1, "keep").over(before)).drop("_flips", "_set")
+
+
+def _applied(effect: Column, state: Column) -> Column:
+    return F.when(effect.isin("0", "1"), effect.cast("int")).when(effect == "flip", 1 - state).otherwise(state)
+
+
+def record_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, record_no (1 = header) and text of every record, blank ones included."""
+    row = F.monotonically_increasing_id()
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.floor(row / LINES_PER_BLOCK).alias("part")).alias("block"),
+        row.alias("row"),
+    )
+    opens, stays = F.col("line").rlike(_OPENS), F.col("line").rlike(_STAYS_OPEN)
+    effect = (
+        F.when(~F.col("line").contains('"'), F.lit("keep"))
+        .when(opens & stays, F.lit("1"))
+        .when(~opens & ~stays, F.lit("0"))
+        .when(opens, F.lit("flip"))
+        .otherwise(F.lit("keep"))
+    )
+    inside = _states(lines.withColumn("_effect", effect), ["path", "block"], ["row"], "_effect", "_before")
+    # One row per block: what the whole block does to the state.
+    blocks = inside.groupBy("path", "block").agg(F.max_by("_total", "row").alias("_total"))
+    incoming = _states(blocks.withColumnRenamed("_total", "_block_effect"), ["path"], ["block"], "_block_effect", "_to_here")
+    at_start = incoming.select("path", "block", _applied(F.col("_to_here"), F.lit(0)).alias("_incoming"))
+    quoted = inside.join(at_start, ["path", "block"]).select(
+        "path", "block", "row", "line", _applied(F.col("_before"), F.col("_incoming")).alias("in_quotes")
+    )
+    starts = quoted.where(F.col("in_quotes") == 0)
+    numbered = number_in_order(starts.select("path", "block", "row"), ["path"], "block", ["row"], "record_no")
+    return _joined(quoted, numbered)
+
+
+def _joined(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """Lines put together under the record that starts at or before them."""
+    keys = ["path", "block", "row"]
+    marked = lines.drop("in_quotes").join(starts, keys, "left")
+    blocks = marked.groupBy("path", "block").agg(F.max("record_no").alias("_last"))
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    incoming = blocks.select("path", "block", F.max("_last").over(earlier).alias("_carried"))
+    so_far = W.partitionBy("path", "block").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    filled = marked.withColumn("_here", F.max("record_no").over(so_far)).join(incoming, ["path", "block"])
+    owner = F.coalesce("_here", "_carried")
+    parts = F.array_sort(F.collect_list(F.struct("block", "row", "line")))
+    return (
+        filled.groupBy("path", owner.alias("record_no"))
+        .agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
+    )
+
+
+def read_records(spark: SparkSession, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
+    """Fields of all records but the header, with path and record_no."""
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    records = record_texts(spark, paths).where((F.col("record_no") > 1) & (F.col("text") != ""))
+    parsed = records.select("path", "record_no", F.from_csv("text", _ddl(schema), options).alias("r"))
+    return parsed.select("path", "record_no", "r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)

@@ -53,12 +53,16 @@ def start_import(
     checkpoint: str,
     **trigger,
 ) -> StreamingQuery:
-    """Import every micro-batch into the collection. Default trigger: all files there are, then stop."""
+    """Import every micro-batch of raw chat rows into the collection.
+
+    Default trigger: all files there are, then stop. Rows without block and
+    position get them from their place in the micro-batch.
+    """
     spark = stream.sparkSession
     store.open(collection, metric="l2")
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        documents = documents_of(with_places(batch))
+        documents = documents_of(batch if "position" in batch.columns else with_places(batch))
         new = chatrows.unseen(documents, chat_tracking(spark, store.root, collection).read(), "record_hash")
         import_documents(new, store, collection, embedder, batch_id + 1)
 

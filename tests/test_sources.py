@@ -61,6 +61,47 @@ def test_formats_and_rows(spark, folder):
         chat_csv.read_chat(spark, folder, "c*.csv")
 
 
+def test_large_files_read_record_by_record_equal_the_csv_reader(spark, tmp_path, monkeypatch):
+    """Random files with quotes, breaks and stray quotes; small splits and blocks."""
+    import io
+    import random
+
+    from lorekeep.sources import csv_records
+
+    monkeypatch.setattr(csv_records, "LINES_PER_BLOCK", 4)
+    rng = random.Random(17)
+    pieces = ["word", 'say "hi"', "two\nlines", "a,b", "", " ", "3\n\n4", '"', 'x"y', "语", "\r\nz"]
+    d = tmp_path / "csv"
+    d.mkdir()
+    header = ["is_sender", "talker", "msg"]
+    for n in range(6):
+        text = io.StringIO()
+        end = "\r\n" if n % 2 else "\n"
+        w = csv.writer(text, lineterminator=end, quoting=csv.QUOTE_ALL if n == 5 else csv.QUOTE_MINIMAL)
+        w.writerow(header)
+        for i in range(120):
+            w.writerow([i, *("".join(rng.choices(pieces, k=rng.randint(1, 3))) for _ in range(2))])
+            if n >= 3 and rng.random() < 0.2:
+                # Stray quotes inside unquoted fields, as hand-made files have them.
+                odd = ['0,5" disk,ok', '0,a"b"c,"q\nr"', '1,x"y,"open ""it""\n2,closed"', ',,"m\n"', ""]
+                text.write(rng.choice(odd) + end)
+        (d / f"f{n}.csv").write_bytes(text.getvalue().encode())
+    (group,) = chat_csv.header_groups(spark, str(d))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        split = chat_csv.read_group(spark, group, whole_file_bytes=0).orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = chat_csv.read_group(spark, group).orderBy("position").collect()
+    assert len(whole) > 720
+    for a, b in zip(split, whole, strict=True):
+        assert [a[n] for n in (*header, "source")] == [b[n] for n in (*header, "source")]
+    with open(d / "f4.csv", encoding="utf-8") as f:
+        python = [(r["talker"] or None, r["msg"] or None) for r in csv.DictReader(f)]
+    assert [(r.talker, r.msg) for r in split if r.source == "f4.csv"] == python
+
+
 def test_row_order_survives_many_splits(spark, tmp_path):
     d = tmp_path / "csv"
     d.mkdir()
