@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -24,24 +25,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 when either vector has no length."""
-    length = norm(a) * norm(b)
-    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
-
-
 def squared_l2(a: Column, b: Column) -> Column:
     gaps = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
     return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x * x)
 
 
-def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Smaller is nearer: 1 - cosine, or squared Euclidean distance."""
-    if metric == "cosine":
-        return F.lit(1.0) - cosine(a, b)
+def distance_to(a: Column, query: Sequence[float], metric: str = "cosine") -> Column:
+    """Distance of a vector column to one query, smaller is nearer: 1 - cosine, or squared Euclidean.
+
+    The query is scaled here, once, so that a row costs one product and one norm.
+    """
     if metric == "l2":
-        return squared_l2(a, b)
-    raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
+        return squared_l2(a, as_literal(query))
+    if metric != "cosine":
+        raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
+    size = math.sqrt(sum(float(x) ** 2 for x in query))
+    target = as_literal([float(x) / size if size else 0.0 for x in query])
+    length = norm(a)
+    return F.when(length == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, target) / length)
 
 
 def unit(a: Column) -> Column:

@@ -44,19 +44,21 @@ def time_neighbours(
     in time of all records in the window.
     """
     window = window_minutes * 60
-    timed = [(int(rank), int(t)) for rank, t in anchors if t is not None and t > 0]
-    if window <= 0:
-        timed = []
+    timed: dict[int, list[int]] = {}
+    for rank, t in anchors:
+        if window > 0 and t is not None and t > 0:
+            timed.setdefault(int(t), []).append(int(rank))
     spark = records.sparkSession
+    # Anchors of one time share their neighbours, so each time is probed once.
     # Window-sized buckets: a record in the window of an anchor lies in the
     # anchor's bucket or in one next to it.
     probes = spark.createDataFrame(
-        [(rank, t, t // window + step) for rank, t in timed for step in (-1, 0, 1)],
-        "anchor_rank int, anchor_time long, _bucket long",
+        [(ranks, t, t // window + step) for t, ranks in timed.items() for step in (-1, 0, 1)],
+        "_ranks array<int>, anchor_time long, _bucket long",
     )
     # The same windows as ranges: they reach the scan and skip row groups.
     near_any = F.lit(False)
-    for low, high in merged_windows([t for _, t in timed], window):
+    for low, high in merged_windows(list(timed), window):
         near_any = near_any | F.col("chat_time").between(low, high)
     close = (
         records.where(near_any)
@@ -66,7 +68,7 @@ def time_neighbours(
         .drop("_bucket")
     )
     gap = F.abs(F.col("chat_time") - F.col("anchor_time"))
-    by_anchor = W.partitionBy("anchor_rank")
+    by_anchor = W.partitionBy("anchor_time")
     if mode == "nearest":
         close = _numbered(close, by_anchor.orderBy(gap, *store_order), "_near", per_anchor)
     elif mode == "earliest":
@@ -75,7 +77,8 @@ def time_neighbours(
         raise ValueError(f"unknown mode {mode!r}")
     kept = _numbered(close, by_anchor.orderBy("chat_time", *store_order), "neighbour_pos", per_anchor)
     proximity = F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(float(max(window, 1))))
-    return kept.withColumn("proximity", proximity).drop("_near", "_stored")
+    ranked = kept.withColumn("proximity", proximity).withColumn("anchor_rank", F.explode("_ranks"))
+    return ranked.drop("_near", "_stored", "_ranks")
 
 
 def _numbered(df: DataFrame, window, name: str, n: int) -> DataFrame:

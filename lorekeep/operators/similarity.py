@@ -29,7 +29,7 @@ def nearest(
     """
     scored = table.where(F.col(vector_col).isNotNull()).select(
         F.col(id_col).alias("id"),
-        V.distance(F.col(vector_col), V.as_literal(query), metric).alias("distance"),
+        V.distance_to(F.col(vector_col), query, metric).alias("distance"),
     )
     best = scored.coalesce(SEARCH_TASKS).orderBy("distance", "id").limit(k)
     # k rows in one array: ranks without a second sort.

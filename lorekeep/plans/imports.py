@@ -83,12 +83,17 @@ def documents_of(raw: DataFrame) -> DataFrame:
 
 
 def import_documents(
-    documents: DataFrame, store: Collections, collection: str, embedder: Embedder, import_no: int
+    documents: DataFrame,
+    store: Collections,
+    collection: str,
+    embedder: Embedder,
+    import_no: int,
+    embed_tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Embed and upsert new documents, track what was stored. Returns (all rows, stored rows), staged."""
     spark = documents.sparkSession
     documents = staged(documents.withColumn("import_no", F.lit(import_no)))
-    embedded = staged(with_embeddings(chatrows.with_upsert_ids(documents), embedder))
+    embedded = staged(with_embeddings(chatrows.with_upsert_ids(documents), embedder, tasks=embed_tasks))
     written = embedded.where(F.col("embedding").isNotNull())
     store.upsert(collection, written.drop("record_hash"))
     # Copies of a stored record count as imported; rows whose embedding failed do not.
@@ -107,6 +112,7 @@ def import_chat(
     incremental: bool = True,
     personas: PersonaStore | None = None,
     persona_id: str | None = None,
+    embed_tasks: int | None = None,
 ) -> ImportReport:
     """Import chat files into a collection; a full import replaces it."""
     tracking = chat_tracking(spark, store.root, collection)
@@ -120,7 +126,7 @@ def import_chat(
     import_no = 1
     if store.has_rows(collection):
         import_no = (store.read(collection).agg(F.max("import_no")).head()[0] or 0) + 1
-    new, written = import_documents(documents, store, collection, embedder, import_no)
+    new, written = import_documents(documents, store, collection, embedder, import_no, embed_tasks)
     limits = stats.reply_token_limit(new).head()
     n_new, n_written = new.count(), written.count()
     size = store.read(collection).count() if store.has_rows(collection) else 0
@@ -156,6 +162,7 @@ def import_books(
     embedder: Embedder,
     incremental: bool = True,
     pattern: str | None = None,
+    embed_tasks: int | None = None,
     **cut,
 ) -> BookReport:
     """Import all books of a folder into a collection; a full import replaces it."""
@@ -166,7 +173,7 @@ def import_books(
         store.delete(collection)
     store.open(collection, metric="cosine")
     selected = pages.new_chunks(chunks, tracking.read()).withColumnRenamed("text", "content")
-    embedded = staged(with_embeddings(selected, embedder))
+    embedded = staged(with_embeddings(selected, embedder, tasks=embed_tasks))
     written = embedded.where(F.col("embedding").isNotNull())
     store.upsert(collection, written.drop("text_hash"), sort_by=None)
     tracking.add(written)

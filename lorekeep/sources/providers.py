@@ -115,12 +115,17 @@ def embed_with_retry(embedder: Embedder, texts: Sequence[str], tries: int = EMBE
     return None
 
 
-def with_embeddings(df: DataFrame, embedder: Embedder, text_col: str = "content", batch: int = EMBED_BATCH) -> DataFrame:
+def with_embeddings(
+    df: DataFrame, embedder: Embedder, text_col: str = "content", batch: int = EMBED_BATCH, tasks: int | None = None
+) -> DataFrame:
     """Rows with an `embedding` column, NULL for batches that could not be embedded.
 
     Only the text travels to Python and its vector back, row by row in order.
+    `tasks` sets how many calls run at a time, for services slower than the scan.
     Stage the result before using it twice: a second use would embed again.
     """
+    if tasks:
+        df = df.repartition(tasks)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
