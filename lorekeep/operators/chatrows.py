@@ -45,6 +45,21 @@ def cleaning_counts(raw: DataFrame) -> DataFrame:
     return counts.withColumn("saved_pct", _saved())
 
 
+def counts_beside(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The same counts from raw rows and rows already cleaned, without finding the copies again."""
+    read = raw.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(_valid()).alias("_valid"))
+    left = cleaned.groupBy("source").agg(F.count(F.lit(1)).alias("_kept"))
+    kept = F.coalesce(F.col("_kept"), F.lit(0))
+    counts = read.join(left, "source", "left").select(
+        "source",
+        "total",
+        (F.col("total") - F.col("_valid")).alias("filtered"),
+        (F.col("_valid") - kept).alias("duplicates"),
+        kept.alias("kept"),
+    )
+    return counts.withColumn("saved_pct", _saved())
+
+
 def _saved() -> Column:
     gone = F.col("total") - F.col("kept")
     return F.round(F.try_divide(gone * F.lit(100.0), F.col("total")), 1)
@@ -97,6 +112,17 @@ def unseen(rows: DataFrame, tracked: DataFrame, key: str) -> DataFrame:
     return rows.join(tracked.select(key), key, "left_anti")
 
 
+def without_known(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Incoming rows whose keys are not stored, for few incoming rows against a large store.
+
+    The store is first reduced to the keys that come in: Spark broadcasts those, or
+    builds a Bloom filter from them, instead of shuffling the whole store. `incoming`
+    is read twice and must be cheap to read.
+    """
+    known = stored.select(*keys).join(incoming.select(*keys), keys, "left_semi").distinct()
+    return incoming.join(known, keys, "left_anti")
+
+
 def load_counts(numbered: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
     """Per file: records read, skipped by the message filter, already imported, new."""
     marked = numbered.select(

@@ -60,22 +60,28 @@ def _after_heading(state: Column, line: Column) -> Column:
     return F.struct(chapter.alias("chapter"), section.alias("section"))
 
 
-def with_headings(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
-    """Chapter and section in force at the end of each page of a file."""
-    marked = pages.withColumn("_head", _page_headings(F.col("text"))).select(
-        "*",
+def heading_events(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+    """Pages with the headings they set (NULL = none) and their block of the file."""
+    return pages.withColumn("_head", _page_headings(F.col("text"))).select(
+        *pages.columns,
         F.col("_head.chapter").alias("_chapter"),
         F.col("_head.section").alias("_section"),
         F.floor(F.col("page") / pages_per_block).alias("_block"),
     )
-    carried = carry_forward(
-        marked,
-        ["source"],
-        "_block",
-        "page",
-        {"chapter": ("_chapter", FIRST_CHAPTER), "section": ("_section", "")},
-    )
-    return carried.drop("_head", "_chapter", "_section", "_block")
+
+
+def carried_headings(marked: DataFrame) -> DataFrame:
+    """Chapter and section in force at the end of each page of a file.
+
+    `marked` is read twice, for the pages and for the ends of blocks: a staged
+    table spares the second reading of the texts.
+    """
+    events = {"chapter": ("_chapter", FIRST_CHAPTER), "section": ("_section", "")}
+    return carry_forward(marked, ["source"], "_block", "page", events).drop("_chapter", "_section", "_block")
+
+
+def with_headings(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+    return carried_headings(heading_events(pages, pages_per_block))
 
 
 def _paragraphs(page_text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +20,15 @@ def nearest(
     query: Sequence[float],
     k: int,
     metric: str = "cosine",
-    id_col: str = "id",
-    vector_col: str = "embedding",
 ) -> DataFrame:
-    """The k nearest rows as (id, distance, rank). Exact; only id and distance are sorted.
+    """The k nearest rows of a table with id and embedding, as (id, distance, rank).
+
+    Exact; only id and distance are sorted.
 
     Each task keeps its own k rows (TakeOrderedAndProject) before anything moves.
     """
-    scored = table.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).alias("id"),
-        V.distance_to(F.col(vector_col), query, metric).alias("distance"),
+    scored = table.where(F.col("embedding").isNotNull()).select(
+        "id", V.distance_to(F.col("embedding"), query, metric).alias("distance")
     )
     best = scored.coalesce(SEARCH_TASKS).orderBy("distance", "id").limit(k)
     # k rows in one array: ranks without a second sort.
@@ -39,23 +38,26 @@ def nearest(
     )
 
 
+def by_id(table: DataFrame, ids: list) -> DataFrame:
+    """Rows of a few ids. The ids reach the scan as an IN filter."""
+    return table.where(F.col("id").isin(ids))
+
+
 def candidates_for(
     table: DataFrame,
     query: Sequence[float],
     fetch_k: int,
     metric: str = "cosine",
-    id_col: str = "id",
-    vector_col: str = "embedding",
+    pick: Callable[[DataFrame, list], DataFrame] = by_id,
 ) -> DataFrame:
     """Vectors of the fetch_k nearest rows.
 
     The first pass ships ids and distances only. Its at most fetch_k ids come
-    to the driver and go back to the scan as an IN filter, so that the second
-    pass reads only row groups that can hold them.
+    to the driver and go back to the scan, so that the second pass reads only
+    the buckets and row groups that can hold them.
     """
-    ids = [row.id for row in nearest(table, query, fetch_k, metric, id_col, vector_col).collect()]
-    picked = table.where(F.col(id_col).isin(ids))
-    return picked.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
+    ids = [row.id for row in nearest(table, query, fetch_k, metric).collect()]
+    return pick(table, ids).select("id", "embedding")
 
 
 def _let(value: Column, body) -> Column:
@@ -125,9 +127,7 @@ def mmr(
     fetch_k: int,
     lambda_mult: float = 0.6,
     metric: str = "cosine",
-    id_col: str = "id",
-    vector_col: str = "embedding",
+    pick: Callable[[DataFrame, list], DataFrame] = by_id,
 ) -> DataFrame:
     """Fetch fetch_k nearest rows, then select k of them for relevance and variety."""
-    pool = candidates_for(table, query, fetch_k, metric, id_col, vector_col)
-    return diverse_selection(pool, query, k, lambda_mult)
+    return diverse_selection(candidates_for(table, query, fetch_k, metric, pick), query, k, lambda_mult)

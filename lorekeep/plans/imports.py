@@ -37,27 +37,23 @@ def clean_chat_folder(
     the folder; `out` is not used.
     """
     groups = chat_csv.header_groups(spark, folder, pattern)
-    target = folder if in_place else out
-    counts, parts = None, []
+    if not groups:
+        raise ValueError(f"no file matches {folder}/{pattern}")
+    counts, copies = None, []
     for group in groups:
         raw = chat_csv.read_group(spark, group)
         full = _cleanable(raw)
-        part = chatrows.cleaning_counts(full)
+        # Staged once: it serves the counts and the output, and outlives the input.
+        copy = staged(chatrows.cleaned_rows(full).select(*raw.columns))
+        part = chatrows.counts_beside(full, copy)
         counts = part if counts is None else counts.unionByName(part)
-        parts.append((chatrows.cleaned_rows(full).select(*raw.columns), raw.schema))
-    if counts is None:
-        raise ValueError(f"no file matches {folder}/{pattern}")
+        copies.append(copy)
     counts = staged(counts)
-    if not in_place:
-        for rows, _ in parts:
-            chat_csv.write_clean(rows, target)
-        return counts
-    # The input is gone once it is replaced, so every part is on disk before that.
-    copies = [staged(rows) for rows, _ in parts]
-    for path in [p for g in groups for p in g.paths]:
-        files.delete(spark, path)
-    for rows in copies:
-        chat_csv.write_clean(rows, target)
+    if in_place:
+        for path in [p for g in groups for p in g.paths]:
+            files.delete(spark, path)
+    for copy in copies:
+        chat_csv.write_clean(copy, folder if in_place else out)
     return counts
 
 
@@ -90,7 +86,7 @@ def import_documents(
     import_no: int,
     embed_tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Embed and upsert new documents, track what was stored. Returns (all rows, stored rows), staged."""
+    """Embed and upsert new documents, track what was stored. Returns (all, unique embedded), staged."""
     spark = documents.sparkSession
     documents = staged(documents.withColumn("import_no", F.lit(import_no)))
     embedded = staged(with_embeddings(chatrows.with_upsert_ids(documents), embedder, tasks=embed_tasks))
@@ -99,7 +95,7 @@ def import_documents(
     # Copies of a stored record count as imported; rows whose embedding failed do not.
     keyed = documents.withColumn("id", chatrows.chat.upsert_id(F.col("source"), F.col("chat_time"), F.col("msg_content")))
     chat_tracking(spark, store.root, collection).add(keyed.join(written.select("id"), "id", "left_semi"))
-    return documents, written
+    return documents, embedded
 
 
 def import_chat(
@@ -126,15 +122,15 @@ def import_chat(
     import_no = 1
     if store.has_rows(collection):
         import_no = (store.read(collection).agg(F.max("import_no")).head()[0] or 0) + 1
-    new, written = import_documents(documents, store, collection, embedder, import_no, embed_tasks)
+    new, embedded = import_documents(documents, store, collection, embedder, import_no, embed_tasks)
     limits = stats.reply_token_limit(new).head()
-    n_new, n_written = new.count(), written.count()
+    n_new, n_unique = new.count(), embedded.count()
+    n_written = embedded.where(F.col("embedding").isNotNull()).count()
     size = store.read(collection).count() if store.has_rows(collection) else 0
     if personas is not None and persona_id is not None and n_new:
         personas.set_doc_count(persona_id, size)
         personas.set_max_tokens(persona_id, limits.max_tokens)
-    unique = chatrows.with_upsert_ids(new).count()
-    return ImportReport(n_new, n_written, unique - n_written, limits.max_tokens, size)
+    return ImportReport(n_new, n_written, n_unique - n_written, limits.max_tokens, size)
 
 
 # ── book import ──────────────────────────────────────────────────────────────
@@ -149,8 +145,15 @@ class BookReport:
     collection_size: int
 
 
-def book_chunks(raw_pages: DataFrame, size: int = pages.CHUNK_CHARS, overlap: int = pages.OVERLAP_CHARS, extra_noise: Sequence[str] = ()) -> DataFrame:
-    return pages.page_chunks(pages.with_headings(pages.cleaned_pages(raw_pages, extra_noise)), size, overlap)
+def book_chunks(
+    raw_pages: DataFrame,
+    size: int = pages.CHUNK_CHARS,
+    overlap: int = pages.OVERLAP_CHARS,
+    extra_noise: Sequence[str] = (),
+) -> DataFrame:
+    """Chunks of raw pages. The cleaned pages are staged, so that no text is cleaned twice."""
+    marked = staged(pages.heading_events(pages.cleaned_pages(raw_pages, extra_noise)))
+    return pages.page_chunks(pages.carried_headings(marked), size, overlap)
 
 
 def import_books(

@@ -45,13 +45,18 @@ def _system(content: Column) -> Column:
     return message("system", content)
 
 
-def routed(requests: DataFrame, model: ChatModel, words: Wording) -> DataFrame:
-    """Adds `retrieve`: whether the request wants passages."""
+def routed(requests: DataFrame, model: ChatModel, words: Wording, raw_markup: bool = False) -> DataFrame:
+    """Adds `retrieve`: whether the request wants passages.
+
+    Answers of local models carry markup of their own (`raw_markup`); it is
+    removed first, bracket labels included, so the word decides.
+    """
     asked = requests.withColumn(
         "_ask", F.array(_user(F.concat(F.lit(words.routing), F.col("query"))))
     ).withColumn("_tokens", F.lit(ROUTING_TOKENS))
     answered = with_replies(asked, model, "_ask", "_tokens", "_routing")
-    return answered.withColumn("retrieve", labels.wants_retrieval(F.col("_routing"))).drop("_ask", "_tokens", "_routing")
+    text = labels.without_model_markup(F.col("_routing")) if raw_markup else F.col("_routing")
+    return answered.withColumn("retrieve", labels.wants_retrieval(text)).drop("_ask", "_tokens", "_routing")
 
 
 def _by_rank(hits: Column) -> Column:
@@ -128,15 +133,17 @@ def reflective_answers(
     critique: bool = True,
     use_threshold: int = 3,
     budget: int = 2000,
+    router: ChatModel | None = None,
+    router_markup: bool = False,
 ) -> DataFrame:
     """request_id, reply, error, is_sup, is_use, retried.
 
     Answers that follow from passages and miss the quality gate are asked once
     more; the second answer counts when there is one. Model calls are staged, so
-    no call runs twice.
+    no call runs twice. `router` is a model of its own for the routing step.
     """
     empty = F.array().cast(requests.schema["hits"].dataType)
-    seen = staged(routed(requests, model, words))
+    seen = staged(routed(requests, router or model, words, router_markup))
     seen = seen.withColumn("hits", F.when(F.col("retrieve"), F.coalesce("hits", empty)).otherwise(empty))
     first = staged(_answered(judged(seen, model, words), model, words, budget))
     from_search = F.col("retrieve") & (F.size("hits") > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import results as R
 from lorekeep.operators.neighbours import time_neighbours
-from lorekeep.operators.similarity import mmr
+from lorekeep.operators.similarity import by_id, mmr
 
 
 @dataclass(frozen=True)
@@ -44,18 +44,21 @@ class BookSearch:
         return max(self.k * 4, 40)
 
 
-def _selected(vectors: DataFrame, query: Sequence[float], p: ChatSearch | BookSearch) -> dict:
+Pick = Callable[[DataFrame, list], DataFrame]
+
+
+def _selected(vectors: DataFrame, query: Sequence[float], p: ChatSearch | BookSearch, pick: Pick) -> dict:
     """id -> rank of the selected rows: at most k entries."""
-    chosen = mmr(vectors, query, p.k, p.fetch_k, p.lambda_mult, p.metric)
+    chosen = mmr(vectors, query, p.k, p.fetch_k, p.lambda_mult, p.metric, pick)
     return {row.id: row.rank for row in chosen.collect()}
 
 
-def _ranked(records: DataFrame, ranks: dict) -> DataFrame:
-    """The selected records with their rank. The ids reach the scan as an IN filter."""
+def _ranked(records: DataFrame, ranks: dict, pick: Pick) -> DataFrame:
+    """The selected records with their rank."""
     spark = records.sparkSession
     id_type = records.schema["id"].dataType.simpleString()
     table = spark.createDataFrame(list(ranks.items()), f"id {id_type}, rank int")
-    return records.where(F.col("id").isin(list(ranks))).join(F.broadcast(table), "id")
+    return pick(records, list(ranks)).join(F.broadcast(table), "id")
 
 
 def chat_search(
@@ -64,13 +67,15 @@ def chat_search(
     query: Sequence[float],
     params: ChatSearch = ChatSearch(),
     store_order: Sequence[str] = ("seq",),
+    pick: Pick = by_id,
 ) -> DataFrame:
     """Ranked results for a query vector: selected hits plus their neighbours in time.
 
     `vectors` has id and embedding; `records` has id, content, chat_time and any metadata.
+    `pick` reads the rows of a few ids from either.
     """
-    ranks = _selected(vectors, query, params)
-    hits = _ranked(records, ranks)
+    ranks = _selected(vectors, query, params, pick)
+    hits = _ranked(records, ranks, pick)
     near = None
     if params.include_nearby:
         times = [(r.rank, r.chat_time) for r in hits.select("rank", "chat_time").collect()]
@@ -81,10 +86,15 @@ def chat_search(
 
 
 def book_search(
-    vectors: DataFrame, chunks: DataFrame, query: Sequence[float], params: BookSearch = BookSearch()
+    vectors: DataFrame,
+    chunks: DataFrame,
+    query: Sequence[float],
+    params: BookSearch = BookSearch(),
+    pick: Pick = by_id,
 ) -> DataFrame:
     """Ranked passages for a query vector. `chunks` has id, content, source, page, chapter, section."""
-    return R.unique_passages(_ranked(chunks, _selected(vectors, query, params)), params.max_total_results)
+    ranks = _selected(vectors, query, params, pick)
+    return R.unique_passages(_ranked(chunks, ranks, pick), params.max_total_results)
 
 
 def chain_context(
@@ -92,5 +102,5 @@ def chain_context(
 ) -> DataFrame:
     """Context of the question-answering chain: selected records joined by a blank line."""
     chosen = mmr(vectors, query, k, fetch_k, lambda_mult, "l2")
-    ranked = _ranked(records, {row.id: row.rank for row in chosen.collect()})
+    ranked = _ranked(records, {row.id: row.rank for row in chosen.collect()}, by_id)
     return R.joined_lines(ranked, F.col("content"), separator="\n\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -109,8 +110,9 @@ class ChatService:
             metric=self.store.open(persona.collection),
         )
         vector = self.embedder.embed([self.search_query(query, persona)])[0]
-        rows = self.store.read(persona.collection)
-        return chat_search(rows.select("id", "embedding"), rows.drop("embedding"), vector, params, STORE_ORDER)
+        rows, pick = self.store.searchable(persona.collection)
+        vectors = rows.select("id", "embedding", "bucket")
+        return chat_search(vectors, rows.drop("embedding"), vector, params, STORE_ORDER, pick)
 
     # ── calls ──
 
@@ -209,11 +211,11 @@ class TutorService:
             answer = self.model.reply(asked, TUTOR_REWRITE_TOKENS)
             query = query if _blank(answer) else answer.strip(SPACES)
         vector = self.embedder.embed([query])[0]
-        rows = self.store.read(self.collection)
-        return book_search(rows.select("id", "embedding"), rows.drop("embedding"), vector, params)
+        rows, pick = self.store.searchable(self.collection)
+        return book_search(rows.select("id", "embedding", "bucket"), rows.drop("embedding"), vector, params, pick)
 
-    def chat(self, message: str, session_id: str = "tutor-default") -> dict:
-        """reply and up to three cited chapters."""
+    def _asked(self, message: str, session_id: str) -> tuple[list[dict[str, str]], list[dict]]:
+        """Messages for the model and up to three cited chapters; keeps the question."""
         message = (message or "").strip(SPACES)
         if not message:
             raise RequestError(400, "the message is empty")
@@ -228,12 +230,30 @@ class TutorService:
         system = self.prompts.tutor_system
         if text:
             system = f"{self.prompts.tutor_context}{text}\n\n{system}"
-        reply = self.model.reply([{"role": "system", "content": system}, *messages], TUTOR_MAX_TOKENS)
+        return [{"role": "system", "content": system}, *messages], sources
+
+    def chat(self, message: str, session_id: str = "tutor-default") -> dict:
+        """The reply and its sources."""
+        messages, sources = self._asked(message, session_id)
+        reply = self.model.reply(messages, TUTOR_MAX_TOKENS)
         if reply is None:
             raise RequestError(500, "the model gave no answer")
         self.sessions.add(session_id, "assistant", reply)
         return {"reply": reply, "sources": sources}
 
+    def chat_events(self, message: str, session_id: str = "tutor-default") -> Iterator[dict]:
+        """The same as events: sources, then tokens, then done. Models without `stream` give one token."""
+        messages, sources = self._asked(message, session_id)
+        yield {"type": "sources", "sources": sources}
+        stream = getattr(self.model, "stream", None)
+        tokens = stream(messages, TUTOR_MAX_TOKENS) if stream else [self.model.reply(messages, TUTOR_MAX_TOKENS) or ""]
+        said = []
+        for token in tokens:
+            said.append(token)
+            yield {"type": "token", "content": token}
+        yield {"type": "done"}
+        self.sessions.add(session_id, "assistant", "".join(said))
+
     def reset(self, session_id: str = "tutor-default") -> None:
         self.sessions.reset(session_id)
 

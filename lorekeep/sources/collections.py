@@ -7,22 +7,32 @@ A collection lives in <root>/<name>: `about` holds one row with its metric,
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.session import checkpoint_dir
 from lorekeep.sources import files
 
 
+def _staging(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: later uses do not repeat its work."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{_staging(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged. Tables returned from it can no longer be read."""
+    files.delete(spark, _staging(spark))
+
+
 class Collections:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -36,10 +46,13 @@ class Collections:
     def open(self, name: str, metric: str = "l2") -> str:
         """Create the collection if it is new; returns its metric."""
         if not files.exists(self.spark, self._about(name)):
-            about = self.spark.createDataFrame([(name, metric)], "name string, metric string")
+            about = self.spark.createDataFrame([(name, metric, self.buckets)], "name string, metric string, buckets int")
             about.coalesce(1).write.parquet(self._about(name))
         return self.spark.read.parquet(self._about(name)).head().metric
 
+    def _buckets_of(self, name: str) -> int:
+        return self.spark.read.parquet(self._about(name)).head().buckets
+
     def delete(self, name: str) -> bool:
         return files.delete(self.spark, f"{self.root}/{name}")
 
@@ -49,11 +62,21 @@ class Collections:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._rows(name)).drop("bucket")
 
+    def searchable(self, name: str) -> tuple[DataFrame, Callable[[DataFrame, list], DataFrame]]:
+        """The rows with their bucket, and how to pick a few ids: from the buckets of those ids only."""
+        rows, count = self.spark.read.parquet(self._rows(name)), self._buckets_of(name)
+
+        def pick(df: DataFrame, ids: list) -> DataFrame:
+            wanted = self.spark.createDataFrame([(i,) for i in ids], "id string").select(_bucket(count).alias("b"))
+            return df.where(F.col("bucket").isin([r.b for r in wanted.distinct().collect()]) & F.col("id").isin(ids))
+
+        return rows, pick
+
     def sizes(self) -> DataFrame:
         """name, metric, total_records of every collection."""
         if not files.children(self.spark, self.root):
             return self.spark.createDataFrame([], "name string, metric string, total_records long")
-        about = self.spark.read.parquet(f"{self.root}/*/about")
+        about = self.spark.read.parquet(f"{self.root}/*/about").select("name", "metric")
         filled = [n for n in files.children(self.spark, self.root) if self.has_rows(n)]
         if not filled:
             return about.withColumn("total_records", F.lit(0).cast("long"))
@@ -75,11 +98,11 @@ class Collections:
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(self._rows(name))
 
-    def _bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int"))
+    def _bucketed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", _bucket(self._buckets_of(name)))
 
     def append(self, name: str, rows: DataFrame, sort_by: str | None = "chat_time") -> None:
-        self._write(name, self._bucketed(rows), sort_by=sort_by)
+        self._write(name, self._bucketed(name, rows), sort_by=sort_by)
 
     def upsert(self, name: str, rows: DataFrame, sort_by: str | None = "chat_time") -> None:
         """Store rows by id. `rows` must be cheap to read twice (a staged table).
@@ -87,21 +110,20 @@ class Collections:
         Unknown ids are appended. Only buckets that hold an id to replace are
         written anew, from a staged copy. Running it again gives the same table.
         """
-        incoming = self._bucketed(rows)
+        keys = ["bucket", "id"]
+        incoming = self._bucketed(name, rows)
         if not self.has_rows(name):
             self._write(name, incoming, sort_by=sort_by)
             return
         stored = self.spark.read.parquet(self._rows(name))
-        known = stored.select("bucket", "id")
-        changed = incoming.join(known, ["bucket", "id"], "left_semi")
-        touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most `buckets`
+        known = staged(stored.select(*keys).join(incoming.select(*keys), keys, "left_semi").distinct())
+        touched = [r.bucket for r in known.select("bucket").distinct().collect()]  # at most `buckets`
         if touched:
-            kept = stored.where(F.col("bucket").isin(touched)).join(
-                incoming.select("bucket", "id"), ["bucket", "id"], "left_anti"
-            )
-            self._write(
-                name, staged(kept.unionByName(changed, allowMissingColumns=True)), True, sort_by
-            )
-            stored = self.spark.read.parquet(self._rows(name))
-        fresh = incoming.join(stored.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        self._write(name, fresh, sort_by=sort_by)
+            kept = stored.where(F.col("bucket").isin(touched)).join(known, keys, "left_anti")
+            changed = incoming.join(known, keys, "left_semi")
+            self._write(name, staged(kept.unionByName(changed, allowMissingColumns=True)), True, sort_by)
+        self._write(name, incoming.join(known, keys, "left_anti"), sort_by=sort_by)
+
+
+def _bucket(count: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")

@@ -80,6 +80,48 @@ class HttpChatModel:
             return None
 
 
+class LocalModel:
+    """A causal language model from local weights, loaded on first use. Without the libraries it gives None."""
+
+    def __init__(self, name: str, max_new_tokens: int = 300, max_input_tokens: int = 2048):
+        self.name, self.max_new_tokens, self.max_input_tokens = name, max_new_tokens, max_input_tokens
+        self._loaded = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_loaded": None}
+
+    def reply(self, messages: Sequence[dict[str, str]], max_tokens: int) -> str | None:
+        try:
+            import torch
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+
+            if self._loaded is None:
+                self._loaded = AutoTokenizer.from_pretrained(self.name), AutoModelForCausalLM.from_pretrained(self.name)
+            tokenizer, model = self._loaded
+            prompt = "\n".join(m["content"] for m in messages)
+            inputs = tokenizer(prompt, return_tensors="pt", truncation=True, max_length=self.max_input_tokens)
+            with torch.no_grad():
+                out = model.generate(**inputs, max_new_tokens=min(max_tokens, self.max_new_tokens))
+            return tokenizer.decode(out[0][inputs["input_ids"].shape[1] :], skip_special_tokens=False)
+        except Exception:  # no libraries, no weights or no memory: the caller falls back
+            return None
+
+
+class FirstAvailable:
+    """The first model, and the second one for good once the first has failed."""
+
+    def __init__(self, first: ChatModel, second: ChatModel):
+        self.first, self.second, self.failed = first, second, False
+
+    def reply(self, messages: Sequence[dict[str, str]], max_tokens: int) -> str | None:
+        if not self.failed:
+            answer = self.first.reply(messages, max_tokens)
+            if answer is not None:
+                return answer
+            self.failed = True
+        return self.second.reply(messages, max_tokens)
+
+
 class HttpEmbedder:
     """Any endpoint with the common embeddings request shape."""
 

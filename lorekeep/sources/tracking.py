@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators.chatrows import without_known
 from lorekeep.sources import files
 
 
@@ -22,7 +23,7 @@ class Tracking:
 
     def add(self, hashes: DataFrame) -> None:
         """Store the hashes that are not there yet."""
-        new = hashes.select(self.key).distinct().join(self.read(), self.key, "left_anti")
+        new = without_known(hashes.select(self.key).distinct(), self.read(), [self.key])
         new.write.mode("append").parquet(self.path)
 
     def clear(self) -> None:

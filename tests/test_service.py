@@ -8,7 +8,7 @@ from lorekeep.plans.service import ChatService, Prompts, RequestError, TutorServ
 from lorekeep.sources.collections import Collections
 from lorekeep.sources.pages import FormFeedPages
 from lorekeep.sources.persona_store import PersonaStore
-from lorekeep.sources.providers import CannedModel, HashEmbedder
+from lorekeep.sources.providers import CannedModel, FirstAvailable, HashEmbedder, LocalModel
 from lorekeep.sources.session_store import SessionStore
 from tests.test_sources import STANDARD, standard_rows, write_csv
 
@@ -145,8 +145,26 @@ def test_tutor(spark, tmp_path):
     assert {s["chapter"] for s in answer["sources"]} == {"第一章 绪论", "第二章 查询"}
     system = model.calls[-1][0][0]["content"]
     assert "【第一章 绪论 > 第1页】" in system and system.endswith(Prompts().tutor_system)
+    events = list(tutor.chat_events("关系模型", "t2"))
+    assert [e["type"] for e in events] == ["sources", "token", "done"] and len(events[0]["sources"]) == 2
+    assert [m["role"] for m in tutor.sessions.history("t2")] == ["user", "assistant"]
     assert tutor.stats()["total_records"] == 2
     with pytest.raises(RequestError):
         tutor.chat("  ")
     tutor.reset("t1")
     assert tutor.sessions.history("t1") == []
+
+
+def test_model_fallback_stays(spark):
+    first = Recorder(None)
+    both = FirstAvailable(first, Recorder("second"))
+    assert both.reply([], 1) == "second" and both.reply([], 1) == "second" and len(first.calls) == 1
+    assert LocalModel("no/such-model").reply([{"role": "user", "content": "x"}], 5) is None
+
+
+def test_router_of_its_own(spark):
+    router = CannedModel({"ROUTE": "<s>[Retrieve] 是 [x] 否</s>"})
+    batch = requests(spark, ("a", "ask", True))
+    got = reflective_answers(batch, Scripted(), WORDS, router=router, router_markup=True).head()
+    # Without its brackets the answer reads as a plain yes or no word.
+    assert got.reply == "grounded ask"
