@@ -278,9 +278,10 @@ _FOUND = "SELECT id, content, result_source, round(score, 6) AS score, rank FROM
 
 _BOOK_HITS = f"""{_SIM},
 {_mmr(8, 40)},
+stored AS (SELECT *, row_number() OVER (ORDER BY page, chunk_no) - 1 AS id FROM chunks),
 passages AS (
-  SELECT c.page - 1 AS id, c.text AS content, c.source, c.page, c.chapter, c.section, h.rank AS r
-  FROM chunks c JOIN hits h ON h.id = c.page - 1 WHERE c.chunk_no = 0
+  SELECT c.id, c.text AS content, c.source, c.page, c.chapter, c.section, h.rank AS r
+  FROM stored c JOIN hits h ON h.id = c.id
 ),
 results AS (
   SELECT *, row_number() OVER (ORDER BY r) AS rank FROM (

@@ -317,10 +317,13 @@ def write_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _book_results(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf).where(F.col("chunk_no") == 0).select(
-        (F.col("page") - 1).alias("id"), F.col("text").alias("content"), "source", "page", "chapter", "section"
+    """Search over all chunks; chunk n in page order has vector n."""
+    chunks = _chunks(spark, sf).withColumns(
+        {"shelf": F.lit("all"), "block": F.floor(F.col("page") / pages.PAGES_PER_BLOCK)}
     )
-    return search.book_search(tables.vectors(spark, sf), chunks, tables.query_vector(spark, sf))
+    numbered = ordering.number_in_order(chunks, ["shelf"], "block", ["page", "chunk_no"], "id", start=0)
+    stored = numbered.select("id", F.col("text").alias("content"), "source", "page", "chapter", "section")
+    return search.book_search(tables.vectors(spark, sf), stored, tables.query_vector(spark, sf))
 
 
 def book_search(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,12 +26,16 @@ def get_session(app: str = "lorekeep", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and staged tables: what the cluster names, else a temporary one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints and staged tables, as spark.checkpoint.dir names it.
+
+    Only a local session may go without: it gets a temporary folder of its own.
+    """
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not known:
-        current = spark.sparkContext.getCheckpointDir()
-        known = current or tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(known)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        known = tempfile.mkdtemp(prefix="lorekeep-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(known)
     return known

@@ -96,10 +96,10 @@ def test_upsert_ids_drop_copies_and_merge(spark):
 
 
 def limit_of(lengths, percentile=90):
-    if not lengths:
-        return 150
-    s = sorted(lengths)
-    return max(30, int(s[min(int(len(s) * percentile / 100), len(s) - 1)] * 1.5))
+    """One and a half times the value at position floor(n * p / 100), 30 at least, 150 for no values."""
+    n = len(lengths)
+    at = dict(enumerate(sorted(lengths))).get(min(n * percentile // 100, n - 1))
+    return 150 if at is None else max(at * 3 // 2, 30)
 
 
 def test_reply_limit_uses_the_index_rule(spark):

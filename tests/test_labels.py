@@ -1,5 +1,6 @@
 """Label reading on every shape of answer, against a plain model with Python's re."""
 
+import itertools
 import random
 import re
 
@@ -16,28 +17,25 @@ TAG = re.compile(r"\[(?:Retrieve|IsRel|IsSup|IsUse)\][^\n]*(?:\n|$)")
 
 
 def model_flags(text, n):
-    strict = {int(i): w == "相关" for i, w in REL.findall(text)}
-    if strict:
-        return strict
-    for pattern in (NUM, PAR):
-        found = {int(i): w == "相关" for i, w in pattern.findall(text) if 1 <= int(i) <= n}
-        if found:
-            return found
-    return {}
+    shapes = [REL.findall(text)] + [[f for f in p.findall(text) if int(f[0]) in range(1, n + 1)] for p in (NUM, PAR)]
+    return {int(i): w == "相关" for i, w in next(filter(None, shapes), [])}
+
+
+def labelled(line, *patterns):
+    return any(p.search(line) for p in patterns)
 
 
 def model_reply(text):
-    kept = [line for line in text.split("\n") if not (SUP.search(line) or USE.search(line) or REL.search(line))]
-    return TAG.sub("", "\n".join(kept).strip()).strip() or None
+    plain = "\n".join(x for x in text.split("\n") if not labelled(x, REL, SUP, USE))
+    return TAG.sub("", plain.strip()).strip() or None
 
 
 def model_between(text):
-    lines = text.split("\n")
-    judged = [i for i, line in enumerate(lines) if REL.search(line)]
-    start = judged[-1] + 1 if judged else 0
-    stop = next((i for i in range(start, len(lines)) if SUP.search(lines[i]) or USE.search(lines[i])), len(lines))
-    reply = "\n".join(lines[start:stop]).strip()
-    return TAG.sub("", reply or text).strip() or None
+    after = text.split("\n")
+    while any(labelled(x, REL) for x in after):
+        after = after[1:]
+    before_end = list(itertools.takewhile(lambda x: not labelled(x, SUP, USE), after))
+    return TAG.sub("", "\n".join(before_end).strip() or text).strip() or None
 
 
 def answers(n=400):

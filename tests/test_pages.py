@@ -1,5 +1,6 @@
 """Headings and chunks against a line-by-line model, on random books."""
 
+import functools
 import random
 import re
 
@@ -37,20 +38,24 @@ def model_headings(book):
 
 
 def model_chunks(text, chapter, section, size, overlap):
-    place, cur, out = Place(chapter, section), "", []
-    for para in (p.strip() for p in re.split("\n{2,}", text)):
-        if not para:
-            continue
+    """One step per paragraph over (open text, closed chunks)."""
+    place = Place(chapter, section)
+
+    def labelled(body):
+        return (body, place.chapter, place.section)
+
+    def step(state, para):
+        body, closed = state
         place.see(para)
-        if len(cur) + len(para) + 1 > size:
-            if cur:
-                out.append((cur, place.chapter, place.section))
-            cur = f"{cur[-overlap:]}\n{para}" if len(cur) > overlap else para
-        else:
-            cur = f"{cur}\n{para}" if cur else para
-    if cur.strip():
-        out.append((cur, place.chapter, place.section))
-    return out
+        grown = "\n".join(filter(None, (body, para)))
+        if len(body) + 1 + len(para) <= size:
+            return grown, closed
+        tail = body[len(body) - overlap :] + "\n" if len(body) > overlap else ""
+        return tail + para, closed + [labelled(body)] * bool(body)
+
+    paragraphs = [p.strip() for p in re.split("\n{2,}", text) if p.strip()]
+    body, closed = functools.reduce(step, paragraphs, ("", []))
+    return closed + [labelled(body)] * bool(body.strip())
 
 
 def random_book(rng, n_pages):

@@ -67,22 +67,19 @@ def test_empty_collection(spark):
 
 def model_search(records, order, p):
     """records: id -> (content, time); order: ids of the selected hits."""
-    seen, out, w = set(), [], p.time_window_minutes * 60
-    for i in order:
-        content, t = records[i]
-        if content[:50] not in seen:
-            seen.add(content[:50])
-            out.append((i, "semantic", 1.0))
-        if not p.include_nearby or t <= 0 or w <= 0:
-            continue
-        near = [j for j in sorted(records) if abs(records[j][1] - t) <= w][: 2 * p.nearby_per_result]
-        near.sort(key=lambda j: records[j][1])
-        for j in near[: p.nearby_per_result]:
-            if records[j][0][:50] not in seen:
-                seen.add(records[j][0][:50])
-                out.append((j, "temporal", max(0.0, 1 - abs(records[j][1] - t) / w) * 0.5))
-    out.sort(key=lambda r: -r[2])
-    return out[: min(p.max_total_results, 50)]
+    w = p.time_window_minutes * 60
+    arrivals = [(hit, 0, i, "semantic", 1.0) for hit, i in enumerate(order)]
+    for hit, i in enumerate(order):
+        t = records[i][1]
+        if p.include_nearby and t > 0 and w > 0:
+            stored = [j for j in sorted(records) if t - w <= records[j][1] <= t + w][: p.nearby_per_result * 2]
+            for pos, j in enumerate(sorted(stored, key=lambda j: (records[j][1], j))[: p.nearby_per_result], 1):
+                arrivals.append((hit, pos, j, "temporal", 0.5 - 0.5 * abs(records[j][1] - t) / w))
+    firsts = {}
+    for arrival in sorted(arrivals):
+        firsts.setdefault(records[arrival[2]][0][:50], arrival)
+    best = sorted(firsts.values(), key=lambda a: (-a[4], a[0], a[1]))
+    return [a[2:] for a in best][: min(50, p.max_total_results)]
 
 
 @pytest.mark.parametrize(
