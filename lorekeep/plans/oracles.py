@@ -489,6 +489,21 @@ ORACLES = {
     "numbered_passages": _with(_search(), recursive=True)
     + f"SELECT string_agg('[' || rank || '] ' || substr(replace({_strip('content')}, {_NL}, ' '), 1, 120), {_NL} ORDER BY rank) AS passages, "
     "count(*) AS lines FROM found WHERE rank <= 15",
+    "reflective_replies": _with(
+        f"asked AS (SELECT conv_id || '-' || turn AS request_id, text, length(text) >= 100 AS searched, string_split(text, {_NL}) AS ls FROM conversations)",
+        "each AS (SELECT request_id, i AS rank, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM asked WHERE searched))",
+        f"kept AS (SELECT request_id, rank, {_strip('line')} AS line FROM each WHERE rank > 15 OR length(substr({_strip('line')}, 1, 120)) > 40)",
+        "used AS (SELECT *, sum(length(line)) OVER (PARTITION BY request_id ORDER BY rank) AS total FROM kept)",
+        "ctx AS (SELECT request_id, coalesce(sum(length(line)) FILTER (total <= 600), 0) "
+        "+ greatest(count(*) FILTER (total <= 600) - 1, 0) AS chars FROM used GROUP BY request_id)",
+    )
+    + "SELECT a.request_id, CASE WHEN c.chars IS NULL THEN 'plain ' || length(text) "
+    "ELSE 'grounded ' || (length('C:') + 1 + c.chars + 2 + length('S GROUNDED')) END AS reply, "
+    "CASE WHEN c.chars IS NOT NULL THEN CASE WHEN length(text) > 800 THEN '无支持' ELSE '完全支持' END "
+    "WHEN a.searched THEN '无支持' END AS is_sup, "
+    "CAST(CASE WHEN c.chars IS NULL THEN 1 WHEN contains(text, 'ü') THEN 2 ELSE 5 END AS BIGINT) AS is_use, "
+    "CAST(a.searched AND (c.chars IS NULL OR length(text) > 800 OR contains(text, 'ü')) AS BIGINT) AS retried "
+    "FROM asked a LEFT JOIN ctx c ON c.request_id = a.request_id",
     "streamed_import": _FULL + "SELECT id, source, row_no, content, CAST(64 AS BIGINT) AS dim FROM keyed",
     "streamed_session_tail": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations "
     "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",

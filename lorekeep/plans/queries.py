@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lorekeep.functions import chat, context, labels, text
 from lorekeep.operators import chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats
 from lorekeep.plans import search, tables
+from lorekeep.plans.reflective import Wording, reflective_answers
 from lorekeep.session import checkpoint_dir
 from lorekeep.sources.collections import Collections
-from lorekeep.sources.providers import HashEmbedder
+from lorekeep.sources.providers import HashEmbedder, message
 from lorekeep.streaming.imports import start_import
 from lorekeep.streaming.sessions import MESSAGE, session_tails
 
@@ -400,6 +401,46 @@ def numbered_passages(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("passages", F.col("lines").cast("long"))
 
 
+class _RuleModel:
+    """Answers by plain rules on the texts it gets, so that SQL can tell them too."""
+
+    def reply(self, messages, max_tokens: int) -> str | None:
+        system, last = messages[0]["content"], messages[-1]["content"]
+        if system.startswith("ROUTE "):
+            size = len(system) - len("ROUTE ")
+            return "[Retrieve] 否" if size < 100 else (None if size < 200 else "[Retrieve] 是")
+        if system.startswith("JUDGE "):
+            passages = (p.split("] ", 1) for p in system.removeprefix("JUDGE ").split("\n"))
+            return "\n".join(f"[IsRel] {n[1:]} {'相关' if len(t) > 40 else '不相关'}" for n, t in passages)
+        if system.endswith(" GROUNDED"):
+            support = "无支持" if len(last) > 800 else "完全支持"
+            return f"grounded {len(system)}\n[IsSup] {support}\n[IsUse] {2 if 'ü' in last else 9}"
+        return f"[IsUse] 1\nplain {len(last)}"
+
+
+def reflective_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message as a request whose hits are its own lines."""
+    lines = F.split("text", "\n")
+    hits = F.transform(
+        lines,
+        lambda line, i: F.struct(
+            (i + 1).alias("rank"), line.alias("content"), F.lit(0).cast("long").alias("chat_time"), F.lit("").alias("chat_time_str")
+        ),
+    )
+    requests = tables.table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"),
+        F.col("text").alias("query"),
+        F.array(message("user", F.col("text"))).alias("conversation"),
+        F.lit("S").alias("system_prompt"),
+        F.lit(100).alias("max_tokens"),
+        hits.alias("hits"),
+    )
+    words = Wording(routing="ROUTE ", judging="JUDGE ", grounded=" GROUNDED", plain=" PLAIN", context_prefix="C:")
+    return reflective_answers(requests, _RuleModel(), words, budget=600).select(
+        "request_id", "reply", "is_sup", F.col("is_use").cast("long"), F.col("retried").cast("long")
+    )
+
+
 # ── sessions, personas, texts ────────────────────────────────────────────────
 
 
@@ -502,7 +543,7 @@ QUERIES = {
         result_sources, chain_context, time_neighbours, time_range, sender_sample, sender_count,
         collection_sizes, write_batches, book_search, book_context, book_sources,
         relevance_labels, answer_labels, stripped_answers, retrieval_decisions, relevant_results,
-        numbered_passages, session_tail, session_history, persona_parameters, persona_requests,
+        numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_requests,
         persona_stats, query_guards, message_previews, streamed_import, streamed_session_tail,
     )
 }

@@ -152,8 +152,8 @@ def reflective_answers(
     first = first.withColumn("retried", retry)
     columns = ["request_id", "query", "conversation", "system_prompt", "max_tokens", "hits", "retrieve"]
     again = first.where("retried").select(*columns)
-    second = _answered(judged(again, model, words), model, words, budget).select(
-        "request_id", F.col("reply").alias("_second")
+    second = staged(
+        _answered(judged(again, model, words), model, words, budget).select("request_id", F.col("reply").alias("_second"))
     )
     joined = first.join(second, "request_id", "left")
     error = F.when(from_search & F.col("reply").isNull(), F.lit("no answer was generated"))

@@ -17,7 +17,7 @@ from lorekeep.functions import chat
 from lorekeep.operators import chatrows
 from lorekeep.plans.imports import chat_tracking, documents_of, import_documents
 from lorekeep.sources.chat_csv import ROWS_PER_BLOCK
-from lorekeep.sources.collections import Collections
+from lorekeep.sources.collections import Collections, staged
 from lorekeep.sources.providers import Embedder
 
 
@@ -63,7 +63,9 @@ def start_import(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         documents = documents_of(batch if "position" in batch.columns else with_places(batch))
-        new = chatrows.unseen(documents, chat_tracking(spark, store.root, collection).read(), "record_hash")
+        # A small batch against all that was ever tracked.
+        tracked = chat_tracking(spark, store.root, collection).read()
+        new = chatrows.without_known(staged(documents), tracked, ["record_hash"])
         import_documents(new, store, collection, embedder, batch_id + 1)
 
     return (
