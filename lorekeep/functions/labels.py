@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import or_null, stripped
 
 # The labels and the words after them.
-RELEVANT = "相关"
+IRRELEVANT = "不相关"
 YES = "是"
 SUPPORT_NONE = "无支持"
 SUPPORT_PARTLY = "部分支持"
@@ -24,13 +24,13 @@ PARAGRAPH_SPAN = r"(?s)<paragraph>.*?</paragraph>"
 
 
 def _pairs(text: Column, pattern: str) -> Column:
-    """array<struct<idx,relevant>> in text order."""
-    index = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    word = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(
-        index,
-        word,
-        lambda i, w: F.struct(i.try_cast("int").alias("idx"), (w == RELEVANT).alias("relevant")),
+    """array<struct<idx,relevant>> in text order. The text is searched once; number and word come from each match."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: F.struct(
+            F.regexp_extract(m, r"(?U)(\d+)", 1).try_cast("int").alias("idx"),
+            (~m.endswith(IRRELEVANT)).alias("relevant"),
+        ),
     )
 
 
@@ -87,7 +87,8 @@ def without_labels(text: Column) -> Column:
 
 
 def _labelled(line: Column) -> Column:
-    return line.rlike(SUPPORT) | line.rlike(USE) | line.rlike(RELEVANCE)
+    # The plain test spares most lines the patterns.
+    return line.contains("[Is") & (line.rlike(SUPPORT) | line.rlike(USE) | line.rlike(RELEVANCE))
 
 
 def grounded_reply(text: Column) -> Column:
