@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorekeep.functions.binding import let
 from lorekeep.functions.text import or_null, stripped
 
 # The labels and the words after them.
@@ -40,15 +41,15 @@ def relevance_flags(text: Column, passages: Column) -> Column:
     The bracket form wins and takes any number; the two looser forms count only
     for numbers of given passages. Later labels come later in the array.
     """
-    inside = lambda p: (p["idx"] >= 1) & (p["idx"] <= passages)
-    strict = _pairs(text, RELEVANCE)
-    numbered = F.filter(_pairs(text, NUMBERED_LINE), inside)
-    named = F.filter(_pairs(text, PASSAGE_LINE), inside)
-    found = (
-        F.when(F.size(strict) > 0, strict).when(F.size(numbered) > 0, numbered).otherwise(named)
-    )
-    return F.when(text.isNull(), F.array().cast(
-        "array<struct<idx:int,relevant:boolean>>")).otherwise(found)
+    def bounded(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p: (p["idx"] >= 1) & (p["idx"] <= passages))
+
+    def unless_found(pairs: Column, other: Column) -> Column:
+        return let(pairs, lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+
+    loose = unless_found(bounded(_pairs(text, NUMBERED_LINE)), bounded(_pairs(text, PASSAGE_LINE)))
+    none = F.array().cast("array<struct<idx:int,relevant:boolean>>")
+    return F.when(text.isNull(), none).otherwise(unless_found(_pairs(text, RELEVANCE), loose))
 
 
 def flag_of(flags: Column, idx: Column) -> Column:
@@ -104,18 +105,31 @@ def plain_reply(text: Column) -> Column:
 
 def reply_between_labels(text: Column) -> Column:
     """Text after the last relevance line and before the first support or use line."""
-    numbered = F.transform(
-        F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))
+    lines = F.transform(
+        F.split(text, "\n"),
+        lambda line: F.struct(
+            line.alias("line"),
+            (line.contains("[IsRel]") & line.rlike(RELEVANCE)).alias("judges"),
+            (line.contains("[Is") & (line.rlike(SUPPORT) | line.rlike(USE))).alias("rates"),
+        ),
+    )
+
+    def after_judging(marked: Column) -> Column:
+        # Lines from the end up to the last judging one; all of them when there is none.
+        back = F.array_position(F.transform(F.reverse(marked), lambda p: p["judges"]), True)
+        count = F.when(back > 0, back - 1).otherwise(F.size(marked)).cast("int")
+        return F.slice(marked, F.size(marked) - count + 1, count)
+
+    def before_rating(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda p: p["rates"]), True)
+        kept = F.slice(rest, 1, F.when(stop > 0, stop - 1).otherwise(F.size(rest)).cast("int"))
+        return stripped(F.array_join(F.transform(kept, lambda p: p["line"]), "\n"))
+
+    between = let(let(lines, after_judging), before_rating)
+    return let(
+        between,
+        lambda reply: F.when(reply != "", or_null(stripped(without_labels(reply)))).otherwise(plain_reply(text)),
     )
-    judged = F.filter(numbered, lambda p: p["line"].rlike(RELEVANCE))
-    start = F.coalesce(F.try_element_at(judged, F.lit(-1))["i"] + 1, F.lit(0))
-    rest = F.slice(numbered, start + 1, F.size(numbered))
-    stop = F.try_element_at(
-        F.filter(rest, lambda p: p["line"].rlike(SUPPORT) | p["line"].rlike(USE)), F.lit(1)
-    )["i"]
-    kept = F.filter(rest, lambda p: F.coalesce(p["i"] < stop, F.lit(True)))
-    reply = stripped(F.array_join(F.transform(kept, lambda p: p["line"]), "\n"))
-    return F.when(reply != "", or_null(stripped(without_labels(reply)))).otherwise(plain_reply(text))
 
 
 def without_model_markup(text: Column) -> Column:

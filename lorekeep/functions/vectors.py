@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorekeep.functions.binding import let
+
 METRICS = ("cosine", "l2")
 
 
@@ -39,13 +41,18 @@ def distance_to(a: Column, query: Sequence[float], metric: str = "cosine") -> Co
         return squared_l2(a, as_literal(query))
     if metric != "cosine":
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
-    size = math.sqrt(sum(float(x) ** 2 for x in query))
-    target = as_literal([float(x) / size if size else 0.0 for x in query])
     length = norm(a)
-    return F.when(length == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, target) / length)
+    return F.when(length == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, unit_literal(query)) / length)
 
 
 def unit(a: Column) -> Column:
     """Vector scaled to length one, in double precision."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x.cast("double") / size))
+    return let(
+        norm(a), lambda size: F.transform(a, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x.cast("double") / size))
+    )
+
+
+def unit_literal(query: Sequence[float]) -> Column:
+    """A query vector scaled to length one, as a constant array."""
+    size = math.sqrt(sum(float(x) ** 2 for x in query))
+    return as_literal([float(x) / size if size else 0.0 for x in query])

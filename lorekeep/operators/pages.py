@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
+from lorekeep.functions.binding import let
 from lorekeep.operators.ordering import carry_forward
 
 FIRST_CHAPTER = "前言"
@@ -35,11 +36,6 @@ def cleaned_pages(
     )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Name an intermediate value inside an array expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _page_headings(page_text: Column) -> Column:
     """struct(chapter, section) as the lines of one page leave them; NULL = untouched."""
     headings = text.heading_lines(page_text)
@@ -110,7 +106,7 @@ def _chunks_of_page(page_text: Column, chapter: Column, section: Column, size: i
 
     def add(state: Column, part: Column) -> Column:
         head = _after_heading(state, part)
-        return _let(F.struct(head.alias("head"), state["open"].alias("open"), state["done"].alias("done")), pack(part))
+        return let(F.struct(head.alias("head"), state["open"].alias("open"), state["done"].alias("done")), pack(part))
 
     def pack(part: Column) -> Callable[[Column], Column]:
         def body(s: Column) -> Column:

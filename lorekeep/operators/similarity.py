@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors as V
+from lorekeep.functions.binding import let
 
 
 # Upper bound of tasks in a search scan: each hands k rows to the one task that
@@ -60,10 +61,6 @@ def candidates_for(
     return pick(table, ids).select("id", "embedding")
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def diverse_selection(
     candidates: DataFrame, query: Sequence[float], k: int, lambda_mult: float = 0.6
 ) -> DataFrame:
@@ -74,7 +71,7 @@ def diverse_selection(
     Candidates are at most fetch_k rows, so one array holds them. Ties go to the
     more similar candidate, then to the smaller id.
     """
-    target = V.unit(V.as_literal(query))
+    target = V.unit_literal(query)
     scored = candidates.select("id", V.unit(F.col("embedding")).alias("vec")).select(
         "id", "vec", V.dot(F.col("vec"), target).alias("sim")
     )
@@ -100,7 +97,7 @@ def diverse_selection(
             return F.when(open_, F.struct(F.when(start, c["sim"]).otherwise(value).alias("v"), (-i).alias("i")))
 
         best = (-F.array_max(F.transform(F.col("pool"), gain))["i"]).cast("int")
-        return _let(best, lambda b: _let(F.get(F.col("pool"), b)["vec"], lambda vec: F.struct(
+        return let(best, lambda b: let(F.get(F.col("pool"), b)["vec"], lambda vec: F.struct(
             F.concat(state["chosen"], F.array(b)).alias("chosen"),
             F.zip_with(
                 state["near"],

@@ -480,6 +480,14 @@ ORACLES = {
         "'\\[[^\\n]*?\\]', '', 'g'), '<s>', ''), '</s>', ''), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g')"
     )
     + ") AS without_markup_md5 FROM answers",
+    "replies_between_labels": _with(
+        _ANSWERS,
+        f"split AS (SELECT doc_id, output, string_split(output, {_NL}) AS ls FROM answers)",
+        f"a AS (SELECT *, coalesce(list_max(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '{_REL}'))), 0) AS start FROM split)",
+        f"b AS (SELECT *, list_min(list_filter(range(start + 1, len(ls) + 1), lambda i: regexp_matches(ls[i], '{_SUP}') OR regexp_matches(ls[i], '{_USE}'))) AS stop FROM a)",
+        f"c AS (SELECT *, {_strip(f'array_to_string(ls[start + 1:coalesce(stop - 1, len(ls))], {_NL})')} AS reply FROM b)",
+    )
+    + f"SELECT doc_id, md5(nullif({_strip(_untag('CASE WHEN reply <> {q} THEN reply ELSE output END'.format(q=chr(39) * 2)))}, '')) AS reply_md5 FROM c",
     "retrieval_decisions": _with(_ANSWERS)
     + "SELECT doc_id, CAST(CASE WHEN routing IS NULL THEN true ELSE "
     "coalesce(nullif(regexp_extract(routing, '\\[Retrieve\\]\\s*(是|否)', 1), '') = '是', contains(routing, '是')) END AS BIGINT) AS retrieve FROM answers",
@@ -489,6 +497,15 @@ ORACLES = {
     "numbered_passages": _with(_search(), recursive=True)
     + f"SELECT string_agg('[' || rank || '] ' || substr(replace({_strip('content')}, {_NL}, ' '), 1, 120), {_NL} ORDER BY rank) AS passages, "
     "count(*) AS lines FROM found WHERE rank <= 15",
+    "upload_messages": _with(
+        "files AS (SELECT doc_id, 'doc' || doc_id AS name, lang, n_chars * n_chars AS size, CASE WHEN lang = 'en' THEN text END AS content "
+        "FROM documents WHERE n_chars * n_chars <= 10 * 1024 * 1024)",
+        "sized AS (SELECT *, CASE WHEN size < 1024 THEN size || ' B' "
+        "WHEN size < 1048576 THEN printf('%.1f KB', floor(size * 10 / 1024.0::DOUBLE + 0.5) / 10) "
+        "ELSE printf('%.1f MB', floor(size * 10 / 1048576.0::DOUBLE + 0.5) / 10) END AS size_text FROM files)",
+    )
+    + f"SELECT doc_id, size_text, '用户上传了文件: ' || name || CASE WHEN content <> '' THEN {_NL} || '文件内容:' || {_NL} || substr(content, 1, 1000) "
+    "ELSE ' (' || lang || ', ' || size_text || ')' END AS message FROM sized",
     "reflective_replies": _with(
         f"asked AS (SELECT conv_id || '-' || turn AS request_id, text, length(text) >= 100 AS searched, string_split(text, {_NL}) AS ls FROM conversations)",
         "each AS (SELECT request_id, i AS rank, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM asked WHERE searched))",

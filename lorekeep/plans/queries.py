@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions import chat, context, labels, text
+from lorekeep.functions import chat, context, labels, text, uploads
 from lorekeep.operators import chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats
 from lorekeep.plans import search, tables
 from lorekeep.plans.reflective import Wording, reflective_answers
@@ -380,6 +380,12 @@ def stripped_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def replies_between_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.model_outputs(spark, sf).select(
+        "doc_id", F.md5(labels.reply_between_labels(F.col("output"))).alias("reply_md5")
+    )
+
+
 def retrieval_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return tables.model_outputs(spark, sf).select(
         "doc_id", labels.wants_retrieval(F.col("routing")).cast("long").alias("retrieve")
@@ -503,6 +509,19 @@ def message_previews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def upload_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as uploaded files: English ones as text, others by type and size."""
+    size = F.col("n_chars") * F.col("n_chars")
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    content = F.when(F.col("lang") == "en", F.col("text"))
+    files = tables.table(spark, sf, "documents").where(uploads.is_accepted(size))
+    return files.select(
+        "doc_id",
+        uploads.size_text(size).alias("size_text"),
+        uploads.upload_message(name, F.col("lang"), size, content).alias("message"),
+    )
+
+
 # ── streams ──────────────────────────────────────────────────────────────────
 
 
@@ -542,8 +561,8 @@ QUERIES = {
         diverse_hits, diverse_hits_wide, chat_search, chat_search_wide, chat_context,
         result_sources, chain_context, time_neighbours, time_range, sender_sample, sender_count,
         collection_sizes, write_batches, book_search, book_context, book_sources,
-        relevance_labels, answer_labels, stripped_answers, retrieval_decisions, relevant_results,
+        relevance_labels, answer_labels, stripped_answers, replies_between_labels, retrieval_decisions, relevant_results,
         numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_requests,
-        persona_stats, query_guards, message_previews, streamed_import, streamed_session_tail,
+        persona_stats, query_guards, message_previews, upload_messages, streamed_import, streamed_session_tail,
     )
 }

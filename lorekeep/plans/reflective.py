@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import context, labels
+from lorekeep.functions.binding import let
 from lorekeep.operators.results import JUDGED_PASSAGES
 from lorekeep.sources.collections import staged
 from lorekeep.sources.providers import ChatModel, message, with_replies
@@ -76,11 +77,10 @@ def judged(requests: DataFrame, model: ChatModel, words: Wording) -> DataFrame:
     asked = requests.withColumn("_ask", F.when(F.size("hits") > 0, ask)).withColumn("_tokens", F.lit(JUDGING_TOKENS))
     answered = with_replies(asked, model, "_ask", "_tokens", "_judging")
     flags = labels.relevance_flags(F.col("_judging"), F.least(F.size("hits"), F.lit(JUDGED_PASSAGES)))
-    flagged = answered.withColumn("_flags", flags)
-    kept = F.filter(
-        hits, lambda h: (h["rank"] > JUDGED_PASSAGES) | labels.flag_of(F.col("_flags"), h["rank"])
+    kept = let(
+        flags, lambda f: F.filter(hits, lambda h: (h["rank"] > JUDGED_PASSAGES) | labels.flag_of(f, h["rank"]))
     )
-    return flagged.withColumn("relevant_hits", kept).drop("_ask", "_tokens", "_judging", "_flags")
+    return answered.withColumn("relevant_hits", kept).drop("_ask", "_tokens", "_judging")
 
 
 def budgeted_context(hits: Column, budget: int = 2000, with_time: bool = True) -> Column:
