@@ -46,14 +46,12 @@ def _page_headings(page_text: Column) -> Column:
 
 
 def _after_heading(state: Column, line: Column) -> Column:
-    kind = text.heading_kind(line)
-    chapter = F.when(kind == "chapter", line).otherwise(state["chapter"])
-    section = (
-        F.when(kind == "chapter", F.lit(""))
-        .when(kind == "section", line)
-        .otherwise(state["section"])
-    )
-    return F.struct(chapter.alias("chapter"), section.alias("section"))
+    def moved(kind: Column) -> Column:
+        chapter = F.when(kind == "chapter", line).otherwise(state["chapter"])
+        section = F.when(kind == "chapter", F.lit("")).when(kind == "section", line).otherwise(state["section"])
+        return F.struct(chapter.alias("chapter"), section.alias("section"))
+
+    return let(text.heading_kind(line), moved)
 
 
 def heading_events(pages: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
