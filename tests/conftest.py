@@ -2,9 +2,12 @@ import os
 import sys
 
 import pytest
+from pyspark import cloudpickle
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import tests  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -21,6 +24,8 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    # Model stand-ins of the tests travel to the workers like the package does.
+    cloudpickle.register_pickle_by_value(tests)
     yield session
     session.stop()
 
