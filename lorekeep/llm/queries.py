@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, mixing, neighbours, quality, rules
+from lorekeep.llm import archives, bpe, jaccard, mixing, neighbours, quality, rules
 from lorekeep.llm.tables import own, table
-from lorekeep.sources.collections import staged
+from lorekeep.session import checkpoint_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    return archives.pages_through_archives(spark, table(spark, sf_dir, "pages"), folder)
+
+
+def shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip_digests(docs.select(*own(docs, "doc_id", "text")), BYTE_BPE)
@@ -36,6 +47,8 @@ def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_arc_to_warc": arc_to_warc,
+    "op2_shingle_join": shingle_join,
     "op3_byte_bpe": byte_bpe,
     "op5_quality_rules": quality_rules,
     "op8_quality_classifier": quality_classifier,
