@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import archives, bpe, jaccard, mixing, neighbours, quality, rules
+from lorekeep.llm import archives, bpe, jaccard, mixing, neighbours, quality, repeats, rules
 from lorekeep.llm.tables import own, table
 from lorekeep.session import checkpoint_dir
 
@@ -29,6 +29,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs.select(*own(docs, "doc_id", "text")), BYTE_BPE)
 
 
+def radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return rules.verdicts(docs, labels)
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_arc_to_warc": arc_to_warc,
     "op2_shingle_join": shingle_join,
     "op3_byte_bpe": byte_bpe,
+    "op4_radix_dedup": radix_dedup,
     "op5_quality_rules": quality_rules,
     "op8_quality_classifier": quality_classifier,
     "op9_source_mix": source_mix,
