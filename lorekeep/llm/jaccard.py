@@ -21,13 +21,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lorekeep.llm.bytescan import mixed, shingle_sets
 from lorekeep.llm.components import connected_components
-from lorekeep.llm.tables import small
+from lorekeep.llm.tables import small, unused
 from lorekeep.sources.collections import staged
 
 WORDS = 5
@@ -91,9 +91,14 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """k (the document's key in lookups), doc_id, text. Rows without an id are found by their text."""
+    """k (the document's key in lookups), row (a code of the whole row), doc_id, text. Rows without an id are found by their text."""
     doc_id = docs["doc_id"].cast("long")
-    return docs.select(F.coalesce(doc_id, F.xxhash64(docs["text"])).alias("k"), doc_id.alias("doc_id"), docs["text"])
+    return docs.select(F.coalesce(doc_id, F.xxhash64(docs["text"])).alias("k"), row_code(docs).alias("row"),
+                       doc_id.alias("doc_id"), docs["text"])
+
+
+def row_code(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"], docs["text"].isNull())
 
 
 def _described(texts: DataFrame) -> DataFrame:
@@ -108,8 +113,8 @@ def _described(texts: DataFrame) -> DataFrame:
             codes, seen = codes[seen >= SEEN], seen[seen >= SEEN]
             none = pa.nulls(len(codes), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.nulls(len(codes), pa.binary()), pa.array(_signed(codes)), pa.array(seen)],
-                names=["k", "doc_id", "n", "sig", "bits", "h", "seen"])
+                [none, none, none, none, none, pa.nulls(len(codes), pa.binary()), pa.array(_signed(codes)), pa.array(seen)],
+                names=["k", "row", "doc_id", "n", "sig", "bits", "h", "seen"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -124,16 +129,16 @@ def _described(texts: DataFrame) -> DataFrame:
                         room += len(codes)
                 none = pa.nulls(len(sizes), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part["k"], part["doc_id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()),
+                    [part["k"], part["row"], part["doc_id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()),
                      pa.array(bits, pa.binary()), none, none],
-                    names=["k", "doc_id", "n", "sig", "bits", "h", "seen"])
+                    names=["k", "row", "doc_id", "n", "sig", "bits", "h", "seen"])
                 if room > FLUSH:
                     yield often()
                     held, room = {}, 0
         if held:
             yield often()
 
-    return texts.mapInArrow(run, "k long, doc_id long, n long, sig long, bits binary, h long, seen long")
+    return texts.mapInArrow(run, "k long, row long, doc_id long, n long, sig long, bits binary, h long, seen long")
 
 
 def _list_rows(texts: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bound: int) -> DataFrame:
@@ -268,18 +273,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return whole.repartition("pair").sortWithinPartitions("pair", "sig").mapInArrow(compare, "a long, b long")
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every document.
-
-    Words are split at the six separators with A-Z as a-z; a text of fewer than five words is one n-gram, a NULL
-    or empty one, or one without words, has none and is linked with nothing: its component is itself. Rows
-    alike in text are linked whatever their id; rows with the same id each keep their row; a NULL doc_id is never
-    a component's name unless no row of the component has an id. `n_links` counts the links found for the document's
-    set while components were made (the tree within large groups, not each pair). Further columns are ignored.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component (NULL: linked with nothing), component_id, n_links of each row."""
     texts = _texts(docs)
     described = staged(_described(texts))
-    rows = described.where(F.col("n").isNotNull()).select("k", "doc_id", "n", "sig")
+    rows = described.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "sig")
     nodes = described.where("n > 0").groupBy("sig").agg(
         F.min("k").alias("k"), F.min("doc_id").alias("first"), F.max("n").alias("n"))
     nodes = staged(nodes)
@@ -348,10 +346,42 @@ def linked_components(docs: DataFrame) -> DataFrame:
         "sig", "first", F.coalesce("component", "sig").alias("component"))
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(names, "component").join(degree, "sig", "left").select(
-        "sig", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        "sig", "component", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     # Rows without n-grams go their own way: their common signature is no key to meet by.
     alone = rows.where("n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        "row", "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"),
+        F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     together = rows.where("n > 0").join(named, "sig").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+        "row", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id", "n_links")
     return together.unionByName(alone)
+
+
+def linked_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every document.
+
+    Words are split at the six separators with A-Z as a-z; a text of fewer than five words is one n-gram, a NULL
+    or empty one, or one without words, has none and is linked with nothing: its component is itself. Rows
+    alike in text are linked whatever their id; rows with the same id each keep their row; a NULL doc_id is never
+    a component's name unless no row of the component has an id. `n_links` counts the links found for the document's
+    set while components were made (the tree within large groups, not each pair). Further columns are ignored.
+    """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs`, all columns, with one row of each component: that of the smallest doc_id.
+
+    Where several rows have that id, or none has an id, the row of the smallest code of id and text stays, and
+    of rows alike in both the first. Documents without n-grams are linked with nothing and all stay.
+    """
+    found = staged(_grouped(docs).where(F.col("component").isNotNull()).select("row", "doc_id", "component"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best"))
+    gone = found.join(best, "component").where("row <> best").select("row").distinct()
+    alike = found.groupBy("row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("row")
+    code, no = unused(docs, "code", "no")
+    coded = docs.withColumn(code, row_code(docs))
+    left = coded.join(small(staged(gone.withColumnRenamed("row", code))), code, "left_anti")
+    alike = small(staged(alike.withColumnRenamed("row", code)))
+    numbered = left.join(alike, code, "left_semi").withColumn(no, F.row_number().over(W.partitionBy(code).orderBy(code)))
+    single = left.join(alike, code, "left_anti")
+    return single.select(*docs.columns).unionByName(numbered.where(F.col(no) == 1).select(*docs.columns))

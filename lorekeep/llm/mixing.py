@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lorekeep.llm.tables import WORD, own, small
+from lorekeep.llm.tables import WORD, own, small, unused
 from lorekeep.sources.collections import staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -157,3 +157,25 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     return take_copies(with_size(docs), seed=seed).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
+
+
+def repeated(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """`docs`, all columns, each row as often as the mixture takes its document.
+
+    What is joined to the texts is one small row per distinct (doc_id, source, size) with the copies of all such
+    rows, given to them in turn. NULL text has size 0. Cases as in take_copies.
+    """
+    size, no, copies, key = unused(docs, "size", "no", "copies", "key")
+    words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    with_key = docs.withColumn(size, words).withColumn(key, F.xxhash64("doc_id", "source", size))
+    drawn = take_copies(with_size(docs), seed=seed)
+    per_key = drawn.groupBy(F.xxhash64("doc_id", "source", "size").alias(key)).agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
+    per_key = small(staged(per_key))
+    joined = with_key.join(per_key, key)
+    # Rows alike take the drawn copies in turn; a key of one row, the usual case, needs no numbering.
+    alone = joined.where(F.size(copies) == 1).withColumn(no, F.lit(1))
+    alike = joined.where(F.size(copies) > 1).withColumn(no, F.row_number().over(W.partitionBy(key).orderBy(size)))
+    out = alone.unionByName(alike)
+    times = F.element_at(F.col(copies), F.col(no))
+    return out.where(times > 0).withColumn(no, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import archives, bpe, jaccard, mixing, neighbours, quality, repeats, rules
+from lorekeep.llm import archives, bpe, counts, jaccard, licences, mixing, neighbours, quality, repeats, rules
 from lorekeep.llm.tables import own, table
 from lorekeep.session import checkpoint_dir
 
@@ -21,7 +21,8 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+    found = jaccard.linked_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(docs, labels)
 
 
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_matches(table(spark, sf_dir, "documents"))
+
+
+def section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.section_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +65,8 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe,
     "op4_radix_dedup": radix_dedup,
     "op5_quality_rules": quality_rules,
+    "op6_licence_scan": licence_scan,
+    "op7_section_token_counts": section_token_counts,
     "op8_quality_classifier": quality_classifier,
     "op9_source_mix": source_mix,
     "op10_learned_partitions": learned_partitions,

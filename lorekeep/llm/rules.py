@@ -113,7 +113,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             repeat.alias("n_repeat_words"),
         )
 
-    return split.withColumn("_stats", let(lines, counted)).drop("_words")
+    # As rows of a generator the counts are made once, whatever later filters and columns ask of them.
+    return split.withColumn("_stats", F.explode(F.array(let(lines, counted)))).drop("_words")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
