@@ -37,9 +37,9 @@ SEEN, FREQUENT = 64, 1 << 16
 #: Units that tasks hold to find equal ones among their own.
 FLUSH = 1 << 19
 #: Units of one anchor that a task orders by itself; more are left to Spark.
-GROUP_UNITS = 4096
-#: Windows that a task orders together.
-ORDER_WINDOWS = 1 << 20
+GROUP_UNITS = 1 << 15
+#: Bytes of units that a task orders together, where one group is not larger.
+ORDER_BYTES = 1 << 20
 #: A per-document table is broadcast up to so many entries (some 50 MB).
 BROADCAST_ENTRIES = 2_000_000
 
@@ -166,7 +166,7 @@ def _units(rows: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
             known = np.concatenate(([False], (g[1:] == g[:-1]) & (u[1:] == u[:-1])))
             heavy = often[np.minimum(np.searchsorted(often, g), len(often) - 1)] == g if len(often) else np.zeros(len(g), bool)
             # At a frequent anchor equal units still meet, in one of 64 places.
-            g = np.where(heavy, mixed(g ^ (u & np.uint64(63))), g)
+            g = np.where(heavy, g ^ ((u & np.uint64(63)) + np.uint64(1)), g)
             # Units known to be repeats meet nobody.
             g = np.where(known, mixed(u ^ (lo.astype(np.uint64) * _ODD) ^ o.view(np.uint64)), g)
             columns = [_signed(g), _signed(u), o, t, lo.astype(np.int32), n.astype(np.int32),
@@ -278,7 +278,7 @@ def _ordered(candidates: DataFrame, rows: DataFrame, threshold: int) -> DataFram
             for e in edges.tolist():
                 # Only between groups, and only when enough windows have come together.
                 so_far = room + (weight[e - 1] if e else 0) - (weight[done - 1] if done else 0)
-                if so_far > ORDER_WINDOWS and g[e] != last:
+                if so_far > ORDER_BYTES and g[e] != last:
                     if e > done:
                         held.append(batch.slice(done, e - done))
                     yield from results(held)
@@ -315,10 +315,20 @@ def repeated_runs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .withColumn("least", F.min("u").over(here)).withColumn("most", F.max("u").over(here))
         .withColumn("again", (F.col("kind") == 1) | F.coalesce(F.col("before") == F.col("u"), F.lit(False)))
         .where("again or least <> most or kind = 2")
-        .select("g", "o", "t", "lo", "n", "again", (F.col("kind") == 2).alias("heavy"))
+        .select(
+            # The anchor itself again, where it was dealt to 64 places.
+            F.when(F.col("kind") == 2, F.col("g").bitwiseXOR(F.col("u").bitwiseAND(63) + 1)).otherwise(F.col("g")).alias("g"),
+            "o", "t", "lo", "n", "again", (F.col("kind") == 2).alias("often"),
+        )
     )
     told = staged(told)
-    ordered = _ordered(told.where("not again").drop("again"), rows, threshold)
+    open_ = told.where("not again")
+    # Of the anchors on the list (at most FREQUENT), those with more different units than a task should order.
+    heavy = staged(open_.where("often").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_UNITS)
+                   .select("g", F.lit(True).alias("heavy")))
+    candidates = open_.join(F.broadcast(heavy), "g", "left").select(
+        "g", "o", "t", "lo", "n", F.coalesce("heavy", F.lit(False)).alias("heavy"))
+    ordered = _ordered(candidates, rows, threshold)
     all_runs = told.where("again").select("o", "t", "lo", "n").unionByName(ordered)
     per_doc = all_runs.groupBy("o", "t").agg(F.collect_list(F.struct("lo", "n")).alias("windows"))
 
