@@ -8,8 +8,8 @@ one order of all n-grams, in which those known to be frequent come last. The bou
 size from which on listing subsets costs more than scanning lists, by a count of both.
 
 A list is not turned into all its pairs. First every member meets only the first of its size;
-what proves to be linked forms components; then only members of different components meet, and
-again until no such pair is left. Before whole sets are compared, bit vectors (a bit per
+what proves to be linked forms components; then only members of different components meet, first one of each
+component in a list, then more, until no such pair is left. Before whole sets are compared, bit vectors (a bit per
 residue, flipped by each n-gram) show for most pairs that they differ in too many n-grams.
 """
 
@@ -31,14 +31,16 @@ from lorekeep.llm.tables import small, unused
 from lorekeep.sources.collections import staged
 
 WORDS = 5
-#: Frequent n-grams that are put last in the order: at most so many, 1 MB, go to the tasks.
-FREQUENT = 1 << 17
+#: Frequent n-grams that are put last in the order: at most so many, 8 MB, go to the tasks.
+FREQUENT = 1 << 19
 #: An n-gram that a task has seen this often (in different sets) may be frequent; looked at every FLUSH n-grams.
-SEEN = 8
+SEEN = 3
 FLUSH = 1 << 22
 #: Rows of inverted lists that one row of a listed subset stands against, when the boundary is chosen.
 LIST_COST = 8
 LARGEST_SMALL = 12
+#: Members of a component that stand for it in a list, round after round; at last all do.
+STANDING_IN = (1, 8, 2**31 - 1)
 
 
 def linked_size(a: int, b: int) -> int:
@@ -151,7 +153,7 @@ def _list_rows(texts: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bound:
         done: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                found, sigs, sizes = [], [], []
+                found, sigs, sizes, places = [], [], [], []
                 for codes in shingle_sets(batch.slice(start, 256)["text"], WORDS):
                     n = len(codes)
                     if n < max(least, 1):
@@ -174,12 +176,14 @@ def _list_rows(texts: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bound:
                     found.append(codes[:keep])
                     sigs.append(np.full(keep, sig))
                     sizes.append(np.full(keep, n))
+                    places.append(np.arange(keep))
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_signed(np.concatenate(found))), pa.array(np.concatenate(sigs)),
-                         pa.array(np.concatenate(sizes).astype(np.int32))], names=["h", "sig", "n"])
+                         pa.array(np.concatenate(sizes).astype(np.int32)),
+                         pa.array(np.concatenate(places).astype(np.int32))], names=["h", "sig", "n", "pos"])
 
-    return texts.select("text").mapInArrow(run, "h long, sig long, n int")
+    return texts.select("text").mapInArrow(run, "h long, sig long, n int, pos int")
 
 
 def _subset_links(texts: DataFrame, bound: int) -> DataFrame:
@@ -234,6 +238,25 @@ def _near_enough(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return with_bits.select("a", "na", "b", "nb", "xa", "xb").mapInArrow(run, "a long, na long, b long, nb long")
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """a, na, b, nb: pairs of list members of different components that can be linked, b the smaller signature.
+
+    The first element that two sets share in the order leaves room for the others: what follows it in either set
+    must be as much as they have to share. A pair that fails this in all its lists cannot be linked.
+    """
+    least = "cast(ceil(4 * (x.n + y.n) / 9.0 - 1e-9) as int)"
+    meets = members.alias("x").join(
+        members.alias("y"),
+        F.expr(
+            "x.h = y.h and x.component <> y.component and x.sig > y.sig and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n "
+            f"and x.n - x.pos >= {least} and y.n - y.pos >= {least}"
+        ),
+    )
+    return meets.select(
+        F.col("x.sig").alias("a"), F.col("x.n").cast("long").alias("na"),
+        F.col("y.sig").alias("b"), F.col("y.n").cast("long").alias("nb")).distinct()
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are linked, by their whole sets. `pairs` must be staged."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig"), F.xxhash64("a", "b").alias("pair"), "a", "b")
@@ -303,40 +326,39 @@ def _grouped(docs: DataFrame) -> DataFrame:
         .where(F.col("before").isNull() | (F.col("before") != F.col("sig")))
         .withColumn("rows", F.count(F.lit(1)).over(h))
         .where("rows > 1")
-        .select("h", "sig", "n", "first")
+        .select("h", "sig", "n", "pos", "first")
     )
     lists = staged(lists)
     sizes = nodes.select("sig", "n")
-    heads = lists.where("sig <> first").groupBy(F.col("sig").alias("a"), F.col("n").cast("long").alias("na"), F.col("first").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"))
+    heads = lists.where("sig <> first").groupBy(
+        F.col("sig").alias("a"), F.col("n").cast("long").alias("na"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     heads = heads.join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
     one = heads.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("c", "b")).alias("x"))
-    pairs = one.select("a", "na", "x.b", "x.nb")
-    tried = None
+    pairs = staged(one.select("a", "na", "x.b", "x.nb"))
+    tried, step = pairs, 0
+    nobody = lists.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)
+    parts = nobody if links is None else connected_components(links)
     while True:
-        pairs = staged(_near_enough(pairs, bits))
-        if pairs.limit(1).count() == 0:
-            break
-        found = _verified(pairs, nodes, texts)
-        links = staged(found if links is None else found.unionByName(links))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # Members of a list that are not yet in one component, each pair once.
-        parts = connected_components(links)
+        near = staged(_near_enough(pairs, bits))
+        if near.limit(1).count():
+            found = _verified(near, nodes, texts)
+            links = staged(found if links is None else found.unionByName(links))
+            parts = connected_components(links)
+        # Members of a list that are not yet in one component, some of each or all.
         placed = lists.join(parts, lists["sig"] == parts["node"], "left").select(
-            "h", "sig", "n", F.coalesce("component", "sig").alias("component"))
+            "h", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
         split = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        open_ = staged(placed.join(split.select("h"), "h", "left_semi"))
-        x, y = open_.alias("x"), open_.alias("y")
-        meets = x.join(
-            y,
-            F.expr("x.h = y.h and x.component <> y.component and (x.n < y.n or x.n = y.n and x.sig < y.sig) and 5 * x.n >= 4 * y.n"),
-        )
-        pairs = meets.select(
-            F.col("x.sig").alias("a"), F.col("x.n").cast("long").alias("na"),
-            F.col("y.sig").alias("b"), F.col("y.n").cast("long").alias("nb")).distinct()
-        seen = tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-        pairs = pairs.withColumn("p", F.least("a", "b")).withColumn("q", F.greatest("a", "b")).join(
-            seen, ["p", "q"], "left_anti").drop("p", "q")
+        number = F.row_number().over(W.partitionBy("h", "component").orderBy("pos", "sig"))
+        open_ = staged(placed.join(split.select("h"), "h", "left_semi").withColumn("number", number))
+        while True:
+            some = open_.where(F.col("number") <= STANDING_IN[step])
+            pairs = staged(_meetings(some).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            if pairs.limit(1).count() or step == len(STANDING_IN) - 1:
+                break
+            step += 1
+        if pairs.limit(1).count() == 0:
+            break
+        tried = tried.unionByName(pairs)
     if links is None:
         spark = docs.sparkSession
         links = spark.createDataFrame([], "a long, b long")
