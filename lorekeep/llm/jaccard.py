@@ -39,8 +39,11 @@ FLUSH = 1 << 22
 #: Rows of inverted lists that one row of a listed subset stands against, when the boundary is chosen.
 LIST_COST = 8
 LARGEST_SMALL = 12
-#: Members of a component that stand for it in a list, round after round; at last all do.
-STANDING_IN = (1, 8, 2**31 - 1)
+#: Components of a list that meet, and members that stand for each, round after round; at last all do.
+_ALL = 2**31 - 1
+MEETING = ((6, 1), (_ALL, 8), (_ALL, _ALL))
+#: Words of 64 parity bits that list members carry.
+PARITY_WORDS = 8
 
 
 def linked_size(a: int, b: int) -> int:
@@ -82,6 +85,12 @@ def parity_bits(codes: np.ndarray) -> bytes:
                        bitorder="little").tobytes()
 
 
+def parity_words(codes: np.ndarray) -> np.ndarray:
+    """The same over a fixed number of bits, as longs that SQL can compare."""
+    bits = np.bincount((codes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits(bits.astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """At least so many elements are in one set only."""
     if len(a) < len(b):
@@ -115,32 +124,34 @@ def _described(texts: DataFrame) -> DataFrame:
             codes, seen = codes[seen >= SEEN], seen[seen >= SEEN]
             none = pa.nulls(len(codes), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, none, pa.nulls(len(codes), pa.binary()), pa.array(_signed(codes)), pa.array(seen)],
-                names=["k", "row", "doc_id", "n", "sig", "bits", "h", "seen"])
+                [none, none, none, none, none, pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.list_(pa.int64())),
+                 pa.array(_signed(codes)), pa.array(seen)],
+                names=["k", "row", "doc_id", "n", "sig", "bits", "w", "h", "seen"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sizes, sigs, bits = [], [], []
+                sizes, sigs, bits, fixed = [], [], [], []
                 for codes in shingle_sets(part["text"], WORDS):
                     sizes.append(len(codes))
                     sigs.append(signature(codes))
                     bits.append(parity_bits(codes))
+                    fixed.append(parity_words(codes))
                     if len(codes) and sigs[-1] not in held:
                         held[sigs[-1]] = codes
                         room += len(codes)
                 none = pa.nulls(len(sizes), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part["k"], part["row"], part["doc_id"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()),
-                     pa.array(bits, pa.binary()), none, none],
-                    names=["k", "row", "doc_id", "n", "sig", "bits", "h", "seen"])
+                     pa.array(bits, pa.binary()), pa.array(fixed, pa.list_(pa.int64())), none, none],
+                    names=["k", "row", "doc_id", "n", "sig", "bits", "w", "h", "seen"])
                 if room > FLUSH:
                     yield often()
                     held, room = {}, 0
         if held:
             yield often()
 
-    return texts.mapInArrow(run, "k long, row long, doc_id long, n long, sig long, bits binary, h long, seen long")
+    return texts.mapInArrow(run, "k long, row long, doc_id long, n long, sig long, bits binary, w array<long>, h long, seen long")
 
 
 def _list_rows(texts: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bound: int) -> DataFrame:
@@ -242,14 +253,16 @@ def _meetings(members: DataFrame) -> DataFrame:
     """a, na, b, nb: pairs of list members of different components that can be linked, b the smaller signature.
 
     The first element that two sets share in the order leaves room for the others: what follows it in either set
-    must be as much as they have to share. A pair that fails this in all its lists cannot be linked.
+    must be as much as they have to share. A pair that fails this in all its lists cannot be linked, nor one whose
+    parity bits differ more often than their elements may.
     """
     least = "cast(ceil(4 * (x.n + y.n) / 9.0 - 1e-9) as int)"
+    differ = " + ".join(f"bit_count(x.w[{i}] ^ y.w[{i}])" for i in range(PARITY_WORDS))
     meets = members.alias("x").join(
         members.alias("y"),
         F.expr(
             "x.h = y.h and x.component <> y.component and x.sig > y.sig and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n "
-            f"and x.n - x.pos >= {least} and y.n - y.pos >= {least}"
+            f"and x.n - x.pos >= {least} and y.n - y.pos >= {least} and {differ} <= x.n + y.n - 2 * {least}"
         ),
     )
     return meets.select(
@@ -302,7 +315,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     described = staged(_described(texts))
     rows = described.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "sig")
     nodes = described.where("n > 0").groupBy("sig").agg(
-        F.min("k").alias("k"), F.min("doc_id").alias("first"), F.max("n").alias("n"))
+        F.min("k").alias("k"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("w").alias("w"))
     nodes = staged(nodes)
     bits = described.where("n > 0").select("sig", "bits").dropDuplicates(["sig"])
     often = (
@@ -349,11 +362,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
             "h", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
         split = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         number = F.row_number().over(W.partitionBy("h", "component").orderBy("pos", "sig"))
-        open_ = staged(placed.join(split.select("h"), "h", "left_semi").withColumn("number", number))
+        # In an order of their own for each list, so that different components meet in different lists.
+        turn = F.dense_rank().over(W.partitionBy("h").orderBy(F.xxhash64("component", "h"), "component"))
+        open_ = placed.join(split.select("h"), "h", "left_semi").withColumn("number", number).withColumn("turn", turn)
+        open_ = staged(open_.join(nodes.select("sig", "w"), "sig"))
         while True:
-            some = open_.where(F.col("number") <= STANDING_IN[step])
+            some = open_.where((F.col("turn") <= MEETING[step][0]) & (F.col("number") <= MEETING[step][1]))
             pairs = staged(_meetings(some).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-            if pairs.limit(1).count() or step == len(STANDING_IN) - 1:
+            if pairs.limit(1).count() or step == len(MEETING) - 1:
                 break
             step += 1
         if pairs.limit(1).count() == 0:
