@@ -39,9 +39,9 @@ FLUSH = 1 << 22
 #: Rows of inverted lists that one row of a listed subset stands against, when the boundary is chosen.
 LIST_COST = 8
 LARGEST_SMALL = 12
-#: Components of a list that meet, and members that stand for each, round after round; at last all do.
+#: Components of a list that meet (all, in their own order), and members that stand for each, round after round; at last all do.
 _ALL = 2**31 - 1
-MEETING = ((6, 1), (_ALL, 8), (_ALL, _ALL))
+MEETING = ((_ALL, 1), (_ALL, 8), (_ALL, _ALL))
 #: Words of 64 parity bits that list members carry.
 PARITY_WORDS = 8
 
