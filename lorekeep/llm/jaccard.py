@@ -39,11 +39,10 @@ FLUSH = 1 << 22
 #: Rows of inverted lists that one row of a listed subset stands against, when the boundary is chosen.
 LIST_COST = 8
 LARGEST_SMALL = 12
-#: Components of a list that meet (all, in their own order), and members that stand for each, round after round; at last all do.
-_ALL = 2**31 - 1
-MEETING = ((_ALL, 1), (_ALL, 8), (_ALL, _ALL))
+#: Members of a component that stand for it in a list, round after round; at last all do.
+MEETING = (1, 8, 2**31 - 1)
 #: Words of 64 parity bits that list members carry.
-PARITY_WORDS = 8
+PARITY_WORDS = 4
 
 
 def linked_size(a: int, b: int) -> int:
@@ -362,12 +361,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
             "h", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
         split = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         number = F.row_number().over(W.partitionBy("h", "component").orderBy("pos", "sig"))
-        # In an order of their own for each list, so that different components meet in different lists.
-        turn = F.dense_rank().over(W.partitionBy("h").orderBy(F.xxhash64("component", "h"), "component"))
-        open_ = placed.join(split.select("h"), "h", "left_semi").withColumn("number", number).withColumn("turn", turn)
+        open_ = placed.join(split.select("h"), "h", "left_semi").withColumn("number", number)
         open_ = staged(open_.join(nodes.select("sig", "w"), "sig"))
         while True:
-            some = open_.where((F.col("turn") <= MEETING[step][0]) & (F.col("number") <= MEETING[step][1]))
+            some = open_.where(F.col("number") <= MEETING[step])
             pairs = staged(_meetings(some).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
             if pairs.limit(1).count() or step == len(MEETING) - 1:
                 break

@@ -35,11 +35,11 @@ TEMPLATES = {
     "All-rights-reserved": "Copyright. All rights reserved.",
 }
 
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD, WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"
 
 
 def pairs_of(text: str) -> list[str]:
-    """Distinct word pairs of a template; a single word stands for itself."""
+    """Word pairs of a template (none may repeat); a single word stands for itself."""
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:]))) or words
 
@@ -57,42 +57,47 @@ def template_table(spark: SparkSession, templates: dict[str, str], least: float)
 
 def _pairs(text: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), " ")
-    return F.array_distinct(F.zip_with(
-        F.when(F.size(words) > 1, F.slice(words, 1, F.size(words) - 1)).otherwise(words),
-        F.when(F.size(words) > 1, F.slice(words, 2, F.size(words) - 1)).otherwise(F.array(F.lit(None).cast("string"))),
+    several = F.size(words) > 1
+    return F.zip_with(
+        F.when(several, F.slice(words, 1, F.size(words) - 1)).otherwise(words),
+        F.when(several, F.slice(words, 2, F.size(words) - 1)).otherwise(F.array(F.lit(None).cast("string"))),
         lambda a, b: F.concat_ws(" ", a, b),
-    ))
+    )
 
 
 def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, line, licence, dice: every line (from 1; 0: the whole of a text of several lines) and template that match.
 
-    NULL and empty texts, and lines without words, match nothing. Rows alike give their matches each; several
-    templates may match a line. Whole texts are read; a text longer than any template can match is ruled out
-    by the length of its normalised form. Further columns are ignored.
+    The size of a unit is its number of word pairs, repeats included; shared pairs count once. NULL and empty texts,
+    and lines without words, match nothing. Rows alike give their matches each; several templates may match a line.
+    Words of every line are counted; only of units whose size some template admits are pairs built. Further columns
+    are ignored.
     """
-    spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES, least)
+    templates = templates or TEMPLATES
     # One row per template and size: as many as the templates' words, whatever the input.
-    most = max(max(sizes_of(len(pairs_of(t)), least)) for t in (templates or TEMPLATES).values())
-    lines = F.split("text", "\n", -1)
-    units = docs.select(docs["doc_id"], docs["text"]).select(
-        "doc_id", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(lines)).alias("at", "unit"),
-        F.size(lines).alias("n"),
+    known = template_table(docs.sparkSession, templates, least)
+    sizes = [sizes_of(len(pairs_of(t)), least) for t in templates.values()]
+    low, high = min(map(min, sizes)), max(map(max, sizes))
+    counted = docs.select(
+        docs["doc_id"], docs["text"],
+        F.transform(F.split(docs["text"], "\n", -1),
+                    lambda x: F.struct(x.alias("unit"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"),
     )
-    line = F.when(F.col("n") > 1, F.col("at")).otherwise(F.col("at") + 1).cast("int")
-    # What has more blanks than the largest template can have pairs may still be short when normalised (rows of
-    # dashes), so the words of the whole unit are counted; only then are pairs built.
-    words = F.regexp_count("unit", F.lit(r"[\p{L}\p{N}]+"))
-    some = units.select("doc_id", line.alias("line"), "unit", words.alias("words")).where(F.col("words") > 0)
-    # A text may repeat its pairs: its distinct pairs can be fewer than its words, never more.
-    least_size = min(min(sizes_of(len(pairs_of(t)), least)) for t in (templates or TEMPLATES).values())
-    some = some.where(F.greatest(F.col("words") - 1, F.lit(1)) >= least_size)
-    own = some.withColumn("pairs", _pairs(F.col("unit"))).withColumn("size", F.size("pairs")).where(F.col("size") <= most)
+
+    def fits(words: Column) -> Column:
+        return (words > 0) & F.greatest(words - 1, F.lit(1)).between(low, high)
+
+    # A line break ends a word, so the words of the whole text are those of its lines.
+    total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["words"])
+    placed = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x["unit"].alias("unit"), x["words"].alias("words"))),
+                      lambda x: fits(x["words"]))
+    whole = F.when((F.size("lines") > 1) & fits(total), F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit"), total.alias("words"))))
+    none = F.array().cast("array<struct<line: int, unit: string, words: int>>")
+    units = counted.select("doc_id", F.explode(F.concat(placed, F.coalesce(whole, none))).alias("u"))
+    own = units.select("doc_id", "u.line", _pairs(F.col("u.unit")).alias("pairs")).withColumn("size", F.size("pairs"))
     shared = F.size(F.array_intersect("pairs", "template"))
     dice = 2 * shared / (F.col("size") + F.col("n_template"))
     return (
-        own.drop("unit", "words").join(F.broadcast(known), "size")
-        .withColumn("dice", dice).where(F.col("dice") >= least)
+        own.join(F.broadcast(known), "size").withColumn("dice", dice).where(F.col("dice") >= least)
         .select("doc_id", "line", "licence", "dice")
     )

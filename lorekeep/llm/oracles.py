@@ -74,7 +74,7 @@ l AS (
 ), p AS (
   SELECT doc_id, line,
          CASE WHEN len(words) > 1
-              THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+              THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])
               ELSE words END AS pairs
   FROM w WHERE words[1] <> ''
 ), m AS (
