@@ -47,7 +47,7 @@ def merged_results(hits: DataFrame, near: DataFrame | None, max_results: int = R
         both, [F.substring("content", 1, CONTENT_KEY_CHARS)], [F.col("_hit"), F.col("_pos")]
     )
     order = [F.col("score").desc(), F.col("_hit"), F.col("_pos")]
-    top = unique.orderBy(*order).limit(min(max_results, RESULT_CAP))
+    top = unique.orderBy(*order).limit(max_results)
     return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))).drop(
         "_hit", "_pos"
     )
