@@ -16,6 +16,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ BLOCK_CHARS = 1 << 16
 SEEK_CHARS = 1 << 12
 #: Tokens on each side of a join that are encoded again at first.
 WINDOW_TOKENS = 16
+#: Bytes of text whose ids a task holds as Python numbers, where one text is not longer.
+PART_BYTES = 1 << 19
 
 # Fixed values of the vocabulary file: what splits a text before the merges, and its one special token.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -121,6 +124,18 @@ def join_tree(parts: list[tuple[list[int], bool]], path: str) -> list[int]:
     return parts[0][0] if parts else []
 
 
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about PART_BYTES of text."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0)
+    start, room = 0, 0
+    for i, size in enumerate(sizes.to_pylist()):
+        if room and room + size > PART_BYTES:
+            yield batch.slice(start, i - start)
+            start, room = i, 0
+        room += size
+    yield batch.slice(start)
+
+
 def with_ids(
     docs: DataFrame,
     path: str,
@@ -150,18 +165,20 @@ def with_ids(
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield arrow(batch["key"], [finish(encode_text(t.as_py(), path)) for t in batch["text"]], template)
+            for part in _parts(batch, "text"):
+                yield arrow(part["key"], [finish(encode_text(t.as_py(), path)) for t in part["text"]], template)
 
     out = f"{id_col} {id_type}, {schema}"
     short = rows.where(~is_long).mapInArrow(encode_rows, out)
 
     def encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([encode_text(t.as_py(), path) for t in batch["block"]], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["key"], batch["no"], batch["clean"], ids],
-                names=["row", "key", "no", "clean", "ids"],
-            )
+            for part in _parts(batch, "block"):
+                ids = pa.array([encode_text(t.as_py(), path) for t in part["block"]], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part["row"], part["key"], part["no"], part["clean"], ids],
+                    names=["row", "key", "no", "clean", "ids"],
+                )
 
     def split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
