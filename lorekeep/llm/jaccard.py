@@ -248,6 +248,24 @@ def _near_enough(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return with_bits.select("a", "na", "b", "nb", "xa", "xb").mapInArrow(run, "a long, na long, b long, nb long")
 
 
+def _open(lists: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """h, sig, n, pos, component, number (among its component in the list), w: members that another component may join.
+
+    Of a member's list, the nearest in size of another component decide: they stand before and after the run of
+    its own component in the order of sizes.
+    """
+    h = W.partitionBy("h")
+    placed = lists.join(parts, lists["sig"] == parts["node"], "left").select(
+        "h", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
+    placed = placed.withColumn("number", F.row_number().over(W.partitionBy("h", "component").orderBy("pos", "sig")))
+    for name, order in (("below", ("n", "sig")), ("above", (F.desc("n"), F.desc("sig")))):
+        near = h.orderBy(*order)
+        new_run = F.when(F.lag("component").over(near) != F.col("component"), F.lag("n").over(near))
+        placed = placed.withColumn("edge", new_run).withColumn(name, F.last("edge", ignorenulls=True).over(near))
+    some = placed.where("5 * below >= 4 * n or 5 * n >= 4 * above").select("h", "sig", "n", "pos", "component", "number")
+    return some.join(nodes.select("sig", "w"), "sig")
+
+
 def _meetings(members: DataFrame) -> DataFrame:
     """a, na, b, nb: pairs of list members of different components that can be linked, b the smaller signature.
 
@@ -316,7 +334,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     nodes = described.where("n > 0").groupBy("sig").agg(
         F.min("k").alias("k"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("w").alias("w"))
     nodes = staged(nodes)
-    bits = described.where("n > 0").select("sig", "bits").dropDuplicates(["sig"])
+    bits = staged(described.where("n > 0").select("sig", "bits").dropDuplicates(["sig"]))
     often = (
         described.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("seen").alias("seen"))
         .orderBy(F.desc("seen"), "h").limit(FREQUENT).toArrow()
@@ -328,7 +346,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     bound = choose_boundary(histogram)
     links = staged(_subset_links(texts, bound)) if bound else None
 
-    h, group = W.partitionBy("h"), W.partitionBy("h", "size_class")
+    group, by_size = W.partitionBy("h", "size_class"), W.partitionBy("h").orderBy("n", "sig")
     # Sizes of a class differ by less than a fifth: each can be linked with each.
     lists = (
         _list_rows(texts, frequent, ranks, bound).repartition("h")
@@ -336,8 +354,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
         .withColumn("first", F.first("sig").over(group.orderBy("sig")))
         .withColumn("before", F.lag("sig").over(group.orderBy("sig")))
         .where(F.col("before").isNull() | (F.col("before") != F.col("sig")))
-        .withColumn("rows", F.count(F.lit(1)).over(h))
-        .where("rows > 1")
+        # Who has no other of a fitting size in a list can't be linked by it.
+        .withColumn("below", F.lag("n").over(by_size))
+        .withColumn("above", F.lead("n").over(by_size))
+        .where("5 * below >= 4 * n or 5 * n >= 4 * above")
         .select("h", "sig", "n", "pos", "first")
     )
     lists = staged(lists)
@@ -347,31 +367,23 @@ def _grouped(docs: DataFrame) -> DataFrame:
     heads = heads.join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
     one = heads.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("c", "b")).alias("x"))
     pairs = staged(one.select("a", "na", "x.b", "x.nb"))
-    tried, step = pairs, 0
     nobody = lists.select(F.col("sig").alias("node"), F.col("sig").alias("component")).limit(0)
     parts = nobody if links is None else connected_components(links)
-    while True:
+    tried, open_ = pairs, None
+    # What has met in a step has met for good: of a merged component no other members come first in a list.
+    for most in (0, *MEETING):
+        if most:
+            if open_ is None:
+                open_ = staged(_open(lists, parts, nodes))
+            pairs = staged(_meetings(open_.where(F.col("number") <= most)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            tried = tried.unionByName(pairs)
         near = staged(_near_enough(pairs, bits))
-        if near.limit(1).count():
-            found = _verified(near, nodes, texts)
-            links = staged(found if links is None else found.unionByName(links))
-            parts = connected_components(links)
-        # Members of a list that are not yet in one component, some of each or all.
-        placed = lists.join(parts, lists["sig"] == parts["node"], "left").select(
-            "h", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
-        split = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        number = F.row_number().over(W.partitionBy("h", "component").orderBy("pos", "sig"))
-        open_ = placed.join(split.select("h"), "h", "left_semi").withColumn("number", number)
-        open_ = staged(open_.join(nodes.select("sig", "w"), "sig"))
-        while True:
-            some = open_.where(F.col("number") <= MEETING[step])
-            pairs = staged(_meetings(some).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-            if pairs.limit(1).count() or step == len(MEETING) - 1:
-                break
-            step += 1
-        if pairs.limit(1).count() == 0:
-            break
-        tried = tried.unionByName(pairs)
+        if near.limit(1).count() == 0:
+            continue
+        found = staged(_verified(near, nodes, texts))
+        if found.limit(1).count():
+            links = found if links is None else found.unionByName(links)
+            parts, open_ = connected_components(links), None
     if links is None:
         spark = docs.sparkSession
         links = spark.createDataFrame([], "a long, b long")
