@@ -9,7 +9,7 @@ size from which on listing subsets costs more than scanning lists, by a count of
 
 A list is not turned into all its pairs. First every member meets only the first of its size;
 what proves to be linked forms components; then only members of different components meet, first one of each
-component in a list, then more, until no such pair is left. Before whole sets are compared, bit vectors (a bit per
+component in a list, then eight, at last all. Before whole sets are compared, bit vectors (a bit per
 residue, flipped by each n-gram) show for most pairs that they differ in too many n-grams.
 """
 
