@@ -25,6 +25,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def counted_often(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur `least` times or more (2 at least), ascending, and how often. Sorts `codes` in place, without further copies."""
+    codes.sort()
+    again = codes[: 1 - least][codes[least - 1 :] == codes[: 1 - least]]
+    found, more = np.unique(again, return_counts=True)
+    return found, more + least - 1
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2^64."""
     inverse = np.uint64(pow(int(_ODD), -1, 2**64))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lorekeep.llm.bytescan import mixed, shingle_sets
+from lorekeep.llm.bytescan import counted_often, mixed, shingle_sets
 from lorekeep.llm.components import connected_components
 from lorekeep.llm.tables import small, unused
 from lorekeep.sources.collections import staged
@@ -119,8 +119,9 @@ def _described(texts: DataFrame) -> DataFrame:
         room = 0
 
         def often() -> pa.RecordBatch:
-            codes, seen = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            codes, seen = codes[seen >= SEEN], seen[seen >= SEEN]
+            codes = np.concatenate(list(held.values()))
+            held.clear()
+            codes, seen = counted_often(codes, SEEN)
             none = pa.nulls(len(codes), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [none, none, none, none, none, pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.list_(pa.int64())),

@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lorekeep.llm.bytescan import _BYTE_CODES, _ODD, _tables, mixed, text_bytes
+from lorekeep.llm.bytescan import _BYTE_CODES, _ODD, _tables, counted_often, mixed, text_bytes
 from lorekeep.llm.tables import unused
 from lorekeep.sources.collections import staged
 
 THRESHOLD = 100
 ANCHOR_BYTES = 32  # a power of two
 #: Windows of a long text that are looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 17
 #: An anchor that a task has seen this often is put on the list of frequent ones; the list has at most FREQUENT entries.
 SEEN, FREQUENT = 64, 1 << 16
-#: Units that tasks hold to find equal ones among their own.
+#: Anchors that tasks hold to find frequent ones.
 FLUSH = 1 << 19
+#: Units that tasks hold to find equal ones among their own.
+UNITS_HELD = 1 << 17
 #: Units of one anchor that a task orders by itself; more are left to Spark.
 GROUP_UNITS = 1 << 15
 #: Bytes of units that a task orders together, where one group is not larger.
@@ -127,9 +129,8 @@ def _frequent(rows: DataFrame, threshold: int) -> np.ndarray:
         held, room = [], 0
 
         def often() -> pa.RecordBatch:
-            codes, seen = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(_signed(codes[seen >= SEEN])), pa.array(seen[seen >= SEEN])],
-                                              names=["h", "seen"])
+            codes, seen = counted_often(np.concatenate(held), SEEN)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(codes)), pa.array(seen)], names=["h", "seen"])
 
         for batch in batches:
             data, places = text_bytes(batch["text"])
@@ -180,7 +181,7 @@ def _units(rows: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
                 if len(g):
                     held.append((g, u, np.full(len(g), o, np.int64), np.full(len(g), t, np.int64), lo, n))
                     room += len(g)
-                    if room > FLUSH:
+                    if room > UNITS_HELD:
                         yield out()
                         held, room = [], 0
         if held:
