@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import MESSAGE_KEY_CHARS, int_or_null, or_null, stripped
+from lorekeep.functions.text import int_or_null, or_null, stripped
 
 # Header fields that tell the two known chat formats apart.
 STANDARD_FIELDS = ("id", "MsgSvrID", "type_name", "is_sender", "talker", "msg", "CreateTime")
@@ -155,7 +155,3 @@ def record_hash(source: Column, row_no: Column, create_time: Column, msg: Column
 def upsert_id(source: Column, time: Column, msg_content: Column) -> Column:
     """Key of a stored chat record. Talker and room are not part of it."""
     return F.md5(F.concat(source, time.cast("string"), msg_content))
-
-
-def clipped_message(msg: Column) -> Column:
-    return F.substring(msg, 1, MESSAGE_KEY_CHARS)

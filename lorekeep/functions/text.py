@@ -50,7 +50,6 @@ HEADING_LINE = (
     r")[^\n]*)"
 )
 
-MESSAGE_KEY_CHARS = 200
 PREVIEW_CHARS = 120
 OCR_MIN_CHARS = 50
 
@@ -68,7 +67,7 @@ def or_null(text: Column) -> Column:
 def int_or_null(text: Column) -> Column:
     """Whole number from text, NULL when it is none. Underscores between digits are allowed."""
     plain = F.regexp_replace(stripped(text), r"(?<=\d)_(?=\d)", "")
-    return F.when(plain.rlike(r"^[+-]?\d+$"), plain.try_cast("int"))
+    return F.when(plain.rlike(r"^[+-]?\d+$"), plain.try_cast("bigint"))
 
 
 def is_valid_message(msg: Column, type_name: Column) -> Column:
@@ -93,8 +92,9 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(stripped(text) == "", F.lit(True))
 
 
-def message_key(msg: Column) -> Column:
-    return F.substring(msg, 1, MESSAGE_KEY_CHARS)
+def prefix(text: Column, chars: int | None = None) -> Column:
+    """The first `chars` characters of a text, or all of it."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def one_line(text: Column, chars: int = PREVIEW_CHARS) -> Column:

@@ -17,23 +17,23 @@ def valid_rows(raw: DataFrame) -> DataFrame:
     return raw.where(_valid())
 
 
-def cleaned_rows(raw: DataFrame, order: str = "position") -> DataFrame:
-    """Valid rows, one per (file, time, first 200 characters of the message): the earliest."""
+def cleaned_rows(raw: DataFrame, order: str = "position", key_chars: int | None = None) -> DataFrame:
+    """Valid rows, one per (file, time, message): the earliest. With key_chars only a message's start counts."""
     keys = [
         F.col("source"),
         F.coalesce(F.col("CreateTime"), F.lit("")),
-        text.message_key(F.col("msg")),
+        text.prefix(F.col("msg"), key_chars),
     ]
     return first_rows(valid_rows(raw), keys, [F.col(order)])
 
 
-def cleaning_counts(raw: DataFrame) -> DataFrame:
-    """Per file: rows read, dropped as invalid, dropped as copies, kept, share saved."""
+def cleaning_counts(raw: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """Per file: rows read, dropped as invalid, dropped as copies, kept, share saved. key_chars as in cleaned_rows."""
     by_key = raw.groupBy(
         "source",
         _valid().alias("_valid"),
         F.when(_valid(), F.coalesce(F.col("CreateTime"), F.lit(""))).alias("_time"),
-        F.when(_valid(), text.message_key(F.col("msg"))).alias("_key"),
+        F.when(_valid(), text.prefix(F.col("msg"), key_chars)).alias("_key"),
     ).agg(F.count(F.lit(1)).alias("_rows"))
     valid_sum = F.coalesce(F.sum(F.when(F.col("_valid"), F.col("_rows"))), F.lit(0))
     counts = by_key.groupBy("source").agg(
@@ -87,8 +87,11 @@ def numbered_records(records: DataFrame, block: str = "block", order: str = "pos
     return number_in_order(records, ["source"], block, [F.col(order)], start=2)
 
 
-def chat_documents(numbered: DataFrame) -> DataFrame:
-    """Records worth indexing, with content text, metadata and identity hash."""
+def chat_documents(numbered: DataFrame, message_chars: int | None = None) -> DataFrame:
+    """Records worth indexing, with content text, metadata and identity hash.
+
+    msg_content, from which storage keys are made, is the whole message, or its first message_chars characters.
+    """
     kept = valid_rows(numbered)
     return kept.select(
         "source",
@@ -100,7 +103,7 @@ def chat_documents(numbered: DataFrame) -> DataFrame:
         F.coalesce(F.col("room_name"), F.lit("")).alias("room"),
         "is_sender",
         "is_forward",
-        chat.clipped_message(F.col("msg")).alias("msg_content"),
+        text.prefix(F.col("msg"), message_chars).alias("msg_content"),
         chat.record_hash(
             F.col("source"), F.col("row_no"), F.col("CreateTime"), F.col("msg")
         ).alias("record_hash"),

@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.functions import context
+from lorekeep.functions import context, text
 from lorekeep.operators.neighbours import TEMPORAL_WEIGHT
 from lorekeep.operators.ordering import first_rows
 
-CONTENT_KEY_CHARS = 50
 RESULT_CAP = 50
 JUDGED_PASSAGES = 15
 
 
-def merged_results(hits: DataFrame, near: DataFrame | None, max_results: int = RESULT_CAP) -> DataFrame:
+def merged_results(
+    hits: DataFrame, near: DataFrame | None, max_results: int = RESULT_CAP, content_key_chars: int | None = None
+) -> DataFrame:
     """Hits and their neighbours in one ranked list, without repeats.
 
     Order of arrival: each hit by rank, then its neighbours in time order. The
-    first arrival of a content key stays, with the score it arrived with. The
-    list is then ordered by score; equal scores keep the order of arrival.
+    first arrival of a content stays, with the score it arrived with; with
+    content_key_chars, contents that start alike count as one. The list is then
+    ordered by score; equal scores keep the order of arrival.
     """
     semantic = hits.withColumns(
         {
@@ -44,7 +46,7 @@ def merged_results(hits: DataFrame, near: DataFrame | None, max_results: int = R
         ).drop("anchor_rank", "anchor_time", "neighbour_pos", "proximity")
         both = semantic.unionByName(temporal)
     unique = first_rows(
-        both, [F.substring("content", 1, CONTENT_KEY_CHARS)], [F.col("_hit"), F.col("_pos")]
+        both, [text.prefix(F.col("content"), content_key_chars)], [F.col("_hit"), F.col("_pos")]
     )
     order = [F.col("score").desc(), F.col("_hit"), F.col("_pos")]
     top = unique.orderBy(*order).limit(max_results)

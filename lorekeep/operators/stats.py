@@ -18,17 +18,18 @@ def reply_token_limit(
     percentile: int = 90,
     scale: float = 1.5,
     minimum: int = 30,
+    longest: int = 200,
 ) -> DataFrame:
     """Token limit from the length of own messages: the value at index floor(n*p/100).
 
-    Lengths are at most 200, so a histogram of lengths stands for the sorted list.
+    A message counts as `longest` characters at most, so a histogram of lengths stands for the sorted list.
     """
     own = F.col("is_sender") == 1
-    histogram = documents.groupBy(*group, F.when(own, F.length("msg_content")).alias("_len")).agg(
+    histogram = documents.groupBy(*group, F.when(own, F.least(F.length("msg_content"), F.lit(longest))).alias("_len")).agg(
         F.count(F.lit(1)).alias("_n")
     )
     known = F.when(F.col("_len").isNotNull(), F.col("_n"))
-    # At most 201 rows per group reach this window.
+    # At most longest + 2 rows per group reach this window.
     per_group = W.partitionBy(*[F.col(g) for g in group]) if group else W.partitionBy(F.lit(0))
     up_to = per_group.orderBy(F.col("_len").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     ranked = histogram.select(

@@ -33,8 +33,9 @@ def clean_chat_folder(
 ) -> DataFrame:
     """Write cleaned copies of all files with their own columns; returns counts per file.
 
-    With in_place the cleaned rows are staged first and then take the place of
-    the folder; `out` is not used.
+    With in_place the cleaned rows are written into the folder before its old files
+    go; `out` is not used. After a failure in between both are there, and cleaning
+    again drops the rows that are there twice.
     """
     groups = chat_csv.header_groups(spark, folder, pattern)
     if not groups:
@@ -49,11 +50,11 @@ def clean_chat_folder(
         counts = part if counts is None else counts.unionByName(part)
         copies.append(copy)
     counts = staged(counts)
+    for copy in copies:
+        chat_csv.write_clean(copy, folder if in_place else out)
     if in_place:
         for path in [p for g in groups for p in g.paths]:
             files.delete(spark, path)
-    for copy in copies:
-        chat_csv.write_clean(copy, folder if in_place else out)
     return counts
 
 

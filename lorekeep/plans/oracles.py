@@ -51,7 +51,7 @@ _CHAT = f"""ev AS (
     AND body <> 'I''ve accepted your friend request. Now let''s chat!' AND NOT contains(body, '<msg>')
 ), cleaned AS (
   SELECT * FROM valid
-  QUALIFY row_number() OVER (PARTITION BY source, coalesce("CreateTime", ''), substr(msg, 1, 200) ORDER BY position) = 1
+  QUALIFY row_number() OVER (PARTITION BY source, coalesce("CreateTime", ''), msg ORDER BY position) = 1
 ), counts AS (
   SELECT c.source, c.total, c.total - coalesce(v.n, 0) AS filtered,
     coalesce(v.n, 0) - coalesce(k.n, 0) AS duplicates, coalesce(k.n, 0) AS kept,
@@ -80,7 +80,7 @@ _RECORDS = f"""normal AS (
   SELECT source, row_no, talker || CASE WHEN room_name IS NOT NULL THEN '@' || room_name ELSE '' END || ': ' || msg AS content,
     talker, coalesce(CAST(epoch(TRY_CAST("CreateTime" AS TIMESTAMP)) AS BIGINT), 0) AS chat_time,
     coalesce("CreateTime", '') AS chat_time_str, coalesce(room_name, '') AS room, is_sender, is_forward,
-    substr(msg, 1, 200) AS msg_content, record_hash
+    msg AS msg_content, record_hash
   FROM marked WHERE ok
 ), keyed AS (
   SELECT *, md5(source || chat_time || msg_content) AS id FROM docs
@@ -90,8 +90,8 @@ _RECORDS = f"""normal AS (
 _FULL = _with(_CHAT, _RECORDS)
 
 _LIMIT = """own AS (
-  SELECT source, length(msg_content) AS len,
-    row_number() OVER (PARTITION BY {part} ORDER BY length(msg_content)) - 1 AS pos,
+  SELECT source, least(length(msg_content), 200) AS len,
+    row_number() OVER (PARTITION BY {part} ORDER BY least(length(msg_content), 200)) - 1 AS pos,
     count(*) OVER (PARTITION BY {part}) AS n
   FROM docs WHERE is_sender = 1
 ), pick AS (
@@ -264,7 +264,7 @@ def _search(k: int = 15, minutes: int = 30, per: int = 8, cap: int = 50) -> str:
   SELECT id, content, chat_time, chat_time_str, 'temporal', greatest(0, proximity) * CAST(0.5 AS DOUBLE), anchor_rank, neighbour_pos FROM near
 ),
 firsts AS (
-  SELECT * FROM arrivals QUALIFY row_number() OVER (PARTITION BY substr(content, 1, 50) ORDER BY hit, pos) = 1
+  SELECT * FROM arrivals QUALIFY row_number() OVER (PARTITION BY content ORDER BY hit, pos) = 1
 ),
 found AS (
   SELECT *, row_number() OVER (ORDER BY score DESC, hit, pos) AS rank FROM firsts

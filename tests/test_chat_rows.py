@@ -32,13 +32,14 @@ def test_cleaning_keeps_the_first_of_a_key(spark):
         ("f1", "ann", " hello", "t1"), ("f1", "ann", "no", "t1"),
     ])
     kept = {r.position for r in chatrows.cleaned_rows(rows).collect()}
-    assert kept == {0, 2, 3, 4, 7}
+    assert kept == {0, 2, 3, 4, 5, 7}
+    assert {r.position for r in chatrows.cleaned_rows(rows, key_chars=200).collect()} == {0, 2, 3, 4, 7}
     counts = {r.source: (r.total, r.filtered, r.duplicates, r.kept, r.saved_pct) for r in chatrows.cleaning_counts(rows).collect()}
-    assert counts == {"f1": (8, 1, 3, 4, 50.0), "f2": (1, 0, 0, 1, 0.0)}
+    assert counts == {"f1": (8, 1, 2, 5, 37.5), "f2": (1, 0, 0, 1, 0.0)}
     beside = chatrows.counts_beside(rows, chatrows.cleaned_rows(rows))
     assert sorted(beside.collect()) == sorted(chatrows.cleaning_counts(rows).select(*beside.columns).collect())
     total = chatrows.cleaning_totals(chatrows.cleaning_counts(rows)).head()
-    assert (total.total, total.kept, total.saved, total.saved_pct) == (9, 5, 4, 44.4)
+    assert (total.total, total.kept, total.saved, total.saved_pct) == (9, 6, 3, 33.3)
 
 
 def test_cleaning_twice_changes_nothing(spark):

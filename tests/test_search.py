@@ -65,7 +65,7 @@ def test_empty_collection(spark):
     assert similarity.mmr(empty, [1.0, 0.0], 5, 60).collect() == []
 
 
-def model_search(records, order, p):
+def model_search(records, order, p, key_chars=None):
     """records: id -> (content, time); order: ids of the selected hits."""
     w = p.time_window_minutes * 60
     arrivals = [(hit, 0, i, "semantic", 1.0) for hit, i in enumerate(order)]
@@ -77,7 +77,7 @@ def model_search(records, order, p):
                 arrivals.append((hit, pos, j, "temporal", 0.5 - 0.5 * abs(records[j][1] - t) / w))
     firsts = {}
     for arrival in sorted(arrivals):
-        firsts.setdefault(records[arrival[2]][0][:50], arrival)
+        firsts.setdefault(records[arrival[2]][0][:key_chars], arrival)
     best = sorted(firsts.values(), key=lambda a: (-a[4], a[0], a[1]))
     return [a[2:] for a in best][: min(50, p.max_total_results)]
 
@@ -109,6 +109,13 @@ def test_search_matches_the_step_by_step_list(spark, params):
     assert [(r.id, r.result_source, pytest.approx(r.score)) for r in got] == want
 
 
+def test_contents_that_start_alike(spark):
+    same = "p" * 50
+    hits = spark.createDataFrame([(1, same + "a", 1), (2, same + "b", 2), (3, same + "a", 3)], "id int, content string, rank int")
+    assert [r.id for r in results.merged_results(hits, None).orderBy("rank").collect()] == [1, 2]
+    assert [r.id for r in results.merged_results(hits, None, content_key_chars=50).collect()] == [1]
+
+
 def test_neighbours_nearest_mode(spark):
     rows = spark.createDataFrame([(i, i, 100 + 10 * i) for i in range(10)], "id int, seq int, chat_time long")
     got = neighbours.time_neighbours(rows, [(1, 150)], 1, 3, mode="nearest").orderBy("neighbour_pos").collect()

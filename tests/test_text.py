@@ -22,8 +22,8 @@ def test_strip_equals_python(spark):
 
 
 def test_int_or_null(spark):
-    values = ["", "x", "1.0", " 1 ", "+3", "-2", "1_0", "_1", "1__0", None, "99999999999"]
-    assert column(spark, text.int_or_null, values) == [None, None, None, 1, 3, -2, 10, None, None, None, None]
+    values = ["", "x", "1.0", " 1 ", "+3", "-2", "1_0", "_1", "1__0", None, "99999999999", "9" * 20]
+    assert column(spark, text.int_or_null, values) == [None, None, None, 1, 3, -2, 10, None, None, None, 99999999999, None]
 
 
 @pytest.mark.parametrize(
