@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 
 LEAST = 0.8
 
+# The Creative Commons licences and their clauses.
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
 # Short forms in which licences are commonly named.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -29,10 +36,12 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "BSD": "Distributed under the BSD 3-Clause License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "All-rights-reserved": "Copyright. All rights reserved.",
+    **{f"CC-{k}-4.0": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _CC.items()},
+    **{f"CC-{k}-4.0-short": f"Licensed under CC {k} 4.0." for k in _CC},
+    **{f"CC-{k}-4.0-work": f"This work is licensed under CC {k} 4.0." for k in _CC},
+    **{f"CC-{k}-4.0-name": f"CC {k} 4.0" for k in _CC},
 }
 
 NOT_WORD, WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"

@@ -208,6 +208,37 @@ def test_licences(spark):
     assert licences.licence_matches(docs.limit(0)).count() == 0
 
 
+def test_notice_lines_of_documents_name_their_licence(spark):
+    # Written by hand: the notice lines that occur in documents, and the forms of the Creative Commons licences.
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "All rights reserved.": "All-rights-reserved",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "This work is licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+        "This work is licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.explode(F.split("text", "\n")).alias("x"))
+    seen = docs.where(F.length("x") < 200).where(F.col("x").rlike("(?i)licen[cs]e|rights reserved|creative commons|copyright|CC BY"))
+    lines = {r.x for r in seen.distinct().collect()}
+    assert lines and lines <= set(want)
+    units = spark.createDataFrame([(i, x) for i, x in enumerate(want)], "doc_id long, text string")
+    best = {}
+    for r in licences.licence_matches(units).collect():
+        best.setdefault(r.doc_id, []).append((r.dice, r.licence))
+    for i, (line, licence) in enumerate(want.items()):
+        top = max(d for d, _ in best[i])
+        names = {n.removesuffix("-short").removesuffix("-work").removesuffix("-name") for d, n in best[i] if d == top}
+        assert names == {licence}, line
+
+
 def test_section_counts(odd):
     from tokenizers import Tokenizer
 
