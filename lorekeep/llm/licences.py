@@ -4,6 +4,10 @@ Lines, and whole texts of several lines, are normalised to lower-case words. A t
 unit of text match when twice the word pairs they share is at least `least` times the pairs
 of both. Sizes alone rule most templates out: each is listed under the sizes that can still
 reach `least`, and a unit only meets those listed under its own size.
+
+Notices that are wrapped, or stand inside longer lines, are found as windows: consecutive words
+of a text, across its lines, from one shared pair to another. Only texts with one of a few words
+are looked at: a match shares so many pairs of its template that one of them has such a word.
 """
 
 from __future__ import annotations
@@ -14,7 +18,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.llm.licence_texts import TEXTS
+
 LEAST = 0.8
+#: In a window, a template of so few pairs must occur whole.
+WHOLE_PAIRS = 3
 
 # The Creative Commons licences and their clauses.
 _CC = {
@@ -38,12 +46,18 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "All-rights-reserved": "Copyright. All rights reserved.",
+    "All-rights-reserved-short": "All rights reserved.",
     **{f"CC-{k}-4.0": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _CC.items()},
     **{f"CC-{k}-4.0-short": f"Licensed under CC {k} 4.0." for k in _CC},
     **{f"CC-{k}-4.0-work": f"This work is licensed under CC {k} 4.0." for k in _CC},
     **{f"CC-{k}-4.0-name": f"CC {k} 4.0" for k in _CC},
+    **TEXTS,
 }
 
+#: Words that ordinary texts have: the last that windows are looked for by.
+_COMMON = set("a all an and any are as at be by can copy copies for free from in is it may not of on or that the this to under use "
+              "with without work you your".split())
+
 NOT_WORD, WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"
 
 
@@ -58,6 +72,23 @@ def sizes_of(n: int, least: float) -> range:
     return range(math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9) + 1)
 
 
+def needed_in_window(n: int, least: float) -> int:
+    """Pairs of a template of n that a window must share; fewer can't reach `least`."""
+    return n if n <= WHOLE_PAIRS else math.ceil(n * least / (2 - least) - 1e-9)
+
+
+def telling_words(templates: dict[str, str], least: float) -> list[str]:
+    """Words of which every window that matches has at least one: fewer pairs than needed are without them."""
+    chosen: set[str] = set()
+    for pairs in map(pairs_of, templates.values()):
+        while True:
+            left = [w for p in pairs if not chosen & set(p.split(" ")) for w in [p.split(" ")]]
+            if len(left) < needed_in_window(len(pairs), least):
+                break
+            chosen.add(min({w for p in left for w in p}, key=lambda w: (w in _COMMON, w.isdigit(), -len(w), w)))
+    return sorted(chosen)
+
+
 def template_table(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
     rows = [(name, pairs, len(pairs), size) for name, text in templates.items()
             for pairs in [pairs_of(text)] for size in sizes_of(len(pairs), least)]
@@ -77,7 +108,8 @@ def _pairs(text: Column) -> Column:
 def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, line, licence, dice: every line (from 1; 0: the whole of a text of several lines) and template that match.
 
-    The size of a unit is its number of word pairs, repeats included; shared pairs count once. NULL and empty texts,
+    Also every window of words that matches better than those that overlap it, with the line it begins in, unless the
+    whole text, or a line that the window touches, matches the template. The size of a unit is its number of word pairs, repeats included; shared pairs count once. NULL and empty texts,
     and lines without words, match nothing. Rows alike give their matches each; several templates may match a line.
     Words of every line are counted; only of units whose size some template admits are pairs built. Further columns
     are ignored.
@@ -106,7 +138,76 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     own = units.select("doc_id", "u.line", _pairs(F.col("u.unit")).alias("pairs")).withColumn("size", F.size("pairs"))
     shared = F.size(F.array_intersect("pairs", "template"))
     dice = 2 * shared / (F.col("size") + F.col("n_template"))
-    return (
-        own.join(F.broadcast(known), "size").withColumn("dice", dice).where(F.col("dice") >= least)
-        .select("doc_id", "line", "licence", "dice")
-    )
+    found = own.join(F.broadcast(known), "size").withColumn("dice", dice).where(F.col("dice") >= least)
+    return found.select("doc_id", "line", "licence", "dice").unionByName(_windows(docs, templates, least))
+
+
+def _windows(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """doc_id, line, licence, dice of windows. All work on a text is done inside its row."""
+    listed = [(k, p, len(p), needed_in_window(len(p), least), math.floor(len(p) * (2 - least) / least + 1e-9))
+              for k, v in templates.items() for p in [pairs_of(v)] if " " in p[0]]
+    known = docs.sparkSession.createDataFrame(
+        listed, "licence string, template array<string>, n_template int, needed int, largest int")
+    telling = f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(map(re.escape, telling_words(templates, least)))})(?![\\p{{L}}\\p{{N}}])"
+    texts = docs.select(docs["doc_id"], F.lower(docs["text"]).alias("text")).where(F.col("text").rlike(telling))
+    # Words with their line; lines without words have none.
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, NOT_WORD, " ")))
+    placed = F.flatten(F.transform(lines, lambda x, i: F.transform(
+        F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    texts = texts.select("doc_id", F.size(lines).alias("n_lines"), placed.alias("words"))
+    # Pairs of any template: place, pair, line of the first and of the second word.
+    every = sorted({p for _, pairs, *_ in listed for p in pairs})
+    all_pairs = F.zip_with(
+        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))),
+        lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("pair"), a["line"].alias("line"), b["line"].alias("till")))
+    hits = F.filter(
+        F.transform(all_pairs, lambda x, i: F.struct(i.alias("at"), x["pair"].alias("pair"), x["line"].alias("line"), x["till"].alias("till"))),
+        lambda x: x["pair"].isin(every))
+    texts = texts.select("doc_id", "n_lines", "words", hits.alias("hits"))
+    near = texts.join(F.broadcast(known), F.size(F.array_intersect(F.col("hits.pair"), F.col("template"))) >= F.col("needed"))
+    own = near.withColumn("hits", F.filter("hits", lambda x: F.array_contains("template", x["pair"])))
+    # The last place before with the same pair, as far back as a window can reach.
+    before = F.transform("hits", lambda x, i: F.struct(
+        x["at"].alias("at"), x["line"].alias("line"), x["till"].alias("till"), x["pair"].alias("pair"),
+        F.coalesce(F.array_max(F.transform(F.filter(
+            F.slice("hits", F.greatest(i + 1 - F.col("largest"), F.lit(1)), F.least(i, F.col("largest"))),
+            lambda y: y["pair"] == x["pair"]), lambda y: y["at"])), F.lit(-1)).alias("prev")))
+    own = own.withColumn("hits", before)
+    n = F.col("n_template")
+
+    def best_from(a: Column, i: Column) -> Column:
+        """Of the windows that begin with hit a: the best end."""
+        start = F.struct(F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), a["at"].alias("till_at"), a["till"].alias("till"))
+
+        def step(s: Column, b: Column) -> Column:
+            shared = s["shared"] + (b["prev"] < a["at"]).cast("int")
+            size = b["at"] - a["at"] + 1
+            dice = F.when(size <= F.col("largest"), 2.0 * shared / (size + n)).otherwise(0.0)
+            better = dice > s["dice"]
+            return F.struct(
+                shared.alias("shared"), F.when(better, dice).otherwise(s["dice"]).alias("dice"),
+                F.when(better, b["at"]).otherwise(s["till_at"]).alias("till_at"), F.when(better, b["till"]).otherwise(s["till"]).alias("till"))
+
+        end = F.aggregate(F.slice("hits", i + 1, F.col("largest")), start, step)
+        return F.transform(F.array(end), lambda e: F.struct(
+            a["at"].alias("at"), e["till_at"].alias("till_at"), a["line"].alias("line"), e["till"].alias("till"), e["dice"].alias("dice")))[0]
+
+    limit = F.when(n <= WHOLE_PAIRS, 1.0).otherwise(F.lit(float(least)))
+    # A whole text that matches by itself is reported above.
+    whole = F.when(F.col("n_lines") > 1, 2.0 * F.size(F.array_distinct("hits.pair")) / (F.size("words") - 1 + n)).otherwise(0.0)
+    starts = F.when(whole < least, F.transform("hits", best_from)).otherwise(F.array())
+    # Of windows that overlap, the best; of equal ones the first.
+    kind = "array<struct<at: int, till_at: int, line: int, till: int, dice: double>>"
+    picked = F.aggregate(F.filter(starts, lambda x: x["dice"] >= limit), F.array().cast(kind), lambda s, x: F.when(
+        (F.size(s) > 0) & (F.element_at(s, -1)["till_at"] >= x["at"]),
+        F.when(x["dice"] > F.element_at(s, -1)["dice"], F.concat(F.slice(s, 1, F.size(s) - 1), F.array(x))).otherwise(s),
+    ).otherwise(F.concat(s, F.array(x))))
+    # Outer, so that the optimizer does not repeat all of the above in a filter.
+    each = own.select("doc_id", "licence", "n_template", "words", "hits", F.explode_outer(picked).alias("x")).where("x is not null")
+
+    def alone(line: Column) -> Column:
+        shared = F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: (h["line"] == line) & (h["till"] == line)), lambda h: h["pair"])))
+        return 2.0 * shared / (F.size(F.filter("words", lambda w: w["line"] == line)) - 1 + n) >= least
+
+    found = each.where(~F.exists(F.sequence("x.line", "x.till"), alone))
+    return found.select("doc_id", F.col("x.line").alias("line"), "licence", F.col("x.dice").alias("dice"))

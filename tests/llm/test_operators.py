@@ -239,6 +239,39 @@ def test_notice_lines_of_documents_name_their_licence(spark):
         assert names == {licence}, line
 
 
+def test_licence_texts_wrapped_in_longer_documents(spark):
+    import textwrap
+
+    from lorekeep.llm.licence_texts import TEXTS
+
+    prose = "\n".join(" ".join(f"word{i * 9 + j}" for j in range(9)) for i in range(30))
+
+    def at_78(text: str, mark: str = "") -> str:
+        return "\n".join(mark + x for x in textwrap.wrap(text, 78))
+
+    docs = [
+        (1, f"{prose}\n{at_78(TEXTS['MIT-text'])}\n{prose}", 31, "MIT-text"),
+        (2, TEXTS["MIT-permission"], 1, "MIT-permission"),
+        (3, f"{prose}\n{at_78(TEXTS['GPL-3.0-header'], '# ')}\n{prose}", 31, "GPL-3.0-header"),
+        (4, f"{prose}\n\n{at_78(TEXTS['BSD-3-Clause-text'], ' * ')}\n{prose}", 32, "BSD-3-Clause-text"),
+        (5, f"{prose} this text is Licensed under CC BY-NC 4.0. and {prose}", 30, "CC-BY-NC-4.0-short"),
+        (6, open("/usr/share/common-licenses/GPL-3").read(), 1, "GPL-3.0-title"),
+        (7, f"{prose}\n{at_78(TEXTS['MIT-permission'])}\n{prose}\n{at_78(TEXTS['MIT-permission'])}", 31, "MIT-permission"),
+        (8, f"{prose} 12 by 4.0 rights reserved {prose}", None, None),
+    ]
+    table = spark.createDataFrame([d[:2] for d in docs] + [(9, None), (9, "")], "doc_id long, text string")
+    got = {}
+    for r in licences.licence_matches(table).collect():
+        got.setdefault(r.doc_id, []).append((r.dice, r.line, r.licence))
+    for i, _, line, licence in docs:
+        if licence is None:
+            assert i not in got
+            continue
+        assert (line, licence) in {x[1:] for x in got[i] if x[0] > 0.9}, (i, got[i])
+    assert sorted(x[1] for x in got[7] if x[2] == "MIT-permission") == [31, 31 + 30 + len(at_78(TEXTS["MIT-permission"]).split("\n"))]
+    assert 9 not in got
+
+
 def test_section_counts(odd):
     from tokenizers import Tokenizer
 
