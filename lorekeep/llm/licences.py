@@ -7,13 +7,15 @@ reach `least`, and a unit only meets those listed under its own size.
 
 Notices that are wrapped, or stand inside longer lines, are found as windows: consecutive words
 of a text, across its lines, from one shared pair to another. Only texts with one of a few words
-are looked at: a match shares so many pairs of its template that one of them has such a word.
+are looked at: a match of any kind shares so many pairs of its template that one has such a word.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,16 +79,39 @@ def needed_in_window(n: int, least: float) -> int:
     return n if n <= WHOLE_PAIRS else math.ceil(n * least / (2 - least) - 1e-9)
 
 
-def telling_words(templates: dict[str, str], least: float) -> list[str]:
-    """Words of which every window that matches has at least one: fewer pairs than needed are without them."""
-    chosen: set[str] = set()
-    for pairs in map(pairs_of, templates.values()):
-        while True:
-            left = [w for p in pairs if not chosen & set(p.split(" ")) for w in [p.split(" ")]]
-            if len(left) < needed_in_window(len(pairs), least):
-                break
-            chosen.add(min({w for p in left for w in p}, key=lambda w: (w in _COMMON, w.isdigit(), -len(w), w)))
-    return sorted(chosen)
+def telling(templates: dict[str, str], least: float) -> tuple[list[str], list[str]]:
+    """Words, and pairs of short words, of which every unit that matches has at least one.
+
+    For each template fewer pairs than a match shares are without them.
+    """
+    words: set[str] = set()
+    pairs: set[str] = set()
+    listed = [pairs_of(t) for t in templates.values()]
+
+    def left(of: list[str]) -> list[str]:
+        rest = [p for p in of if p not in pairs and not any(w in words for w in p.split(" "))]
+        return rest if len(rest) >= math.ceil(len(of) * least / (2 - least) - 1e-9) else []
+
+    while rest := [p for of in listed for p in left(of)]:
+        able = Counter(w for p in rest for w in set(p.split(" ")) if len(w) > 4 and w not in _COMMON)
+        if able:
+            words.add(max(able, key=lambda w: (able[w], len(w), w)))
+        else:
+            pairs.add(max(rest, key=lambda p: (rest.count(p), len(p), p)))
+    return sorted(w for w in words if not any(v != w and v in w for v in words)), sorted(pairs)
+
+
+def _told(text: Column, templates: dict[str, str], least: float) -> Column:
+    words, pairs = telling(templates, least)
+
+    def any_in(low: Column) -> Column:
+        tests = [low.contains(w) for w in words]
+        if pairs:
+            tests.append(low.rlike("|".join(NOT_WORD.join(map(re.escape, p.split(" "))) for p in pairs)))
+        return reduce(lambda a, b: a | b, tests)
+
+    # In a lambda, so that a text is put into lower case once and not for each test.
+    return F.exists(F.array(F.lower(text)), any_in)
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
@@ -111,10 +136,11 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     Also every window of words that matches better than those that overlap it, with the line it begins in, unless the
     whole text, or a line that the window touches, matches the template. The size of a unit is its number of word pairs, repeats included; shared pairs count once. NULL and empty texts,
     and lines without words, match nothing. Rows alike give their matches each; several templates may match a line.
-    Words of every line are counted; only of units whose size some template admits are pairs built. Further columns
+    Words of every line of a text with a telling word are counted; only of units whose size some template admits are pairs built. Further columns
     are ignored.
     """
     templates = templates or TEMPLATES
+    docs = docs.select(docs["doc_id"], docs["text"]).where(_told(docs["text"], templates, least))
     # One row per template and size: as many as the templates' words, whatever the input.
     known = template_table(docs.sparkSession, templates, least)
     sizes = [sizes_of(len(pairs_of(t)), least) for t in templates.values()]
@@ -148,8 +174,7 @@ def _windows(docs: DataFrame, templates: dict[str, str], least: float) -> DataFr
               for k, v in templates.items() for p in [pairs_of(v)] if " " in p[0]]
     known = docs.sparkSession.createDataFrame(
         listed, "licence string, template array<string>, n_template int, needed int, largest int")
-    telling = f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(map(re.escape, telling_words(templates, least)))})(?![\\p{{L}}\\p{{N}}])"
-    texts = docs.select(docs["doc_id"], F.lower(docs["text"]).alias("text")).where(F.col("text").rlike(telling))
+    texts = docs.select(docs["doc_id"], F.lower(docs["text"]).alias("text"))
     # Words with their line; lines without words have none.
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, NOT_WORD, " ")))
     placed = F.flatten(F.transform(lines, lambda x, i: F.transform(
