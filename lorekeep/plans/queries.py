@@ -232,6 +232,7 @@ def diverse_hits_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chat_results(spark: SparkSession, sf: str, params: search.ChatSearch = search.ChatSearch()) -> DataFrame:
+    """Search over the records that have a vector; event n has vector n, events beyond the last vector are no hits."""
     return search.chat_search(
         tables.vectors(spark, sf), tables.memory_records(spark, sf), tables.query_vector(spark, sf), params
     )
@@ -318,7 +319,7 @@ def write_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _book_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Search over all chunks; chunk n in page order has vector n."""
+    """Search over the chunks that have a vector; chunk n in page order has vector n, chunks beyond the last vector are no hits."""
     chunks = _chunks(spark, sf).withColumns(
         {"shelf": F.lit("all"), "block": F.floor(F.col("page") / pages.PAGES_PER_BLOCK)}
     )
