@@ -86,8 +86,45 @@ SELECT doc_id, line, licence, dice FROM m WHERE dice >= {LEAST}
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_COLLOCATIONS = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p
+), t AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m:
+    list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))))) AS phrase
+  FROM w
+), f AS (
+  SELECT lang, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE contains(phrase, ' ')
+), k AS (
+  SELECT lang, phrase, a, ws, unnest(range(1, len(ws))) AS k FROM c
+), s AS (
+  SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM k JOIN t ON t.lang = k.lang
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, len(ws)), lambda m:
+    list_transform(range(1, len(ws) - m + 2), lambda j: array_to_string(ws[j:j + m - 1], ' '))))) AS phrase
+  FROM c WHERE len(ws) > 2
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a)
+QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op1_arc_to_warc": _ARCHIVES,
     "op2_shingle_join": _SHINGLES,
     "op6_licence_scan": _licences(),
+    "op13_phrase_mining": _COLLOCATIONS,
 }

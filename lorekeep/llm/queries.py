@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import archives, bpe, counts, jaccard, licences, mixing, neighbours, quality, repeats, rules
+from lorekeep.llm import archives, bpe, collocations, counts, jaccard, licences, mixing, neighbours, quality, repeats, rules
 from lorekeep.llm.tables import own, table
 from lorekeep.session import checkpoint_dir
 
@@ -59,6 +59,10 @@ def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_arc_to_warc": arc_to_warc,
     "op2_shingle_join": shingle_join,
@@ -70,4 +74,5 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier,
     "op9_source_mix": source_mix,
     "op10_learned_partitions": learned_partitions,
+    "op13_phrase_mining": phrase_mining,
 }
