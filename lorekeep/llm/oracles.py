@@ -88,6 +88,32 @@ SELECT doc_id, line, licence, dice FROM m WHERE dice >= {LEAST}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_RANKED = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS words FROM d
+), p AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, t GROUP BY term, docs
+), q AS (
+  SELECT DISTINCT item_id, text FROM benchmark
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM q
+), c AS (
+  SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL
+), s AS (
+  SELECT item_id, row, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM c JOIN p USING (term) JOIN w USING (term), t GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
 _COLLOCATIONS = f"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
@@ -126,5 +152,6 @@ ORACLES = {
     "op1_arc_to_warc": _ARCHIVES,
     "op2_shingle_join": _SHINGLES,
     "op6_licence_scan": _licences(),
+    "op12_ranked_search": _RANKED,
     "op13_phrase_mining": _COLLOCATIONS,
 }
