@@ -88,6 +88,28 @@ SELECT doc_id, line, licence, dice FROM m WHERE dice >= {LEAST}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(node, other) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT node, min(other) AS low FROM reach GROUP BY node
+), n AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       coalesce(vec_id <= coalesce(low, vec_id), false) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = node LEFT JOIN n ON vec_id = a
+"""
+
 _RANKED = f"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id,
@@ -152,6 +174,7 @@ ORACLES = {
     "op1_arc_to_warc": _ARCHIVES,
     "op2_shingle_join": _SHINGLES,
     "op6_licence_scan": _licences(),
+    "op11_multi_index": _NEAR_VECTORS,
     "op12_ranked_search": _RANKED,
     "op13_phrase_mining": _COLLOCATIONS,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import archives, bpe, collocations, counts, jaccard, lexical, licences, mixing, neighbours, quality, repeats, rules
+from lorekeep.llm import archives, bpe, collocations, counts, jaccard, lexical, licences, mixing, multiindex, neighbours, quality, repeats, rules
 from lorekeep.llm.tables import own, table
 from lorekeep.session import checkpoint_dir
 
@@ -59,6 +59,10 @@ def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier,
     "op9_source_mix": source_mix,
     "op10_learned_partitions": learned_partitions,
+    "op11_multi_index": multi_index,
     "op12_ranked_search": ranked_search,
     "op13_phrase_mining": phrase_mining,
 }
