@@ -10,9 +10,10 @@ neighbours all stood side by side in correct encodings is the encoding of the wh
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -36,8 +37,23 @@ SPECIAL = "<|endoftext|>"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ʯ]*")
 
 
-@functools.lru_cache(maxsize=4)
+def _once(name: str, path: str, load: Callable):
+    """What `load` gives for a path, loaded once in each Python process.
+
+    The functions of this module travel to workers by value, which need not have the package. What they load
+    is kept in a module of its own, so that it neither travels nor is loaded again by the next task.
+    """
+    known = vars(sys.modules.setdefault("lorekeep_loaded", types.ModuleType("lorekeep_loaded")))
+    if (name, path) not in known:
+        known[name, path] = load(path)
+    return known[name, path]
+
+
 def _library(path: str):
+    return _once("library", path, _load_library)
+
+
+def _load_library(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -46,9 +62,12 @@ def _library(path: str):
     return found
 
 
-@functools.lru_cache(maxsize=4)
 def _vocabulary(path: str) -> tuple[list[bytes], object]:
     """Bytes by token id, and a quick encoder with the same merges."""
+    return _once("vocabulary", path, _load_vocabulary)
+
+
+def _load_vocabulary(path: str) -> tuple[list[bytes], object]:
     import tiktoken
 
     letters = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -146,8 +146,8 @@ class Bitmap:
         return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap_of(prints: DataFrame, most_bits: int = MOST_BITS) -> Bitmap | None:
-    """The fingerprints of a staged table as a bitmap of at most 2^most_bits places; None if there are none."""
+def bitmap_of(prints: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int] | None:
+    """The fingerprints of a staged table as the fields of a bitmap of at most 2^most_bits places; None if there are none."""
     count = prints.count()
     if not count:
         return None
@@ -157,7 +157,7 @@ def bitmap_of(prints: DataFrame, most_bits: int = MOST_BITS) -> Bitmap | None:
     found = word.toArrow()  # at most 2^most_bits / 64 rows
     out = np.zeros(1 << (bits - 6), np.int64)
     out[found["w"].to_numpy()] = found["b"].to_numpy()
-    return Bitmap(out.view(np.uint64), 64 - bits)
+    return out.view(np.uint64), 64 - bits
 
 
 def _lang_codes(langs: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -183,7 +183,7 @@ def _counter(n: int, shorter, size: int, bits: int):
             for words in words_of(batch["text"], n, size, bits):
                 ok = _in_piece(words, n)
                 if shorter is not None:
-                    there = shorter.value.holds(runs_of(words, codes, n - 1))
+                    there = Bitmap(*shorter.value).holds(runs_of(words, codes, n - 1))
                     ok &= there[: len(ok)] & there[1 : len(ok) + 1]
                 found = runs_of(words, codes, n)[ok]
                 held.append(found)
@@ -241,7 +241,7 @@ def _reader(frequent: list, size: int, bits: int):
                         break
                     at = np.flatnonzero(_in_piece(words, n))
                     prints = runs_of(words, codes, n)
-                    at = at[known.value.holds(prints[at])]
+                    at = at[Bitmap(*known.value).holds(prints[at])]
                     if not len(at):
                         continue
                     _, first, group = np.unique(prints[at], return_index=True, return_inverse=True)

@@ -183,7 +183,7 @@ def _hang_together(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
 
 def _placed(grid_of):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = grid_of.value
+        grid = Grid(*grid_of.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
@@ -242,7 +242,8 @@ def _links(classes: DataFrame, rows: int, least: float, recall: float, sample_ro
     value = classes.schema["v"].dataType.elementType.simpleString()
     drawn = classes.orderBy(F.xxhash64("class", F.lit(23)), "class").limit(sample_rows).select("v").toArrow()
     words = words or int(min(MOST_WORDS, max(FEWEST_WORDS, np.sqrt(rows / CELL_ROWS))))
-    grid = spark.sparkContext.broadcast(fit_grid(_matrix(drawn["v"]), words, least, recall))
+    fitted = fit_grid(_matrix(drawn["v"]), words, least, recall)
+    grid = spark.sparkContext.broadcast((fitted.first, fitted.second, fitted.reach))  # arrays: workers need no class of ours
     index = staged(classes.mapInArrow(
         _placed(grid), f"key long, class long, copies long, v array<{value}>, cell long, visits array<long>"))
     # Few rows: one for each label and cell.
