@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 TEMPORAL_WEIGHT = 0.5
 
 
-def in_time_range(records: DataFrame, start: int, end: int, limit: int, order: Sequence[Column]) -> DataFrame:
+def in_seconds(low: int, high: int) -> Column:
+    """The range as a condition on stored seconds, which Parquet scans use to skip row groups."""
+    return F.col("chat_time").between(low, high)
+
+
+def in_time_range(
+    records: DataFrame, start: int, end: int, limit: int, order: Sequence[Column], within: Callable[[int, int], Column] = in_seconds
+) -> DataFrame:
     """Records with start <= chat_time <= end, the first `limit` in store order."""
-    return records.where(F.col("chat_time").between(start, end)).orderBy(*order).limit(limit)
+    return records.where(within(start, end)).orderBy(*order).limit(limit)
 
 
 def merged_windows(times: Sequence[int], window: int) -> list[tuple[int, int]]:
@@ -35,13 +42,16 @@ def time_neighbours(
     per_anchor: int = 8,
     store_order: Sequence[str] = ("seq",),
     mode: str = "earliest",
+    stored_first: int | None = None,
+    within: Callable[[int, int], Column] = in_seconds,
 ) -> DataFrame:
     """Neighbours of each anchor: anchor_rank, neighbour_pos, proximity and the record.
 
     `anchors` are (rank, epoch seconds) of the selected hits, at most a few hundred;
-    anchors without a positive time have no neighbours. Of the first 2n records
-    in store order the n earliest are kept, or with mode="nearest" the n closest
-    in time of all records in the window.
+    anchors without a positive time have no neighbours. Of all records in the window
+    the n earliest are kept, or with mode="nearest" the n closest in time; with
+    `stored_first` only so many first ones in store order are looked at.
+    `within` is the condition on a range of seconds that the scan understands.
     """
     window = window_minutes * 60
     timed: dict[int, list[int]] = {}
@@ -59,7 +69,7 @@ def time_neighbours(
     # The same windows as ranges: they reach the scan and skip row groups.
     near_any = F.lit(False)
     for low, high in merged_windows(list(timed), window):
-        near_any = near_any | F.col("chat_time").between(low, high)
+        near_any = near_any | within(low, high)
     close = (
         records.where(near_any)
         .withColumn("_bucket", F.floor(F.col("chat_time") / max(window, 1)))
@@ -69,11 +79,11 @@ def time_neighbours(
     )
     gap = F.abs(F.col("chat_time") - F.col("anchor_time"))
     by_anchor = W.partitionBy("anchor_time")
+    if stored_first:
+        close = _numbered(close, by_anchor.orderBy(*store_order), "_stored", stored_first)
     if mode == "nearest":
         close = _numbered(close, by_anchor.orderBy(gap, *store_order), "_near", per_anchor)
-    elif mode == "earliest":
-        close = _numbered(close, by_anchor.orderBy(*store_order), "_stored", 2 * per_anchor)
-    else:
+    elif mode != "earliest":
         raise ValueError(f"unknown mode {mode!r}")
     kept = _numbered(close, by_anchor.orderBy("chat_time", *store_order), "neighbour_pos", per_anchor)
     proximity = F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(float(max(window, 1))))

@@ -116,12 +116,12 @@ def chapter_sources(results: DataFrame, chapters: int = 3, pages: int = 3) -> Da
 
 
 def relevant_results(
-    results: DataFrame, flags: DataFrame, group: Sequence[str] = (), judged: int = JUDGED_PASSAGES
+    results: DataFrame, flags: DataFrame, group: Sequence[str] = (), judged: int | None = None
 ) -> DataFrame:
-    """Drop judged results flagged as irrelevant; no flag means relevant, later ranks stay unjudged.
+    """Drop results flagged as irrelevant; no flag means relevant. With `judged`, later ranks stay unjudged.
 
     `flags` has the group columns, rank and relevant, one row per rank.
     """
     joined = results.join(flags, [*group, "rank"], "left")
-    keep = (F.col("rank") > judged) | F.coalesce("relevant", F.lit(True))
-    return joined.where(keep).drop("relevant")
+    keep = F.coalesce("relevant", F.lit(True))
+    return joined.where((F.col("rank") > judged) | keep if judged else keep).drop("relevant")

@@ -239,13 +239,12 @@ hits AS (SELECT id, CAST(picked AS BIGINT) AS rank FROM pickrun WHERE t = {k} AN
 def _near(hits: str, minutes: int, per: int) -> str:
     w = minutes * 60
     return f"""near_all AS (
-  SELECT h.rank AS anchor_rank, m.*, 1 - abs(m.chat_time - a.chat_time) / CAST({w} AS DOUBLE) AS proximity,
-    row_number() OVER (PARTITION BY h.rank ORDER BY m.seq) AS stored
+  SELECT h.rank AS anchor_rank, m.*, 1 - abs(m.chat_time - a.chat_time) / CAST({w} AS DOUBLE) AS proximity
   FROM {hits} h JOIN memory a ON a.id = h.id JOIN memory m ON m.chat_time BETWEEN a.chat_time - {w} AND a.chat_time + {w}
 ),
 near AS (
   SELECT *, row_number() OVER (PARTITION BY anchor_rank ORDER BY chat_time, seq) AS neighbour_pos
-  FROM near_all WHERE stored <= {2 * per}
+  FROM near_all
   QUALIFY row_number() OVER (PARTITION BY anchor_rank ORDER BY chat_time, seq) <= {per}
 )"""
 
@@ -493,7 +492,7 @@ ORACLES = {
     "coalesce(nullif(regexp_extract(routing, '\\[Retrieve\\]\\s*(是|否)', 1), '') = '是', contains(routing, '是')) END AS BIGINT) AS retrieve FROM answers",
     "relevant_results": _with(_search(20), recursive=True)
     + "SELECT f.id, f.content, f.result_source, round(f.score, 6) AS score, f.rank FROM found f "
-    "LEFT JOIN labels l ON l.doc_id = f.id WHERE f.rank > 15 OR coalesce(l.quality = 1, true)",
+    "LEFT JOIN labels l ON l.doc_id = f.id WHERE coalesce(l.quality = 1, true)",
     "numbered_passages": _with(_search(), recursive=True)
     + f"SELECT string_agg('[' || rank || '] ' || substr(replace({_strip('content')}, {_NL}, ' '), 1, 120), {_NL} ORDER BY rank) AS passages, "
     "count(*) AS lines FROM found WHERE rank <= 15",
@@ -509,7 +508,7 @@ ORACLES = {
     "reflective_replies": _with(
         f"asked AS (SELECT conv_id || '-' || turn AS request_id, text, length(text) >= 100 AS searched, string_split(text, {_NL}) AS ls FROM conversations)",
         "each AS (SELECT request_id, i AS rank, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM asked WHERE searched))",
-        f"kept AS (SELECT request_id, rank, {_strip('line')} AS line FROM each WHERE rank > 15 OR length(substr({_strip('line')}, 1, 120)) > 40)",
+        f"kept AS (SELECT request_id, rank, {_strip('line')} AS line FROM each WHERE length(substr({_strip('line')}, 1, 120)) > 40)",
         "used AS (SELECT *, sum(length(line)) OVER (PARTITION BY request_id ORDER BY rank) AS total FROM kept)",
         "ctx AS (SELECT request_id, coalesce(sum(length(line)) FILTER (total <= 600), 0) "
         "+ greatest(count(*) FILTER (total <= 600) - 1, 0) AS chars FROM used GROUP BY request_id)",
@@ -546,3 +545,8 @@ ORACLES = {
     "CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 300) || '...(' || length(text) || '字)' END AS short, "
     f"CASE WHEN conv_id <> 0 THEN '[' || conv_id || '] ' ELSE '' END || {_strip('text')} AS line FROM conversations",
 }
+
+# Through files, the same rows.
+ORACLES["csv_chat_documents"] = ORACLES["chat_documents"]
+ORACLES["csv_cleaned"] = ORACLES["cleaned_messages"]
+ORACLES["csv_cleaning_counts"] = ORACLES["cleaning_counts"]

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import chat, context, labels, text, uploads
 from lorekeep.operators import chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats
-from lorekeep.plans import search, tables
+from lorekeep.plans import imports, search, tables
 from lorekeep.plans.reflective import Wording, reflective_answers
 from lorekeep.session import checkpoint_dir
+from lorekeep.sources import chat_csv
 from lorekeep.sources.collections import Collections
 from lorekeep.sources.providers import HashEmbedder, message
 from lorekeep.streaming.imports import start_import
@@ -82,6 +83,34 @@ def chat_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf)
 
 
+def _chat_folder(spark: SparkSession, sf: str) -> str:
+    """The chat rows as CSV files in the shared folder, one sub-folder per day."""
+    folder = f"{checkpoint_dir(spark)}/chat-{uuid.uuid4().hex}"
+    chat_csv.write_clean(tables.chat_rows(spark, sf), folder)
+    return folder
+
+
+def csv_chat_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat documents of rows that were written to CSV files and read from there."""
+    documents = imports.documents_of(chat_csv.read_chat(spark, _chat_folder(spark, sf)))
+    return documents.withColumns(_big("row_no", "is_sender", "is_forward"))
+
+
+def csv_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a cleaned copy of a chat folder."""
+    folder = _chat_folder(spark, sf)
+    imports.clean_chat_folder(spark, folder, f"{folder}-clean")
+    cleaned = chat_csv.read_chat(spark, f"{folder}-clean")
+    # A file does not tell an empty field from one without a value.
+    time = F.coalesce("CreateTime", F.lit("")).alias("CreateTime")
+    return cleaned.select("source", F.col("id").cast("long").alias("position"), time, "msg")
+
+
+def csv_cleaning_counts(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _chat_folder(spark, sf)
+    return imports.clean_chat_folder(spark, folder, f"{folder}-clean")
+
+
 def chat_times(spark: SparkSession, sf: str) -> DataFrame:
     timed = tables.timed_texts(spark, sf)
     return timed.select("event_id", chat.chat_time(F.col("create_time")).alias("chat_time"))
@@ -234,7 +263,8 @@ def diverse_hits_wide(spark: SparkSession, sf: str) -> DataFrame:
 def _chat_results(spark: SparkSession, sf: str, params: search.ChatSearch = search.ChatSearch()) -> DataFrame:
     """Search over the records that have a vector; event n has vector n, events beyond the last vector are no hits."""
     return search.chat_search(
-        tables.vectors(spark, sf), tables.memory_records(spark, sf), tables.query_vector(spark, sf), params
+        tables.vectors(spark, sf), tables.memory_records(spark, sf), tables.query_vector(spark, sf), params,
+        within=tables.seconds_of_ts,
     )
 
 
@@ -276,7 +306,7 @@ def time_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     ranks = {r.id: r["rank"] for r in found.collect()}
     records = tables.memory_records(spark, sf)
     anchors = records.where(F.col("id").isin(list(ranks))).select("id", "chat_time").collect()
-    near = neighbours.time_neighbours(records, [(ranks[a.id], a.chat_time) for a in anchors])
+    near = neighbours.time_neighbours(records, [(ranks[a.id], a.chat_time) for a in anchors], within=tables.seconds_of_ts)
     return near.select(
         F.col("anchor_rank").cast("long"), F.col("neighbour_pos").cast("long"), "id",
         F.round("proximity", 6).alias("proximity"),
@@ -286,7 +316,7 @@ def time_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def time_range(spark: SparkSession, sf: str) -> DataFrame:
     records = tables.memory_records(spark, sf)
     day = 1705276800  # 2024-01-15
-    found = neighbours.in_time_range(records, day, day + 86400, 30, [F.col("seq")])
+    found = neighbours.in_time_range(records, day, day + 86400, 30, [F.col("seq")], tables.seconds_of_ts)
     return found.select("id", "content", "chat_time")
 
 
@@ -555,7 +585,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         valid_messages, cleaned_messages, cleaning_counts, cleaning_totals, normalised_records,
-        sparse_records, numbered_records, chat_documents, chat_times, incremental_documents,
+        sparse_records, numbered_records, chat_documents, csv_chat_documents, csv_cleaned, csv_cleaning_counts, chat_times, incremental_documents,
         load_counts, upsert_documents, merged_collection, merged_hashes, reply_token_limit,
         reply_token_limits_by_file, cleaned_pages, scanned_pages, page_headings, page_chunks,
         new_chunks, page_counts, chunk_import_summary, nearest_cosine, nearest_l2, nearest_two,

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import context, labels
 from lorekeep.functions.binding import let
-from lorekeep.operators.results import JUDGED_PASSAGES
 from lorekeep.sources.collections import staged
 from lorekeep.sources.providers import ChatModel, message, with_replies
 
@@ -64,11 +63,12 @@ def _by_rank(hits: Column) -> Column:
     return F.array_sort(hits)
 
 
-def judged(requests: DataFrame, model: ChatModel, words: Wording) -> DataFrame:
-    """Adds `relevant_hits`: hits without the first 15 that the model calls irrelevant."""
+def judged(requests: DataFrame, model: ChatModel, words: Wording, first: int | None = None) -> DataFrame:
+    """Adds `relevant_hits`: hits without those that the model calls irrelevant; it sees all of them, or the `first` ones."""
     hits = _by_rank(F.col("hits"))
+    seen = F.least(F.size("hits"), F.lit(first)) if first else F.size("hits")
     lines = F.transform(
-        F.filter(hits, lambda h: h["rank"] <= JUDGED_PASSAGES),
+        F.filter(hits, lambda h: h["rank"] <= seen),
         lambda h: context.numbered_passage(h["rank"], h["content"]),
     )
     last = F.coalesce(F.try_element_at(F.col("conversation"), F.lit(-1))["content"], F.col("query"))
@@ -76,9 +76,9 @@ def judged(requests: DataFrame, model: ChatModel, words: Wording) -> DataFrame:
     # Requests without hits are not sent.
     asked = requests.withColumn("_ask", F.when(F.size("hits") > 0, ask)).withColumn("_tokens", F.lit(JUDGING_TOKENS))
     answered = with_replies(asked, model, "_ask", "_tokens", "_judging")
-    flags = labels.relevance_flags(F.col("_judging"), F.least(F.size("hits"), F.lit(JUDGED_PASSAGES)))
+    flags = labels.relevance_flags(F.col("_judging"), seen)
     kept = let(
-        flags, lambda f: F.filter(hits, lambda h: (h["rank"] > JUDGED_PASSAGES) | labels.flag_of(f, h["rank"]))
+        flags, lambda f: F.filter(hits, lambda h: (h["rank"] > seen) | labels.flag_of(f, h["rank"]))
     )
     return answered.withColumn("relevant_hits", kept).drop("_ask", "_tokens", "_judging")
 
@@ -135,6 +135,7 @@ def reflective_answers(
     budget: int = 2000,
     router: ChatModel | None = None,
     router_markup: bool = False,
+    judged_hits: int | None = None,
 ) -> DataFrame:
     """request_id, reply, error, is_sup, is_use, retried.
 
@@ -145,7 +146,7 @@ def reflective_answers(
     empty = F.array().cast(requests.schema["hits"].dataType)
     seen = staged(routed(requests, router or model, words, router_markup))
     seen = seen.withColumn("hits", F.when(F.col("retrieve"), F.coalesce("hits", empty)).otherwise(empty))
-    first = staged(_answered(judged(seen, model, words), model, words, budget))
+    first = staged(_answered(judged(seen, model, words, judged_hits), model, words, budget))
     from_search = F.col("retrieve") & (F.size("hits") > 0)
     gate = labels.needs_retry(F.col("is_sup"), F.col("is_use"), use_threshold)
     retry = F.lit(critique) & from_search & F.col("reply").isNotNull() & F.coalesce(gate, F.lit(False))
@@ -153,7 +154,7 @@ def reflective_answers(
     columns = ["request_id", "query", "conversation", "system_prompt", "max_tokens", "hits", "retrieve"]
     again = first.where("retried").select(*columns)
     second = staged(
-        _answered(judged(again, model, words), model, words, budget).select("request_id", F.col("reply").alias("_second"))
+        _answered(judged(again, model, words, judged_hits), model, words, budget).select("request_id", F.col("reply").alias("_second"))
     )
     joined = first.join(second, "request_id", "left")
     error = F.when(from_search & F.col("reply").isNull(), F.lit("no answer was generated"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators import results as R
-from lorekeep.operators.neighbours import time_neighbours
+from lorekeep.operators.neighbours import in_seconds, time_neighbours
 from lorekeep.operators.similarity import by_id, mmr
 
 
@@ -21,6 +21,7 @@ class ChatSearch:
     include_nearby: bool = True
     time_window_minutes: int = 30
     nearby_per_result: int = 8
+    nearby_stored_first: int | None = None
     max_total_results: int = 50
     lambda_mult: float = 0.6
     metric: str = "l2"
@@ -68,11 +69,12 @@ def chat_search(
     params: ChatSearch = ChatSearch(),
     store_order: Sequence[str] = ("seq",),
     pick: Pick = by_id,
+    within: Callable[[int, int], Column] = in_seconds,
 ) -> DataFrame:
     """Ranked results for a query vector: selected hits plus their neighbours in time.
 
     `vectors` has id and embedding; `records` has id, content, chat_time and any metadata.
-    `pick` reads the rows of a few ids from either.
+    `pick` reads the rows of a few ids from either, `within` is the records' condition on a range of seconds.
     """
     ranks = _selected(vectors, query, params, pick)
     hits = _ranked(records, ranks, pick)
@@ -80,7 +82,8 @@ def chat_search(
     if params.include_nearby:
         times = [(r.rank, r.chat_time) for r in hits.select("rank", "chat_time").collect()]
         near = time_neighbours(
-            records, times, params.time_window_minutes, params.nearby_per_result, store_order
+            records, times, params.time_window_minutes, params.nearby_per_result, store_order,
+            stored_first=params.nearby_stored_first, within=within,
         )
     return R.merged_results(hits, near, params.max_total_results)
 

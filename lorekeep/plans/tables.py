@@ -5,6 +5,8 @@ All of them are row-wise projections, so their size follows the tables.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +104,16 @@ def memory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("chat_time_str"),
         F.when(F.col("event_type") == "purchase", F.lit(1)).otherwise(F.lit(0)).alias("is_sender"),
         msg.alias("msg_content"),
+        "ts",
     )
 
 
+def seconds_of_ts(low: int, high: int) -> Column:
+    """A range of seconds as a condition on the stored time of `memory_records`, which the scan can use."""
+    first, last = (F.lit(datetime(1970, 1, 1) + timedelta(seconds=s)).cast("timestamp_ntz") for s in (low, high + 1))
+    return (F.col("ts") >= first) & (F.col("ts") < last)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", F.col("label").alias("label")

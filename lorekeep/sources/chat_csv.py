@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions import chat
-from lorekeep.sources.csv_records import read_records
 
 ROWS_PER_BLOCK = 1_000_000
-# Files up to this size may be read by one task when their fields span lines.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
 PLACE_COLUMNS = ("source", "block", "position")
 
 
@@ -29,7 +24,6 @@ class HeaderGroup:
 
     header: tuple[str, ...]
     paths: tuple[str, ...]
-    sizes: tuple[int, ...]
 
     @property
     def format(self) -> str:
@@ -53,7 +47,7 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             with _open(path) as lines:
                 found.append(next(csv.reader(lines), []))
-        yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "header": found})
+        yield pd.DataFrame({"path": batch["path"], "header": found})
 
 
 def header_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[HeaderGroup]:
@@ -66,10 +60,10 @@ def header_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> l
         .where(F.col("length") > 0)
         .select("path", "length")
     )
-    headers = files.mapInPandas(_read_headers, "path string, size long, header array<string>")
-    grouped = headers.groupBy("header").agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("files"))
+    headers = files.mapInPandas(_read_headers, "path string, header array<string>")
+    grouped = headers.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("files"))
     return [
-        HeaderGroup(tuple(r.header), tuple(f.path for f in r.files), tuple(f["size"] for f in r.files))
+        HeaderGroup(tuple(r.header), tuple(r.files))
         for r in grouped.orderBy("files").collect()
         if r.header
     ]
@@ -84,69 +78,29 @@ def _field_names(header: tuple[str, ...]) -> list[str]:
     return names
 
 
-def _with_line_breaks(spark: SparkSession, paths: tuple[str, ...]) -> set[str]:
-    """Files with a line that opens or closes a quoted field without its partner."""
-    lines = spark.read.option("lineSep", "\n").text(list(paths))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return {_same_form(unquote(r.path)) for r in odd.collect()}
-
-
-def read_group(spark: SparkSession, group: HeaderGroup, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def read_group(spark: SparkSession, group: HeaderGroup) -> DataFrame:
     """All rows of a header group as text, with source, block and position.
 
-    Spark splits a CSV file only when told that no field spans lines. Files that
-    have such fields are read whole while they are small, and record by record
-    from their lines when they are large.
+    Fields may span lines, so a file is read by one task, and the files of a folder side by side.
     """
     names = _field_names(group.header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    spanning = _with_line_breaks(spark, group.paths)
-    by_reader: dict = {}
-    for path, size in zip(group.paths, group.sizes):
-        if _same_form(path) not in spanning:
-            reader = _read_split
-        else:
-            reader = _read_whole if size <= whole_file_bytes else _read_records
-        by_reader.setdefault(reader, []).append(path)
-    parts = [reader(spark, schema, paths) for reader, paths in by_reader.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.drop(*[n for n in names if n.startswith("_unnamed_")])
-
-
-def _same_form(path: str) -> str:
-    """Path with one slash after the scheme, as different sources write it differently."""
-    return re.sub(r"^(\w+):/+", r"\1:/", path)
-
-
-def _decoded(name: Column) -> Column:
-    """Percent signs resolved; a plus sign is itself in paths."""
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-
-
-def _read_split(spark: SparkSession, schema: T.StructType, paths: list[str], multi_line: bool = False) -> DataFrame:
     rows = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", multi_line)
+        .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("maxCharsPerColumn", -1)
-        .csv(paths)
+        .csv(list(group.paths))
     )
-    start = F.col("_metadata.file_block_start")
-    return _placed(rows, F.col("_metadata.file_path"), start, F.monotonically_increasing_id())
-
-
-def _read_whole(spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
-    return _plain_breaks(_read_split(spark, schema, paths, multi_line=True), schema)
+    placed = _placed(rows, F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    return _plain_breaks(placed, schema).drop(*[n for n in names if n.startswith("_unnamed_")])
 
 
-def _read_records(spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
-    rows = _plain_breaks(read_records(spark, schema, paths), schema)
-    return _placed(rows, F.col("path"), F.lit(0).cast("long"), F.col("record_no").cast("long")).drop("path", "record_no")
+def _decoded(name: Column) -> Column:
+    """Percent signs resolved; a plus sign is itself in paths."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def _plain_breaks(rows: DataFrame, schema: T.StructType) -> DataFrame:
@@ -155,16 +109,16 @@ def _plain_breaks(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.withColumns({n: F.replace(F.replace(F.col(f"`{n}`"), crlf, lf), cr, lf) for n in schema.names})
 
 
-def _placed(rows: DataFrame, path: Column, start: Column, row: Column) -> DataFrame:
-    """Adds source, block and position."""
+def _placed(rows: DataFrame, path: Column, row: Column) -> DataFrame:
+    """Adds source, block and position. A file is read by one task, so row numbers rise along it."""
     # Written tables keep the file name in a folder name, source=<name>.
     folder = _decoded(_decoded(F.regexp_extract(path, r"/source=([^/]+)/", 1)))
     own = _decoded(F.regexp_extract(path, r"([^/]+)$", 1))
     return rows.select(
         "*",
         F.when(folder != "", folder).otherwise(own).alias("source"),
-        F.struct(path.alias("path"), start.alias("start"), F.floor(row / ROWS_PER_BLOCK).alias("part")).alias("block"),
-        F.struct(path.alias("path"), start.alias("start"), row.alias("row")).alias("position"),
+        F.struct(path.alias("path"), F.floor(row / ROWS_PER_BLOCK).alias("part")).alias("block"),
+        F.struct(path.alias("path"), row.alias("row")).alias("position"),
     )
 
 
@@ -199,5 +153,7 @@ def write_clean(rows: DataFrame, folder: str, mode: str = "append") -> None:
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(folder)
     )

@@ -29,3 +29,11 @@ def test_query_without_twin(spark, name):
 
 def test_entry(spark):
     assert 15 <= entry.entry(spark).count() <= 50
+
+
+def test_time_ranges_reach_the_scan(spark):
+    from lorekeep.plans.queries import QUERIES
+
+    for name in ("time_range", "time_neighbours", "chat_search"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts," in plan, name

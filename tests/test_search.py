@@ -72,7 +72,7 @@ def model_search(records, order, p, key_chars=None):
     for hit, i in enumerate(order):
         t = records[i][1]
         if p.include_nearby and t > 0 and w > 0:
-            stored = [j for j in sorted(records) if t - w <= records[j][1] <= t + w][: p.nearby_per_result * 2]
+            stored = [j for j in sorted(records) if t - w <= records[j][1] <= t + w][: p.nearby_stored_first]
             for pos, j in enumerate(sorted(stored, key=lambda j: (records[j][1], j))[: p.nearby_per_result], 1):
                 arrivals.append((hit, pos, j, "temporal", 0.5 - 0.5 * abs(records[j][1] - t) / w))
     firsts = {}
@@ -87,6 +87,7 @@ def model_search(records, order, p, key_chars=None):
     [
         ChatSearch(k=6, nearby_per_result=3, time_window_minutes=2),
         ChatSearch(k=15, nearby_per_result=8, time_window_minutes=10),
+        ChatSearch(k=15, nearby_per_result=4, nearby_stored_first=8, time_window_minutes=10),
         ChatSearch(k=5, include_nearby=False),
         ChatSearch(k=5, time_window_minutes=0),
         ChatSearch(k=30, nearby_per_result=1, time_window_minutes=1, max_total_results=200),

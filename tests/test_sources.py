@@ -61,14 +61,11 @@ def test_formats_and_rows(spark, folder):
         chat_csv.read_chat(spark, folder, "c*.csv")
 
 
-def test_large_files_read_record_by_record_equal_the_csv_reader(spark, tmp_path, monkeypatch):
-    """Random files with quotes, breaks and stray quotes; small splits and blocks."""
+def test_rows_equal_those_of_the_csv_module(spark, tmp_path):
+    """Random files with quotes, breaks and stray quotes."""
     import io
     import random
 
-    from lorekeep.sources import csv_records
-
-    monkeypatch.setattr(csv_records, "LINES_PER_BLOCK", 4)
     rng = random.Random(17)
     pieces = ["word", 'say "hi"', "two\nlines", "a,b", "", " ", "3\n\n4", '"', 'x"y', "语", "\r\nz"]
     d = tmp_path / "csv"
@@ -83,38 +80,25 @@ def test_large_files_read_record_by_record_equal_the_csv_reader(spark, tmp_path,
             w.writerow([i, *("".join(rng.choices(pieces, k=rng.randint(1, 3))) for _ in range(2))])
             if n >= 3 and rng.random() < 0.2:
                 # Stray quotes inside unquoted fields, as hand-made files have them.
-                odd = ['0,5" disk,ok', '0,a"b"c,"q\nr"', '1,x"y,"open ""it""\n2,closed"', ',,"m\n"', ""]
+                odd = ['0,5" disk,ok', '0,a"b"c,"q\nr"', '0,5" a,"open\nclose",6" b', '1,x"y,"open ""it""\n2,closed"', ',,"m\n"', ""]
                 text.write(rng.choice(odd) + end)
         (d / f"f{n}.csv").write_bytes(text.getvalue().encode())
     (group,) = chat_csv.header_groups(spark, str(d))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
-    try:
-        split = chat_csv.read_group(spark, group, whole_file_bytes=0).orderBy("position").collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    whole = chat_csv.read_group(spark, group).orderBy("position").collect()
-    assert len(whole) > 720
-    for a, b in zip(split, whole, strict=True):
-        assert [a[n] for n in (*header, "source")] == [b[n] for n in (*header, "source")]
-    with open(d / "f4.csv", encoding="utf-8") as f:
-        python = [(r["talker"] or None, r["msg"] or None) for r in csv.DictReader(f)]
-    assert [(r.talker, r.msg) for r in split if r.source == "f4.csv"] == python
-
-
-def test_row_order_survives_many_splits(spark, tmp_path):
+    got = chat_csv.read_group(spark, group).orderBy("position").collect()
+    for n in range(6):
+        with open(d / f"f{n}.csv", encoding="utf-8", newline="") as f:
+            want = [[(r[h] or "").replace("\r\n", "\n") or None for h in header] for r in csv.DictReader(f)]
+        assert [[r[h] or None for h in header] for r in got if r.source == f"f{n}.csv"] == want
+
+
+def test_row_order_within_and_across_files(spark, tmp_path):
     d = tmp_path / "csv"
     d.mkdir()
-    write_csv(d / "big.csv", STANDARD, standard_rows(5000, "w" * 40))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        rows = chat_csv.read_chat(spark, str(d))
-        assert rows.rdd.getNumPartitions() > 5
-        numbered = chatrows.numbered_records(chatrows.normalised_records(rows)).select("row_no", F.col("id").cast("int")).collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert len(numbered) == 5000 and all(r.row_no == r.id + 2 for r in numbered)
+    for part in range(6):
+        write_csv(d / f"big{part}.csv", STANDARD, standard_rows(2000, "w" * 40))
+    rows = chat_csv.read_chat(spark, str(d))
+    numbered = chatrows.numbered_records(chatrows.normalised_records(rows)).select("source", "row_no", F.col("id").cast("int")).collect()
+    assert len(numbered) == 12000 and all(r.row_no == r.id + 2 for r in numbered)
 
 
 def test_clean_folder_and_reread(spark, folder, tmp_path):
