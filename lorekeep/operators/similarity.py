@@ -64,18 +64,23 @@ def candidates_for(
 def diverse_selection(
     candidates: DataFrame, query: Sequence[float], k: int, lambda_mult: float = 0.6
 ) -> DataFrame:
-    """Maximal marginal relevance: (id, rank) of k candidates.
-
-    Each step takes the candidate with the highest
-    lambda * similarity to the query - (1 - lambda) * highest similarity to a chosen one.
-    Candidates are at most fetch_k rows, so one array holds them. Ties go to the
-    more similar candidate, then to the smaller id.
-    """
+    """Maximal marginal relevance for one query: (id, rank) of k candidates, as in diverse_selections."""
     target = V.unit_literal(query)
     scored = candidates.select("id", V.unit(F.col("embedding")).alias("vec")).select(
         "id", "vec", V.dot(F.col("vec"), target).alias("sim")
     )
-    pool = scored.agg(
+    return diverse_selections(scored, k, lambda_mult)
+
+
+def diverse_selections(scored: DataFrame, k: int, lambda_mult: float = 0.6, group: Sequence[str] = ()) -> DataFrame:
+    """Maximal marginal relevance: group, id and rank of k candidates of each group.
+
+    `scored` has id, vec (of length one) and sim, its similarity to the query. Each step takes the candidate with
+    the highest lambda * similarity to the query - (1 - lambda) * highest similarity to a chosen one.
+    Candidates are at most fetch_k rows a group, so one array holds them. Ties go to the
+    more similar candidate, then to the smaller id.
+    """
+    pool = scored.groupBy(*group).agg(
         F.sort_array(
             F.collect_list(F.struct((-F.col("sim")).alias("far"), "id", "vec", "sim")), asc=True
         ).alias("pool")
@@ -108,12 +113,13 @@ def diverse_selection(
 
     steps = F.sequence(F.lit(1), F.least(F.lit(k), F.size("pool")))
     chosen = pool.select(
+        *group,
         F.transform(
             F.aggregate(steps, first, step, lambda s: s["chosen"]), lambda i: F.get(F.col("pool"), i)["id"]
-        ).alias("ids")
+        ).alias("ids"),
     )
-    return chosen.select(F.posexplode("ids").alias("_pos", "id")).select(
-        "id", (F.col("_pos") + 1).alias("rank")
+    return chosen.select(*group, F.posexplode("ids").alias("_pos", "id")).select(
+        *group, "id", (F.col("_pos") + 1).alias("rank")
     )
 
 

@@ -550,3 +550,48 @@ ORACLES = {
 ORACLES["csv_chat_documents"] = ORACLES["chat_documents"]
 ORACLES["csv_cleaned"] = ORACLES["cleaned_messages"]
 ORACLES["csv_cleaning_counts"] = ORACLES["cleaning_counts"]
+
+_QUERIES = """q AS (
+  SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE label = 0
+), scored AS (
+  SELECT query_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS sim FROM embeddings, q
+), near AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 - sim, id) AS rank FROM scored
+)"""
+ORACLES["batch_nearest"] = _with(_QUERIES) + "SELECT query_id, id, round(1 - sim, 6) AS distance, rank FROM near WHERE rank <= 10"
+ORACLES["batch_search"] = _with(
+    _QUERIES,
+    "cand AS (SELECT * FROM near WHERE rank <= 40)",
+    "pair AS (SELECT a.query_id, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM cand a JOIN cand b ON a.query_id = b.query_id)",
+    """run AS (
+  SELECT 0 AS t, query_id, id, sim, CAST(NULL AS DOUBLE) AS near, CAST(NULL AS INTEGER) AS picked FROM cand
+  UNION ALL
+  SELECT x.t + 1, x.query_id, x.id, x.sim, greatest(x.near, p.s), CASE WHEN x.id = x.best THEN x.t + 1 ELSE x.picked END
+  FROM (
+    SELECT *, first_value(id) OVER (PARTITION BY query_id ORDER BY (picked IS NOT NULL),
+        CASE WHEN near IS NULL THEN sim ELSE 0.6 * sim - 0.4 * near END DESC, sim DESC, id) AS best
+    FROM run
+  ) x JOIN pair p ON p.query_id = x.query_id AND p.a = x.id AND p.b = x.best
+  WHERE x.t < 8
+)""",
+    recursive=True,
+) + "SELECT query_id, id, CAST(picked AS BIGINT) AS rank FROM run WHERE t = 8 AND picked IS NOT NULL"
+ORACLES["all_time_neighbours"] = _with(_MEMORY) + """SELECT a.id AS anchor_id,
+  row_number() OVER (PARTITION BY a.id ORDER BY m.chat_time, m.seq) AS neighbour_pos, m.id,
+  round(1 - abs(m.chat_time - a.chat_time) / CAST(1800 AS DOUBLE), 6) AS proximity
+FROM memory a JOIN memory m ON m.chat_time BETWEEN a.chat_time - 1800 AND a.chat_time + 1800 AND a.chat_time > 0
+QUALIFY neighbour_pos <= 8"""
+ORACLES["reimported_collection"] = _FULL + (
+    "SELECT id, source, row_no, CASE WHEN source = '2024-01-16.csv' THEN 'again' WHEN source >= '2024-01-10.csv' THEN 'incoming' "
+    "ELSE 'stored' END AS run FROM keyed"
+)
+ORACLES["streamed_live_sessions"] = (
+    "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations c "
+    "WHERE turn >= 3 OR conv_id % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn >= 3) "
+    "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3"
+)
+ORACLES["streamed_replies"] = (
+    "WITH e AS (SELECT * FROM events WHERE NOT (ts < '2024-01-06' AND user_id % 10 = 0)) "
+    "SELECT m.event_id AS message_id, r.event_id AS reply_id, 'u' || m.user_id AS talker FROM e m JOIN e r ON m.user_id = r.user_id "
+    "AND m.event_type = 'click' AND r.event_type = 'purchase' AND r.ts > m.ts AND r.ts <= m.ts + INTERVAL 6 HOURS"
+)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import chat, context, labels, text, uploads
-from lorekeep.operators import chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats
+from lorekeep.operators import batch, chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats, timeline
 from lorekeep.plans import imports, search, tables
 from lorekeep.plans.reflective import Wording, reflective_answers
 from lorekeep.session import checkpoint_dir
@@ -16,7 +16,8 @@ from lorekeep.sources import chat_csv
 from lorekeep.sources.collections import Collections
 from lorekeep.sources.providers import HashEmbedder, message
 from lorekeep.streaming.imports import start_import
-from lorekeep.streaming.sessions import MESSAGE, session_tails
+from lorekeep.streaming.replies import replies_within
+from lorekeep.streaming.sessions import MESSAGE, live_sessions, session_tails
 
 TRACKED_BEFORE = "2024-01-16.csv"
 STORED_UNTIL = "2024-01-20.csv"
@@ -138,6 +139,21 @@ def merged_collection(spark: SparkSession, sf: str) -> DataFrame:
     return chatrows.merged_by_id(stored, incoming)
 
 
+def reimported_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection after its first import, a second one that replaces and adds, compaction, and a third one."""
+    store = Collections(spark, f"{checkpoint_dir(spark)}/reimported-{uuid.uuid4().hex}", buckets=8)
+    rows = chatrows.with_upsert_ids(_documents(spark, sf)).select("id", "source", "row_no", "content", "chat_time")
+    store.open("chat")
+    runs = (
+        ("stored", F.col("source") <= STORED_UNTIL), ("incoming", F.col("source") >= INCOMING_FROM), ("again", F.col("source") == TRACKED_BEFORE)
+    )
+    for i, (run, part) in enumerate(runs):
+        store.upsert("chat", rows.where(part).withColumn("run", F.lit(run)))
+        if i == 1:
+            store.compact("chat")
+    return store.read("chat").select("id", "source", "row_no", "run")
+
+
 def merged_hashes(spark: SparkSession, sf: str) -> DataFrame:
     rows = _documents(spark, sf).select("source", "record_hash")
     return chatrows.merged_hashes(
@@ -257,6 +273,18 @@ def diverse_hits_wide(spark: SparkSession, sf: str) -> DataFrame:
     return _mmr(spark, sf, 50, 200)
 
 
+def batch_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every vector of label 0."""
+    found = batch.batch_nearest(tables.vectors(spark, sf), tables.query_vectors(spark, sf), 10)
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
+
+
+def batch_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Diverse hits for every vector of label 0."""
+    found = batch.batch_search(tables.vectors(spark, sf), tables.query_vectors(spark, sf), 8, 40)
+    return found.select("query_id", "id", F.col("rank").cast("long"))
+
+
 # ── chat search ──────────────────────────────────────────────────────────────
 
 
@@ -320,6 +348,12 @@ def time_range(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "content", "chat_time")
 
 
+def all_time_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight earliest records in the window of every record."""
+    near = timeline.all_time_neighbours(tables.memory_records(spark, sf))
+    return near.select("anchor_id", F.col("neighbour_pos").cast("long"), "id", F.round("proximity", 6).alias("proximity"))
+
+
 def sender_sample(spark: SparkSession, sf: str) -> DataFrame:
     found = stats.sender_sample(tables.memory_records(spark, sf), [F.col("seq")])
     return found.select(
@@ -581,6 +615,56 @@ def streamed_session_tail(spark: SparkSession, sf: str) -> DataFrame:
     return updates.join(last, ["session_id", "batch"], "left_semi").select("session_id", "seq", "role", "content")
 
 
+def _in_files(spark: SparkSession, parts: list[DataFrame]) -> str:
+    """The parts as files of one folder, one after the other."""
+    folder = f"{checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def streamed_live_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations in three files, some of them going on after a long pause; returns what each session kept last."""
+    long_pause = (F.col("conv_id") % 3 == 0) & (F.col("turn") >= 3)
+    minutes = F.col("turn") + F.when(long_pause, F.lit(300)).otherwise(F.lit(0))
+    timed = tables.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"),
+        F.timestamp_add("MINUTE", minutes.cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("ts"),
+    )
+    late_half = F.col("ts") >= F.lit("2024-01-01 04:00:00").cast("timestamp")
+    folder = _in_files(spark, [timed.where("seq < 2"), timed.where(~late_half & (F.col("seq") >= 2)), timed.where(late_half)])
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}-tails/batch={batch_id}")
+
+    (
+        live_sessions(stream, keep=3, idle="2 hours").writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    updates = spark.read.schema(f"{MESSAGE}, batch long").parquet(f"{folder}-tails")
+    last = updates.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    return updates.join(last, ["session_id", "batch"], "left_semi").select("session_id", "seq", "role", "content")
+
+
+def streamed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases within six hours after a click of the same user, from events in three files; some come days too late."""
+    events = tables.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("talker"), "event_type")
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp")
+    too_late = (F.col("ts") < day("06")) & (F.substring("talker", -1, 1) == "0")
+    first, second = F.col("ts") < day("11"), F.col("ts") < day("21")
+    folder = _in_files(spark, [events.where(first & ~too_late), events.where(~first & second), events.where(~second | too_late)])
+    stream = lambda kind: (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder).where(F.col("event_type") == kind))
+    pairs = replies_within(stream("click"), stream("purchase"), "6 hours", "1 hour")
+    (
+        pairs.writeStream.format("parquet").option("path", f"{folder}-pairs").option("checkpointLocation", f"{folder}-checkpoint")
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.schema(pairs.schema).parquet(f"{folder}-pairs").select("message_id", "reply_id", "talker")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -595,5 +679,6 @@ QUERIES = {
         relevance_labels, answer_labels, stripped_answers, replies_between_labels, retrieval_decisions, relevant_results,
         numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_requests,
         persona_stats, query_guards, message_previews, upload_messages, streamed_import, streamed_session_tail,
+        batch_nearest, batch_search, all_time_neighbours, reimported_collection, streamed_live_sessions, streamed_replies,
     )
-}
+}
\ No newline at end of file

@@ -125,6 +125,11 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return vectors(spark, sf_dir).orderBy("id").select("embedding").head().embedding
 
 
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of queries: every vector of label 0."""
+    return vectors(spark, sf_dir).where("label = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw textbook pages: one file per source, headings by language, repeated page lines."""
     d = table(spark, sf_dir, "documents")

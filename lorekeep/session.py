@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Picked ids (at most a few hundred) reach the Parquet scan as an IN filter.
     "spark.sql.parquet.pushdown.inFilterThreshold": "256",
+    # Streaming state of single entries and timers, on disk.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -1,7 +1,9 @@
 """Collections of embedded records as Parquet tables.
 
 A collection lives in <root>/<name>: `about` holds one row with its metric,
-`rows` the records in hash buckets of their id.
+`rows` the records in hash buckets of their id, and `changes` what upserts have
+brought since: one folder each, read before the rows, the latest first. Compaction
+brings both together.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators.ordering import first_rows
 from lorekeep.session import checkpoint_dir
 from lorekeep.sources import files
 
@@ -56,15 +59,39 @@ class Collections:
     def delete(self, name: str) -> bool:
         return files.delete(self.spark, f"{self.root}/{name}")
 
+    def _changes(self, name: str) -> str:
+        return f"{self.root}/{name}/changes"
+
     def has_rows(self, name: str) -> bool:
-        return files.exists(self.spark, self._rows(name))
+        return files.exists(self.spark, self._rows(name)) or files.exists(self.spark, self._changes(name))
+
+    def _changed(self, name: str) -> DataFrame | None:
+        """The latest change of each changed id. Reads and moves changes only, not the stored rows."""
+        if not files.exists(self.spark, self._changes(name)):
+            return None
+        found = self.spark.read.option("mergeSchema", True).parquet(self._changes(name))
+        return first_rows(found, ["bucket", "id"], [F.col("change").desc()]).drop("change")
+
+    def _merged(self, name: str) -> DataFrame:
+        """All records with their bucket: changes, and stored rows without a change.
+
+        Changes are few between two compactions, so Spark broadcasts their ids to the scan of the stored rows.
+        """
+        changed = self._changed(name)
+        if not files.exists(self.spark, self._rows(name)):
+            return changed
+        stored = self.spark.read.parquet(self._rows(name))
+        if changed is None:
+            return stored
+        kept = stored.join(changed.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        return kept.unionByName(changed, allowMissingColumns=True)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._rows(name)).drop("bucket")
+        return self._merged(name).drop("bucket")
 
     def searchable(self, name: str) -> tuple[DataFrame, Callable[[DataFrame, list], DataFrame]]:
         """The rows with their bucket, and how to pick a few ids: from the buckets of those ids only."""
-        rows, count = self.spark.read.parquet(self._rows(name)), self._buckets_of(name)
+        rows, count = self._merged(name), self._buckets_of(name)
 
         def pick(df: DataFrame, ids: list) -> DataFrame:
             wanted = self.spark.createDataFrame([(i,) for i in ids], "id string").select(_bucket(count).alias("b"))
@@ -77,12 +104,17 @@ class Collections:
         if not files.children(self.spark, self.root):
             return self.spark.createDataFrame([], "name string, metric string, total_records long")
         about = self.spark.read.parquet(f"{self.root}/*/about").select("name", "metric")
-        filled = [n for n in files.children(self.spark, self.root) if self.has_rows(n)]
-        if not filled:
-            return about.withColumn("total_records", F.lit(0).cast("long"))
-        place = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/rows/", 1)
-        ids = self.spark.read.schema("id string").option("recursiveFileLookup", True).parquet(*map(self._rows, filled))
-        counts = ids.groupBy(F.url_decode(place).alias("name")).agg(F.count(F.lit(1)).alias("total_records"))
+        names = files.children(self.spark, self.root)
+        changed = [n for n in names if files.exists(self.spark, self._changes(n))]
+        plain = [n for n in names if n not in changed and files.exists(self.spark, self._rows(n))]
+        ids = self.spark.createDataFrame([], "name string")
+        if plain:  # one scan of the ids of all of them
+            place = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/rows/", 1)
+            stored = self.spark.read.schema("id string").option("recursiveFileLookup", True).parquet(*map(self._rows, plain))
+            ids = ids.unionByName(stored.select(F.url_decode(place).alias("name")))
+        for n in changed:
+            ids = ids.unionByName(self._merged(n).select(F.lit(n).alias("name")))
+        counts = ids.groupBy("name").agg(F.count(F.lit(1)).alias("total_records"))
         return about.join(counts, "name", "left").withColumn(
             "total_records", F.coalesce("total_records", F.lit(0).cast("long"))
         )
@@ -104,25 +136,36 @@ class Collections:
     def append(self, name: str, rows: DataFrame, sort_by: str | None = "chat_time") -> None:
         self._write(name, self._bucketed(name, rows), sort_by=sort_by)
 
-    def upsert(self, name: str, rows: DataFrame, sort_by: str | None = "chat_time") -> None:
-        """Store rows by id. `rows` must be cheap to read twice (a staged table).
+    def upsert(self, name: str, rows: DataFrame, sort_by: str | None = "chat_time") -> int:
+        """Store rows by id, one row per id; returns the number of the change, 0 for the first rows.
 
-        Unknown ids are appended. Only buckets that hold an id to replace are
-        written anew, from a staged copy. Running it again gives the same table.
+        What is stored is neither read nor written: the rows are a change of their own, and readers
+        take the latest change of an id. Running it again with the same rows gives the same records.
+        One writer at a time.
         """
-        keys = ["bucket", "id"]
-        incoming = self._bucketed(name, rows)
         if not self.has_rows(name):
-            self._write(name, incoming, sort_by=sort_by)
+            self._write(name, self._bucketed(name, rows), sort_by=sort_by)
+            return 0
+        done = [int(c.removeprefix("change=")) for c in files.children(self.spark, self._changes(name)) if c.startswith("change=")]
+        change = max(done, default=0) + 1
+        even = self._bucketed(name, rows).hint("rebalance", "bucket")
+        even.write.partitionBy("bucket").parquet(f"{self._changes(name)}/change={change}")
+        return change
+
+    def compact(self, name: str, sort_by: str | None = "chat_time") -> None:
+        """Bring changes into the stored rows: only buckets with a changed id are written anew.
+
+        Buckets are replaced before the changes go. After a failure in between the changes are
+        still there, and say what the rows say.
+        """
+        changed = self._changed(name)
+        if changed is None:
             return
-        stored = self.spark.read.parquet(self._rows(name))
-        known = staged(stored.select(*keys).join(incoming.select(*keys), keys, "left_semi").distinct())
-        touched = [r.bucket for r in known.select("bucket").distinct().collect()]  # at most `buckets`
-        if touched:
-            kept = stored.where(F.col("bucket").isin(touched)).join(known, keys, "left_anti")
-            changed = incoming.join(known, keys, "left_semi")
-            self._write(name, staged(kept.unionByName(changed, allowMissingColumns=True)), True, sort_by)
-        self._write(name, incoming.join(known, keys, "left_anti"), sort_by=sort_by)
+        changed = staged(changed)
+        touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most `buckets`
+        merged = self._merged(name).where(F.col("bucket").isin(touched))
+        self._write(name, staged(merged), True, sort_by)
+        files.delete(self.spark, self._changes(name))
 
 
 def _bucket(count: int) -> Column:
