@@ -137,12 +137,14 @@ class Collections:
         self._write(name, self._bucketed(name, rows), sort_by=sort_by)
 
     def upsert(self, name: str, rows: DataFrame, sort_by: str | None = "chat_time") -> int:
-        """Store rows by id, one row per id; returns the number of the change, 0 for the first rows.
+        """Store rows by id, one row per id; returns the number of the change, 0 for the first rows and for none.
 
         What is stored is neither read nor written: the rows are a change of their own, and readers
         take the latest change of an id. Running it again with the same rows gives the same records.
-        One writer at a time.
+        No rows are no change. One writer at a time.
         """
+        if rows.isEmpty():
+            return 0
         if not self.has_rows(name):
             self._write(name, self._bucketed(name, rows), sort_by=sort_by)
             return 0

@@ -10,7 +10,7 @@ def replies_within(messages: DataFrame, replies: DataFrame, span: str = "30 minu
     """Message and reply of one talker, the reply after the message and at most `span` later.
 
     Both sides have id, ts and the key, on streams or tables. On streams each side drops rows that come more than
-    `late` behind the latest time it has seen in earlier batches, and with the watermark and the span Spark knows
+    `late` behind the latest time seen up to the batch before last, and with the watermark and the span Spark knows
     when a row can meet no other any more: its state goes. Rows without a time or key meet nothing.
     """
     m = messages.select(F.col("id").alias("message_id"), F.col("ts").alias("message_ts"), F.col(key).alias("message_key")).withWatermark("message_ts", late)

@@ -115,7 +115,7 @@ def live_sessions(messages: DataFrame, keep: int = SESSION_MESSAGES, idle: str =
     `messages` is a stream of session_id, seq, role, content and ts. A message more than `idle` after the one before
     begins its session anew. State holds an entry for each kept message, so a batch writes what is new and removes
     what falls out; a timer forgets a session as soon as no message in time can continue it. Rows more than
-    `late` behind the latest time seen are dropped; rows without a session or time are not looked at.
+    `late` behind the latest time seen up to the batch before last are dropped; rows without a session or time are not looked at.
     Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass), which get_session sets.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)

@@ -146,6 +146,34 @@ def test_collections(spark, tmp_path):
     assert store.delete("one") and not store.has_rows("one")
 
 
+def test_upserts_write_what_comes_in(spark, tmp_path):
+    store = Collections(spark, str(tmp_path / "store"), buckets=8)
+    store.open("c")
+    first = spark.range(5000).selectExpr("cast(id as string) as id", "'old' as v")
+    assert store.upsert("c", first) == 0
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store/c/rows").rglob("*.parquet")}
+    some = spark.range(100, 400).selectExpr("cast(id as string) as id", "'new' as v", "id as extra")
+    assert store.upsert("c", some) == 1
+    assert store.upsert("c", spark.range(399, 402).selectExpr("cast(id as string) as id", "'newest' as v")) == 2
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "store/c/rows").rglob("*.parquet")} == before
+    assert spark.read.parquet(str(tmp_path / "store/c/changes/change=1")).count() == 300
+
+    def check():
+        got = {r.id: (r.v, r.extra) for r in store.read("c").collect()}
+        assert len(got) == 5000 == store.read("c").count()
+        assert got["99"] == ("old", None) and got["100"] == ("new", 100) and got["398"][0] == "new" and got["399"] == got["401"] == ("newest", None)
+        assert {r.name: r.total_records for r in store.sizes().collect()} == {"c": 5000}
+        rows, pick = store.searchable("c")
+        assert {(r.id, r.v) for r in pick(rows, ["5", "150", "400"]).collect()} == {("5", "old"), ("150", "new"), ("400", "newest")}
+
+    check()
+    store.compact("c")
+    check()
+    assert not (tmp_path / "store/c/changes").exists()
+    store.compact("c")
+    assert store.upsert("c", spark.createDataFrame([("x", "v")], "id string, v string")) == 1 and store.read("c").count() == 5001
+
+
 def test_tracking(spark, tmp_path):
     t = Tracking(spark, str(tmp_path / "t"))
     t.add(spark.createDataFrame([("a",), ("b",), ("a",)], "record_hash string"))
