@@ -27,22 +27,37 @@ def cleaned_rows(raw: DataFrame, order: str = "position", key_chars: int | None
     return first_rows(valid_rows(raw), keys, [F.col(order)])
 
 
-def cleaning_counts(raw: DataFrame, key_chars: int | None = None) -> DataFrame:
-    """Per file: rows read, dropped as invalid, dropped as copies, kept, share saved. key_chars as in cleaned_rows."""
-    by_key = raw.groupBy(
+def _rows_by_key(raw: DataFrame, key_chars: int | None) -> DataFrame:
+    """Rows per file and cleaning key; rows that are not valid share one key."""
+    return raw.groupBy(
         "source",
         _valid().alias("_valid"),
         F.when(_valid(), F.coalesce(F.col("CreateTime"), F.lit(""))).alias("_time"),
         F.when(_valid(), text.prefix(F.col("msg"), key_chars)).alias("_key"),
     ).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _key_counts() -> list[Column]:
     valid_sum = F.coalesce(F.sum(F.when(F.col("_valid"), F.col("_rows"))), F.lit(0))
-    counts = by_key.groupBy("source").agg(
-        F.sum("_rows").alias("total"),
-        (F.sum("_rows") - valid_sum).alias("filtered"),
+    total = F.coalesce(F.sum("_rows"), F.lit(0))
+    return [
+        total.alias("total"),
+        (total - valid_sum).alias("filtered"),
         (valid_sum - F.count_if(F.col("_valid"))).alias("duplicates"),
         F.count_if(F.col("_valid")).alias("kept"),
-    )
-    return counts.withColumn("saved_pct", _saved())
+    ]
+
+
+def cleaning_counts(raw: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """Per file: rows read, dropped as invalid, dropped as copies, kept, share saved. key_chars as in cleaned_rows."""
+    return _rows_by_key(raw, key_chars).groupBy("source").agg(*_key_counts()).withColumn("saved_pct", _saved())
+
+
+def cleaning_report(raw: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """The counts of each file and of all files (is_total, source NULL), from one scan by grouping sets."""
+    by_key = _rows_by_key(raw, key_chars)
+    counts = by_key.groupingSets([[F.col("source")], []], F.col("source")).agg(F.grouping_id().alias("_set"), *_key_counts())
+    return counts.withColumn("saved_pct", _saved()).withColumn("is_total", F.col("_set") == 1).drop("_set")
 
 
 def counts_beside(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

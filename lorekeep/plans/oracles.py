@@ -595,3 +595,13 @@ ORACLES["streamed_replies"] = (
     "SELECT m.event_id AS message_id, r.event_id AS reply_id, 'u' || m.user_id AS talker FROM e m JOIN e r ON m.user_id = r.user_id "
     "AND m.event_type = 'click' AND r.event_type = 'purchase' AND r.ts > m.ts AND r.ts <= m.ts + INTERVAL 6 HOURS"
 )
+ORACLES["cleaning_report"] = _with(_CHAT) + (
+    "SELECT *, CAST(0 AS BIGINT) AS is_total FROM counts UNION ALL "
+    "SELECT NULL, CAST(sum(total) AS BIGINT), CAST(sum(filtered) AS BIGINT), CAST(sum(duplicates) AS BIGINT), CAST(sum(kept) AS BIGINT), "
+    "round((sum(total) - sum(kept)) * 100.0 / sum(total), 1), 1 FROM counts"
+)
+ORACLES["tracked_import"] = ORACLES["incremental_documents"]
+ORACLES["sender_sketch"] = _with(_MEMORY) + (
+    "SELECT collection, count(*) AS records, count(DISTINCT talker) AS senders, CAST(1 AS BIGINT) AS close, CAST(1 AS BIGINT) AS as_rebuilt "
+    "FROM memory GROUP BY collection"
+)

@@ -15,6 +15,8 @@ from lorekeep.session import checkpoint_dir
 from lorekeep.sources import chat_csv
 from lorekeep.sources.collections import Collections
 from lorekeep.sources.providers import HashEmbedder, message
+from lorekeep.sources.sketches import SenderSketches, sender_sketches
+from lorekeep.sources.tracking import Tracking
 from lorekeep.streaming.imports import start_import
 from lorekeep.streaming.replies import replies_within
 from lorekeep.streaming.sessions import MESSAGE, live_sessions, session_tails
@@ -48,6 +50,11 @@ def cleaning_totals(spark: SparkSession, sf: str) -> DataFrame:
     return chatrows.cleaning_totals(cleaning_counts(spark, sf))
 
 
+def cleaning_report(spark: SparkSession, sf: str) -> DataFrame:
+    report = chatrows.cleaning_report(tables.chat_rows(spark, sf))
+    return report.withColumns(_big("is_total"))
+
+
 def normalised_records(spark: SparkSession, sf: str) -> DataFrame:
     records = chatrows.normalised_records(tables.chat_rows(spark, sf))
     return records.select(
@@ -123,6 +130,15 @@ def incremental_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chatrows.unseen(documents, tracked, "record_hash").select("source", "row_no", "record_hash")
 
 
+def tracked_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that a tracking table does not know: its rows stay where they are."""
+    documents = _documents(spark, sf).select("source", "row_no", "record_hash")
+    tracking = Tracking(spark, f"{checkpoint_dir(spark)}/tracked-{uuid.uuid4().hex}")
+    tracking.add(documents.where(F.col("source") < INCOMING_FROM))
+    tracking.add(documents.where(F.col("source") < TRACKED_BEFORE))
+    return chatrows.unseen(documents, tracking.read(), "record_hash").select("source", "row_no", "record_hash")
+
+
 def load_counts(spark: SparkSession, sf: str) -> DataFrame:
     tracked = _documents(spark, sf).where(F.col("source") < TRACKED_BEFORE).select("record_hash")
     return chatrows.load_counts(_numbered(spark, sf), tracked)
@@ -366,6 +382,21 @@ def sender_count(spark: SparkSession, sf: str) -> DataFrame:
     return stats.sender_count(tables.memory_records(spark, sf))
 
 
+def sender_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct senders of each collection beside the estimate of sketches from two imports, and of one sketch of all."""
+    records = tables.memory_records(spark, sf)
+    kept = SenderSketches(spark, f"{checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}")
+    kept.add(records.where("seq % 3 = 0"))
+    kept.add(records.where("seq % 3 > 0"))
+    rebuilt = sender_sketches(records).select("collection", F.hll_sketch_estimate("senders").alias("rebuilt"))
+    exact = records.groupBy("collection").agg(F.count_distinct("talker").alias("senders"))
+    both = kept.counts().join(rebuilt, "collection").join(exact, "collection")
+    error = F.abs(F.col("unique_senders") - F.col("senders")) / F.col("senders")
+    return both.select(
+        "collection", "records", "senders", (error <= 0.05).cast("long").alias("close"),
+        (F.col("unique_senders") == F.col("rebuilt")).cast("long").alias("as_rebuilt"))
+
+
 def collection_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return stats.collection_sizes(tables.memory_records(spark, sf))
 
@@ -679,6 +710,6 @@ QUERIES = {
         relevance_labels, answer_labels, stripped_answers, replies_between_labels, retrieval_decisions, relevant_results,
         numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_requests,
         persona_stats, query_guards, message_previews, upload_messages, streamed_import, streamed_session_tail,
-        batch_nearest, batch_search, all_time_neighbours, reimported_collection, streamed_live_sessions, streamed_replies,
+        batch_nearest, batch_search, all_time_neighbours, reimported_collection, cleaning_report, tracked_import, sender_sketch, streamed_live_sessions, streamed_replies,
     )
 }
\ No newline at end of file

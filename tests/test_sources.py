@@ -14,6 +14,7 @@ from lorekeep.sources.pages import FormFeedPages, read_pages
 from lorekeep.sources.persona_store import PersonaStore
 from lorekeep.sources.providers import HashEmbedder, embed_with_retry, with_embeddings
 from lorekeep.sources.session_store import SessionStore
+from lorekeep.sources.sketches import SenderSketches
 from lorekeep.sources.tracking import Tracking, tracked_in_json
 
 STANDARD = ["id", "MsgSvrID", "type_name", "is_sender", "talker", "src", "msg", "CreateTime", "room_name"]
@@ -188,6 +189,37 @@ def test_tracking(spark, tmp_path):
     assert found == {"x": ["h1", "h2"], "y": ["h3"], "z": [], "w": []}
 
 
+def test_tracked_hashes_stay_where_they_are(spark, tmp_path):
+    t = Tracking(spark, str(tmp_path / "it's"), buckets=8)
+    t.add(spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("record_hash")))
+    t.add(spark.range(2000, 4000).select(F.sha2(F.col("id").cast("string"), 256).alias("record_hash")))
+    assert t.read().count() == 4000
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(3990, 4010).select("id", F.sha2(F.col("id").cast("string"), 256).alias("record_hash"))
+        new = chatrows.unseen(rows, t.read(), "record_hash")
+        assert sorted(r.id for r in new.collect()) == list(range(4000, 4010))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # One exchange, of what comes in.
+    assert plan.count("SelectedBucketsCount: 8 out of 8") == 1 == plan.count("Exchange hashpartitioning(record_hash")
+
+
+def test_sender_sketches(spark, tmp_path):
+    kept = SenderSketches(spark, str(tmp_path / "s"))
+    assert kept.counts().count() == 0
+    rows = spark.range(60_000).selectExpr("cast(id % 3 as string) as collection", "concat('u', id % 20000) as talker")
+    rows = rows.unionByName(spark.createDataFrame([("0", None)], "collection string, talker string"))
+    for part in (rows.where("collection < '2'"), rows.where("collection >= '1'"), rows.limit(0)):
+        kept.add(part)
+    got = {r.collection: (r.records, r.unique_senders) for r in kept.counts().collect()}
+    assert got["0"][0] == 20_001 and got["1"][0] == 40_000 and set(got) == {"0", "1", "2"}
+    for _, senders in got.values():
+        assert abs(senders - 20_000) <= 0.05 * 20_000
+
+
 class Failing:
     def embed(self, texts):
         if any("bad" in t for t in texts):
