@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import math
 import time
+import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable, Sequence
@@ -19,7 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EMBED_BATCH = 10
-EMBED_TRIES = 3
+#: Seconds before the second and the third try: after a failure, and where the service is busy.
+PAUSES = ((1.0, 2.0), (1.0, 4.0))
+#: HTTP codes by which a service asks for patience.
+BUSY_CODES = (429, 503)
+
+
+class ServiceBusy(RuntimeError):
+    """The service limits calls for now."""
 
 
 class Embedder(Protocol):
@@ -129,7 +137,12 @@ class HttpEmbedder:
         self.url, self.api_key, self.model, self.timeout = url, api_key, model, timeout
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        data = _post(self.url, self.api_key, {"model": self.model, "input": list(texts)}, self.timeout)
+        try:
+            data = _post(self.url, self.api_key, {"model": self.model, "input": list(texts)}, self.timeout)
+        except urllib.error.HTTPError as answer:
+            if answer.code in BUSY_CODES:
+                raise ServiceBusy(str(answer.code)) from answer
+            raise
         return [item["embedding"] for item in data["data"]]
 
 
@@ -143,17 +156,19 @@ def _post(url: str, api_key: str, body: dict, timeout: float) -> dict:
         return json.load(response)
 
 
-def embed_with_retry(embedder: Embedder, texts: Sequence[str], tries: int = EMBED_TRIES, wait: Callable[[float], None] = time.sleep) -> list[list[float]] | None:
-    """Vectors of a batch, or None when every try failed. Rate limits wait longer each time."""
-    for attempt in range(tries):
+def vectors_or_none(
+    embedder: Embedder, texts: Sequence[str], pauses: Sequence[tuple[float, float]] = PAUSES, wait: Callable[[float], None] = time.sleep
+) -> list[list[float]] | None:
+    """Vectors of a batch, tried once more after each pause, or None."""
+    for after_failure, when_busy in (*pauses, (None, None)):
         try:
             return embedder.embed(texts)
-        except Exception as exc:
-            if attempt == tries - 1:
-                return None
-            told = str(exc).lower()
-            limited = "429" in told or "rate" in told or "throttl" in told
-            wait(2.0 ** (attempt + 1) if limited else 1.0)
+        except ServiceBusy:
+            pause = when_busy
+        except Exception:
+            pause = after_failure
+        if pause is not None:
+            wait(pause)
     return None
 
 
@@ -175,7 +190,7 @@ def with_embeddings(
         rows = texts.tolist()
         for i in range(0, len(rows), batch):
             part = rows[i : i + batch]
-            vectors.extend(embed_with_retry(embedder, part) or [None] * len(part))
+            vectors.extend(vectors_or_none(embedder, part) or [None] * len(part))
         return pd.Series(vectors, dtype=object)
 
     return df.withColumn("embedding", embed.asNondeterministic()(F.col(text_col)))

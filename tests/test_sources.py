@@ -12,7 +12,7 @@ from lorekeep.sources import chat_csv, files
 from lorekeep.sources.collections import Collections
 from lorekeep.sources.pages import FormFeedPages, read_pages
 from lorekeep.sources.persona_store import PersonaStore
-from lorekeep.sources.providers import HashEmbedder, embed_with_retry, with_embeddings
+from lorekeep.sources.providers import HashEmbedder, ServiceBusy, vectors_or_none, with_embeddings
 from lorekeep.sources.session_store import SessionStore
 from lorekeep.sources.sketches import SenderSketches
 from lorekeep.sources.tracking import Tracking, tracked_in_json
@@ -223,13 +223,14 @@ def test_sender_sketches(spark, tmp_path):
 class Failing:
     def embed(self, texts):
         if any("bad" in t for t in texts):
-            raise RuntimeError("429 too many")
+            raise ServiceBusy("429")
         return [[float(len(t))] for t in texts]
 
 
 def test_embedding_failures(spark):
     waits = []
-    assert embed_with_retry(Failing(), ["bad"], wait=waits.append) is None and waits == [2.0, 4.0]
+    assert vectors_or_none(Failing(), ["bad"], wait=waits.append) is None and waits == [2.0, 4.0]
+    assert vectors_or_none(object(), ["bad"], wait=waits.append) is None and waits[2:] == [1.0, 1.0]
     rows = spark.createDataFrame([(i, "bad" if i == 13 else f"text {i}") for i in range(30)], "i int, content string").coalesce(1)
     import lorekeep.sources.providers as p
 
