@@ -12,6 +12,7 @@ are looked at: a match of any kind shares so many pairs of its template that one
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.licence_texts import TEXTS
+from lorekeep.sources.collections import staged
 
 LEAST = 0.8
 #: In a window, a template of so few pairs must occur whole.
@@ -130,6 +132,47 @@ def _pairs(text: Column) -> Column:
     )
 
 
+#: Endings of template names that tell forms of one licence apart.
+FORMS = r"-(notice|short|work|name|text|title|header|permission)$"
+#: Names that stand for another one.
+SAME = {"BSD": "BSD-3-Clause"}
+
+
+def licence_of(name: Column) -> Column:
+    """The licence that a template is a form of."""
+    out = F.regexp_replace(name, FORMS, "")
+    for form, licence in SAME.items():
+        out = F.when(name == form, F.lit(licence)).otherwise(out)
+    return out
+
+
+def licences_found(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+    """doc_id, line, licence, dice: the licence that each line names, or the window of words that begins there.
+
+    Of several templates the one that matches best counts, of equal ones the longer one, then the later name; all
+    forms of a licence have one name. A window over several lines goes if one of them matches as well by itself, and
+    the whole text (line 0) counts only for a licence that no line names. NULL and empty texts name nothing. Rows
+    alike in id and text count once, rows alike in id alone, or without an id, are texts of their own.
+    """
+    templates = templates or TEMPLATES
+    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), F.md5(docs["text"]).alias("md5")).alias("doc_id"), docs["text"])
+    sizes = F.from_json(F.lit(json.dumps({k: len(pairs_of(v)) for k, v in templates.items()})), "map<string,int>")
+    found = _matches(keyed, templates, least).withColumn("n_template", F.element_at(sizes, F.col("licence")))
+    best = found.groupBy("doc_id", "line").agg(F.max(F.struct("dice", "n_template", "licence", "till")).alias("m")).select(
+        "doc_id", "line", "m.till", licence_of(F.col("m.licence")).alias("licence"), "m.dice")
+    best = staged(best)
+    alone = best.where((F.col("line") > 0) & (F.col("till") == F.col("line")))
+    # A window is no longer than a template allows, and so are its lines.
+    over = best.where(F.col("till") > F.col("line")).withColumn("covered", F.explode(F.sequence("line", "till")))
+    beaten = over.join(
+        alone.select("doc_id", F.col("line").alias("covered"), F.col("dice").alias("own")), ["doc_id", "covered"]
+    ).where(F.col("own") >= F.col("dice")).select("doc_id", "line").distinct()
+    named = best.where("line > 0").join(beaten, ["doc_id", "line"], "left_anti")
+    whole = best.where("line = 0").join(named.select("doc_id", "licence").distinct(), ["doc_id", "licence"], "left_anti")
+    columns = [F.col("doc_id.id").alias("doc_id"), "line", "licence", "dice"]
+    return named.select(*columns).unionByName(whole.select(*columns))
+
+
 def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, line, licence, dice: every line (from 1; 0: the whole of a text of several lines) and template that match.
 
@@ -139,7 +182,11 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     Words of every line of a text with a telling word are counted; only of units whose size some template admits are pairs built. Further columns
     are ignored.
     """
-    templates = templates or TEMPLATES
+    return _matches(docs, templates or TEMPLATES, least).drop("till")
+
+
+def _matches(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """The matches with the line that they end in."""
     docs = docs.select(docs["doc_id"], docs["text"]).where(_told(docs["text"], templates, least))
     # One row per template and size: as many as the templates' words, whatever the input.
     known = template_table(docs.sparkSession, templates, least)
@@ -165,11 +212,11 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     shared = F.size(F.array_intersect("pairs", "template"))
     dice = 2 * shared / (F.col("size") + F.col("n_template"))
     found = own.join(F.broadcast(known), "size").withColumn("dice", dice).where(F.col("dice") >= least)
-    return found.select("doc_id", "line", "licence", "dice").unionByName(_windows(docs, templates, least))
+    return found.select("doc_id", "line", F.col("line").alias("till"), "licence", "dice").unionByName(_windows(docs, templates, least))
 
 
 def _windows(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """doc_id, line, licence, dice of windows. All work on a text is done inside its row."""
+    """doc_id, line, till, licence, dice of windows. All work on a text is done inside its row."""
     listed = [(k, p, len(p), needed_in_window(len(p), least), math.floor(len(p) * (2 - least) / least + 1e-9))
               for k, v in templates.items() for p in [pairs_of(v)] if " " in p[0]]
     known = docs.sparkSession.createDataFrame(
@@ -189,7 +236,17 @@ def _windows(docs: DataFrame, templates: dict[str, str], least: float) -> DataFr
         F.transform(all_pairs, lambda x, i: F.struct(i.alias("at"), x["pair"].alias("pair"), x["line"].alias("line"), x["till"].alias("till"))),
         lambda x: x["pair"].isin(every))
     texts = texts.select("doc_id", "n_lines", "words", hits.alias("hits"))
-    near = texts.join(F.broadcast(known), F.size(F.array_intersect(F.col("hits.pair"), F.col("template"))) >= F.col("needed"))
+    # From each pair to the templates that have it: a text meets the templates of which it has enough pairs.
+    of_pair: dict[str, list[str]] = {}
+    for name, pairs, *_ in listed:
+        for pair in pairs:
+            of_pair.setdefault(pair, []).append(name)
+    having = F.from_json(F.lit(json.dumps(of_pair)), "map<string,array<string>>")
+    needed = F.from_json(F.lit(json.dumps({name: n for name, _, _, n, _ in listed})), "map<string,int>")
+    shared = F.array_sort(F.flatten(F.transform(F.array_distinct("hits.pair"), lambda p: F.element_at(having, p))))
+    texts = texts.withColumn("shared", shared)
+    enough = F.filter(F.array_distinct("shared"), lambda k: F.size(F.filter("shared", lambda x: x == k)) >= F.element_at(needed, k))
+    near = texts.withColumn("licence", F.explode(enough)).drop("shared").join(F.broadcast(known), "licence")
     own = near.withColumn("hits", F.filter("hits", lambda x: F.array_contains("template", x["pair"])))
     # The last place before with the same pair, as far back as a window can reach.
     before = F.transform("hits", lambda x, i: F.struct(
@@ -235,4 +292,4 @@ def _windows(docs: DataFrame, templates: dict[str, str], least: float) -> DataFr
         return 2.0 * shared / (F.size(F.filter("words", lambda w: w["line"] == line)) - 1 + n) >= least
 
     found = each.where(~F.exists(F.sequence("x.line", "x.till"), alone))
-    return found.select("doc_id", F.col("x.line").alias("line"), "licence", F.col("x.dice").alias("dice"))
+    return found.select("doc_id", F.col("x.line").alias("line"), F.col("x.till").alias("till"), "licence", F.col("x.dice").alias("dice"))

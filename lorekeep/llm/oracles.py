@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lorekeep.llm.archives import REVISIT_BYTES
-from lorekeep.llm.licences import LEAST, TEMPLATES, pairs_of
+from lorekeep.llm.licences import FORMS, LEAST, SAME, TEMPLATES, pairs_of
 
 _ARCHIVES = f"""
 WITH p AS (
@@ -61,6 +61,7 @@ def _licences() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, pairs_of(v)))}])" for k, v in TEMPLATES.items())
+    same = "CASE licence " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in SAME.items()) + f" ELSE regexp_replace(licence, '{FORMS}', '') END"
     return f"""
 WITH t(licence, template) AS (VALUES {rows}),
 l AS (
@@ -78,11 +79,17 @@ l AS (
               ELSE words END AS pairs
   FROM w WHERE words[1] <> ''
 ), m AS (
-  SELECT doc_id, line, licence,
+  SELECT doc_id, line, licence AS form, len(template) AS n_template,
+         {same} AS licence,
          2.0::DOUBLE * len(list_intersect(pairs, template)) / (len(pairs) + len(template)) AS dice
   FROM p JOIN t ON len(pairs) <= 3 * len(template) AND len(template) <= 3 * len(pairs)
 )
-SELECT doc_id, line, licence, dice FROM m WHERE dice >= {LEAST}
+, b AS (
+  SELECT * FROM m WHERE dice >= {LEAST}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, n_template DESC, form DESC) = 1
+)
+SELECT doc_id, line, licence, dice FROM b
+WHERE line > 0 OR NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND o.line > 0 AND o.licence = b.licence)
 """
 
 

@@ -40,7 +40,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licence_matches(table(spark, sf_dir, "documents"))
+    return licences.licences_found(table(spark, sf_dir, "documents"))
 
 
 def section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

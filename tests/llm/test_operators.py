@@ -239,6 +239,22 @@ def test_notice_lines_of_documents_name_their_licence(spark):
         assert names == {licence}, line
 
 
+def test_a_notice_names_one_licence(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    mit = licences.TEMPLATES["MIT-notice"]
+    rows = [(1, f"A text.\n{gpl}", 9), (2, f"{gpl}\nAnd more.\nLicensed under CC BY-NC 4.0.", 9), (3, gpl, None), (3, "Released under the MIT License.", 9),
+            (None, gpl, 9), (None, "All rights reserved.", 9), (4, None, 9), (5, "", 9), (6, gpl, 9), (6, gpl, 9), (7, "GNU Affero " + gpl, 9),
+            (8, "Some words before " * 10 + mit[:60] + "\n" + mit[60:] + " and some words after", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line int").withColumnRenamed("line", "dice")
+    got = sorted(((r.doc_id, r.line, r.licence) for r in licences.licences_found(docs).collect()), key=repr)
+    want = [(1, 2, "GPL-3.0"), (2, 1, "GPL-3.0"), (2, 3, "CC-BY-NC-4.0"), (3, 1, "GPL-3.0"), (3, 1, "MIT"), (None, 1, "GPL-3.0"),
+            (None, 1, "All-rights-reserved"), (6, 1, "GPL-3.0"), (7, 1, "GPL-3.0"), (8, 1, "MIT")]
+    assert got == sorted(want, key=repr)
+    assert licences.licences_found(docs.limit(0)).count() == 0
+    plan = licences.licence_matches(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
 def test_licence_texts_wrapped_in_longer_documents(spark):
     import textwrap
 
