@@ -418,3 +418,38 @@ def test_nearest(spark):
     assert neighbours.nearest(vectors.limit(0), lambda i: i % 50 == 0).count() == 0
     few = vectors.where("vec_id in (0, 1, 2)")
     assert [(r["query_id"], r["rank"]) for r in collected(neighbours.nearest(few, lambda i: i % 50 == 0))] == [(0, 1), (0, 2)]
+
+
+def test_nearest_in_blocks(spark):
+    """Blocks and copies change nothing; ids of other types, rows alike and clashing columns do not matter."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 12))
+    x[100:400] = x[100]  # one vector many times
+    rows = [(i, str(i), [float(a) for a in v], 1, 2) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows + rows[:3], "vec_id smallint, name string, embedding array<double>, part int, probes int")
+    asks = lambda i: i.cast("int") % 50 == 0
+    whole = collected(neighbours.nearest(vectors, asks))
+    split = collected(neighbours.nearest(vectors, asks, block_rows=40, query_rows=3))
+    by_name = collected(neighbours.nearest(vectors, asks, id_col="name"))
+    line = lambda out: sorted((int(r["query_id"]), r["rank"], int(r["vec_id"]), r["score"]) for r in out)
+    assert line(whole) == line(split) and len(whole) == 150
+    assert [r[2] for r in line(whole) if r[0] == 150] == [100, 101, 102, 103, 104]
+    assert [r[2] for r in line(by_name) if r[0] == 150] == [100, 101, 102, 103, 104] and len(by_name) == 150  # another sample
+
+
+def test_best_in_block():
+    """The k best of the parts that a query probes, against all pairs."""
+    rng = np.random.default_rng(6)
+    there, asked = (neighbours._unit(rng.normal(size=(n, 8))) for n in (90, 20))
+    part, ids, own = np.sort(rng.integers(0, 6, 90)), rng.permutation(90), np.arange(20)
+    there[3:9] = there[3]
+    probes = [rng.permutation(6)[: rng.integers(1, 6)] for _ in own]
+    q, c, score = neighbours.best_in_block(asked, own, probes, there, ids, part, 4)
+    for i in own:
+        near = [(-float(neighbours.exact_pairs(asked[i : i + 1], there[j : j + 1])[0]), ids[j]) for j in range(90) if part[j] in probes[i] and ids[j] != i]
+        assert [(-s, ids[j]) for j, s in zip(c[q == i], score[q == i])] == sorted(near)[:4]
+
+
+def test_parts_and_bundles():
+    assert [neighbours.parts_for(n) for n in (0, 96, 191, 192, 51_282, 10**9)] == [1, 1, 1, 2, 512, 512]
+    assert neighbours.blocks_of({0: 3, 1: 4, 2: 30, 4: 2}, 5, 10) == ([0, 0, 1, 2, 2], [1, 3, 1])
