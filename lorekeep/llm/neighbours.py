@@ -91,11 +91,11 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
             back[j].append(i)
     around = [np.concatenate((row, back[i])).astype(int) for i, row in enumerate(graph)]
     for _ in range(rounds):
-        votes = np.zeros((len(x), parts))
+        want, gain = np.zeros(len(x), int), np.zeros(len(x), int)
         for i, near in enumerate(around):
-            votes[i] = np.bincount(part[near], minlength=parts)
-        want = votes.argmax(axis=1)
-        gain = votes[np.arange(len(x)), want] - votes[np.arange(len(x)), part]
+            votes = np.bincount(part[near], minlength=parts)
+            want[i] = votes.argmax()
+            gain[i] = votes[want[i]] - votes[part[i]]
         size, moved = np.bincount(part, minlength=parts), 0
         for i in np.argsort(-gain, kind="stable"):
             if gain[i] <= 0:
@@ -132,8 +132,9 @@ class Router:
         return np.argsort(-self.values(unit), axis=1, kind="stable")
 
 
-def _train(x: np.ndarray, wanted: np.ndarray, width: int = 128, rounds: int = 25, rate: float = 3e-3, seed: int = 3) -> Router:
-    rng, parts = np.random.default_rng(seed), wanted.shape[1]
+def _train(x: np.ndarray, wanted: np.ndarray, parts: int, width: int = 128, rounds: int = 25, rate: float = 3e-3, seed: int = 3) -> Router:
+    """`wanted` holds for each row parts that it is to be sent to, those that count more than once repeated."""
+    rng = np.random.default_rng(seed)
     w = [rng.normal(size=(x.shape[1], width)) * np.sqrt(2 / x.shape[1]) * 4, np.zeros(width),
          rng.normal(size=(width, parts)) * np.sqrt(1 / width), np.zeros(parts)]
     slope, square, step = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
@@ -144,7 +145,9 @@ def _train(x: np.ndarray, wanted: np.ndarray, width: int = 128, rounds: int = 25
             a = np.maximum(x[rows] @ w[0] + w[1], 0)
             e = a @ w[2] + w[3]
             e = np.exp(e - e.max(axis=1, keepdims=True))
-            d = (e / e.sum(axis=1, keepdims=True) - wanted[rows]) / len(rows)
+            d = e / e.sum(axis=1, keepdims=True)
+            np.subtract.at(d, (np.arange(len(rows))[:, None], wanted[rows]), 1 / wanted.shape[1])
+            d /= len(rows)
             da = (d @ w[2].T) * (a > 0)
             step += 1
             for i, g in enumerate((x[rows].T @ da, da.sum(axis=0), a.T @ d, d.sum(axis=0))):
@@ -172,10 +175,7 @@ def fit_router(sample: np.ndarray, parts: int, wished: float = WISHED_RECALL, k:
         return Router(none, np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     graph = neighbour_graph(kept, GRAPH_NEIGHBOURS)
     part = balanced_parts(kept, graph, parts)
-    wanted = np.zeros((len(kept), parts))
-    for i, near in enumerate(graph):
-        wanted[i] = np.bincount(part[near], minlength=parts) + 2 * (np.arange(parts) == part[i])
-    router = _train(kept, wanted / wanted.sum(axis=1, keepdims=True))
+    router = _train(kept, np.column_stack([part[graph], part, part]), parts)
     placed = router.part(kept)
     place_of = np.argsort(router.order(asked), axis=1)  # at which probe a part is reached
     reached = place_of[np.arange(len(asked))[:, None], placed[nearest_rows(asked, kept, k)]]
