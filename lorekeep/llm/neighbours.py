@@ -53,7 +53,7 @@ def nearest_rows(asked: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     out = []
     for start in range(0, len(asked), STEP):
         near = -(asked[start : start + STEP] @ x.T)
-        out.append(np.argpartition(near, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(near, k - 1, axis=1)[:, :k].copy())  # a view would keep all columns
     return np.vstack(out)
 
 
@@ -63,7 +63,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for start in range(0, len(x), STEP):
         near = -(x[start : start + STEP] @ x.T)
         near[np.arange(len(near)), start + np.arange(len(near))] = 2
-        out.append(np.argpartition(near, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(near, k - 1, axis=1)[:, :k].copy())  # a view would keep all columns
     return np.vstack(out)
 
 
