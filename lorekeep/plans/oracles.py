@@ -533,6 +533,16 @@ ORACLES = {
     "CAST(CASE WHEN own AND n < 20 THEN 4 ELSE 8 END AS BIGINT) AS nearby_per_result, CAST(50 AS BIGINT) AS max_total_results, "
     "CASE WHEN own AND seg = 'BUILDING' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS lambda_mult, "
     "CAST(CASE WHEN n > 12 THEN n + 100 ELSE 500 END AS BIGINT) AS max_tokens FROM personas",
+    "persona_catalogue": "WITH late AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS priority, "
+    "arg_max(o_totalprice, o_orderkey) FILTER (o_totalprice > 200000) AS price, "
+    "arg_max(o_orderkey % 1000, o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS max_tokens FROM orders GROUP BY o_custkey) "
+    "SELECT 'p' || c_custkey AS id, c_name AS name, "
+    "CAST(coalesce(max_tokens, CASE WHEN c_acctbal > 0 THEN c_nationkey + 100 END) AS BIGINT) AS max_tokens, "
+    "CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS tone, priority, CAST(price AS DOUBLE) AS price, "
+    "CASE WHEN c_acctbal > 0 OR priority IS NOT NULL THEN concat_ws(',', CASE WHEN c_acctbal > 0 OR max_tokens IS NOT NULL THEN 'max_tokens' END, "
+    "CASE WHEN price IS NOT NULL THEN 'price' END, CASE WHEN priority IS NOT NULL THEN 'priority' END, "
+    "CASE WHEN c_acctbal > 0 THEN 'tone' END) END AS names "
+    "FROM customer LEFT JOIN late ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY'",
     "persona_requests": _with(_PERSONAS)
     + "SELECT o_orderkey, 'p' || o_custkey AS persona_id, coalesce(p.id, (SELECT id FROM personas ORDER BY seq LIMIT 1)) AS used_persona "
     "FROM orders LEFT JOIN personas p ON p.id = 'p' || o_custkey",

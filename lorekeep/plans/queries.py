@@ -565,6 +565,16 @@ def persona_parameters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def persona_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Personas with open parameters after one change for each order, without the deleted ones."""
+    final = personas.catalogue(*tables.persona_changes(spark, sf))
+    value = lambda name, kind: personas.open_value(F.col("params"), name, kind).alias(name)
+    return final.select(
+        "id", "name", value("max_tokens", "bigint"), value("tone", "string"), value("priority", "string"), value("price", "double"),
+        F.array_join(F.sort_array(F.map_keys("params")), ",").alias("names"),
+    )
+
+
 def persona_requests(spark: SparkSession, sf: str) -> DataFrame:
     orders = tables.table(spark, sf, "orders").select(
         "o_orderkey", F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("persona_id")
@@ -708,7 +718,7 @@ QUERIES = {
         result_sources, chain_context, time_neighbours, time_range, sender_sample, sender_count,
         collection_sizes, write_batches, book_search, book_context, book_sources,
         relevance_labels, answer_labels, stripped_answers, replies_between_labels, retrieval_decisions, relevant_results,
-        numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_requests,
+        numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_catalogue, persona_requests,
         persona_stats, query_guards, message_previews, upload_messages, streamed_import, streamed_session_tail,
         batch_nearest, batch_search, all_time_neighbours, reimported_collection, cleaning_report, tracked_import, sender_sketch, streamed_live_sessions, streamed_replies,
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import FRIEND_NOTICE
+from lorekeep.operators.personas import parsed
 
 ROWS_PER_BLOCK = 100_000
 
@@ -193,6 +194,29 @@ def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def persona_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Personas with open parameters, a change of them for each order, and the ids that are deleted.
+
+    A change names the priority always, the price of dear orders, and a limit where the order is urgent.
+    Customers of the segment MACHINERY are deleted.
+    """
+    c = table(spark, sf_dir, "customer")
+    pid = lambda key: F.concat(F.lit("p"), F.col(key).cast("string"))
+    own = F.to_json(F.struct((F.col("c_nationkey") + 100).alias("max_tokens"), F.col("c_mktsegment").alias("tone")))
+    created = c.select(
+        F.col("c_custkey").alias("seq"), pid("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") > 0, parsed(own)).alias("params"),
+    )
+    urgent, dear = F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") > 200_000
+    change = F.to_json(F.struct(
+        F.col("o_orderpriority").alias("priority"),
+        F.when(dear, F.col("o_totalprice")).alias("price"),
+        F.when(urgent, F.col("o_orderkey") % 1000).alias("max_tokens"),
+    ))
+    changes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), pid("o_custkey").alias("id"), parsed(change).alias("params"))
+    return created, changes, c.where(F.col("c_mktsegment") == "MACHINERY").select(pid("c_custkey").alias("id"))
+
+
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw model answers: text with labels in the shapes models write them."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
