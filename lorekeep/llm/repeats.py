@@ -9,8 +9,8 @@ different units around one anchor, is ordered by most-significant-digit passes o
 a time; a suffix that is alone with its digits leaves, and the groups that remain at the
 threshold are exactly the repeated windows.
 
-Anchors known to be frequent are ordered by passes of Spark over rows of windows instead, so
-that no task holds all units of a frequent passage.
+Anchors with more different units than a task should hold, by a count of all of them, are ordered by
+passes of Spark over rows of windows instead: their units are never brought together.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lorekeep.llm.bytescan import _BYTE_CODES, _ODD, _tables, counted_often, mixed, text_bytes
-from lorekeep.llm.tables import unused
+from lorekeep.llm.tables import small, unused
 from lorekeep.sources.collections import staged
 
 THRESHOLD = 100
@@ -38,8 +38,10 @@ SEEN, FREQUENT = 64, 1 << 16
 FLUSH = 1 << 19
 #: Units that tasks hold to find equal ones among their own.
 UNITS_HELD = 1 << 17
-#: Units of one anchor that a task orders by itself; more are left to Spark.
-GROUP_UNITS = 1 << 15
+#: Units that meet in one place; a frequent anchor gets as many places as its count asks for, and at least PLACES.
+PLACE_UNITS, PLACES = 1 << 10, 64
+#: Units of one anchor that a task orders by itself (about ORDER_BYTES); anchors with more are left to Spark.
+GROUP_UNITS = 1 << 12
 #: Bytes of units that a task orders together, where one group is not larger.
 ORDER_BYTES = 1 << 20
 #: A per-document table is broadcast up to so many entries (some 50 MB).
@@ -124,7 +126,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return docs.select(o.alias("o"), (F.lit(0).cast("long") if plain else F.xxhash64(text)).alias("t"), text.alias("text")), not plain
 
 
-def _frequent(rows: DataFrame, threshold: int) -> np.ndarray:
+def _frequent(rows: DataFrame, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of frequent anchors in order, and the places (a power of two) among which their units are dealt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, room = [], 0
 
@@ -146,32 +150,39 @@ def _frequent(rows: DataFrame, threshold: int) -> np.ndarray:
 
     counted = rows.select("text").mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen"))
     top = counted.orderBy(F.desc("seen"), "h").limit(FREQUENT).toArrow()
-    return np.sort(top["h"].to_numpy().view(np.uint64))
+    codes, seen = top["h"].to_numpy().view(np.uint64), top["seen"].to_numpy()
+    places = np.left_shift(1, np.ceil(np.log2(np.maximum(seen / PLACE_UNITS, PLACES))).astype(np.int64))
+    order = np.argsort(codes)
+    return codes[order], np.minimum(places, 1 << 30)[order]
 
 
 _UNIT = "g long, u long, o long, t long, lo int, n int, kind int"
 _NAMES = ["g", "u", "o", "t", "lo", "n", "kind"]
 
 
-def _units(rows: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """All units: g to meet by, u what they hold; kind 1 if an equal unit of the task is earlier, 2 at a frequent anchor."""
+def _units(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: int) -> DataFrame:
+    """All units: g to meet by, u what they hold; kind 1 if an equal unit of the task is earlier, the places at a frequent anchor."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, held, room = shared.value, [], 0
+        often, places_of = shared.value
+        held, room = [], 0
 
         def out() -> pa.RecordBatch:
             g, u, o, t, lo, n = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((lo, t, o, u, g))
             g, u, o, t, lo, n = (c[order] for c in (g, u, o, t, lo, n))
             known = np.concatenate(([False], (g[1:] == g[:-1]) & (u[1:] == u[:-1])))
-            heavy = often[np.minimum(np.searchsorted(often, g), len(often) - 1)] == g if len(often) else np.zeros(len(g), bool)
-            # At a frequent anchor equal units still meet, in one of 64 places.
-            g = np.where(heavy, g ^ ((u & np.uint64(63)) + np.uint64(1)), g)
+            spread = np.zeros(len(g), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+                spread = np.where(often[at] == g, places_of[at], 0)
+            # At a frequent anchor equal units still meet, in one of its places.
+            g = np.where(spread > 0, g ^ ((u & (np.maximum(spread, 1) - 1).astype(np.uint64)) + np.uint64(1)), g)
             # Units known to be repeats meet nobody.
             g = np.where(known, mixed(u ^ (lo.astype(np.uint64) * _ODD) ^ o.view(np.uint64)), g)
             columns = [_signed(g), _signed(u), o, t, lo.astype(np.int32), n.astype(np.int32),
-                       np.where(known, 1, np.where(heavy, 2, 0)).astype(np.int32)]
+                       np.where(known, 1, spread).astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
         for batch in batches:
@@ -196,13 +207,17 @@ def _fits(per_doc: DataFrame, entries: str) -> DataFrame:
     return F.broadcast(per_doc) if total <= BROADCAST_ENTRIES else per_doc
 
 
-def _ordered(candidates: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """o, t, lo, n: runs of repeated windows among units that differ but share an anchor.
+def _beside_texts(units: DataFrame, rows: DataFrame) -> DataFrame:
+    """o, t, text, units: the documents that hold any of `units` (g, o, t, lo, n), with those."""
+    per_doc = staged(units.groupBy("o", "t").agg(F.collect_list(F.struct("g", "lo", "n")).alias("units")))
+    return rows.join(_fits(per_doc, "units"), ["o", "t"])
+
+
+def _ordered_in_tasks(units: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """o, t, lo, n: runs of repeated windows among `units` (g, o, t, lo, n) that differ but share an anchor g.
 
-    `candidates`: g, o, t, lo, n, heavy.
+    Every g has at most GROUP_UNITS units.
     """
-    per_doc = staged(candidates.groupBy("o", "t").agg(F.collect_list(F.struct("g", "lo", "n", "heavy")).alias("units")))
-    joined = rows.join(_fits(per_doc, "units"), ["o", "t"])
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,57 +229,33 @@ def _ordered(candidates: DataFrame, rows: DataFrame, threshold: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["g"] for x in units], pa.int64()), pa.array([o] * len(units), pa.int64()),
                      pa.array([t] * len(units), pa.int64()), pa.array([x["lo"] for x in units], pa.int32()),
-                     pa.array([x["heavy"] for x in units], pa.bool_()), pa.array(out, pa.binary())],
-                    names=["g", "o", "t", "lo", "heavy", "part"])
+                     pa.array(out, pa.binary())],
+                    names=["g", "o", "t", "lo", "part"])
 
-    kind = "g long, o long, t long, lo int, heavy boolean, part binary"
-    parts = joined.mapInArrow(slices, kind)
+    parts = _beside_texts(units, rows).mapInArrow(slices, "g long, o long, t long, lo int, part binary")
 
     def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def results(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            g = table["g"].to_numpy()
-            size = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), [len(g)])))
-            large = np.repeat(size > GROUP_UNITS, size) | table["heavy"].to_numpy(zero_copy_only=False)
-            for left, kept in ((True, large), (False, ~large)):
-                some = table.filter(pa.array(kept)).combine_chunks()
-                if not some.num_rows:
-                    continue
-                o, t, lo, g_ = (some[c].to_numpy() for c in ("o", "t", "lo", "g"))
-                part = some["part"].combine_chunks()
-                data, places = text_bytes(pa.Array.from_buffers(pa.string() if pa.types.is_binary(part.type) else pa.large_string(),
-                                                                len(part), part.buffers(), offset=part.offset))
-                windows = np.diff(places) - threshold + 1
-                unit = np.repeat(np.arange(len(windows)), windows)
-                inside = np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows)
-                starts = places[unit] + inside
-                if left:
-                    yield windows_out(data, starts, o[unit], t[unit], lo[unit] + inside)
-                    continue
-                # Earlier: smaller o, t and place in the text.
-                rank = np.empty(len(unit), np.int64)
-                rank[np.lexsort((lo[unit] + inside, t[unit], o[unit]))] = np.arange(len(unit))
-                again = repeated_windows(data, starts, g_[unit], rank, threshold)
-                if len(again):
-                    run = np.concatenate(([True], (np.diff(again) != 1) | (unit[again[1:]] != unit[again[:-1]])))
-                    begin = again[run]
-                    count = np.diff(np.concatenate((np.flatnonzero(run), [len(again)])))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(o[unit[begin]]), pa.array(t[unit[begin]]),
-                         pa.array((lo[unit[begin]] + inside[begin]).astype(np.int32)), pa.array(count.astype(np.int32)),
-                         pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.int64())],
-                        names=["o", "t", "lo", "n", "d1", "d2"])
-
-        def windows_out(data, starts, o, t, at) -> pa.RecordBatch:
-            # Two digits of half the threshold each, as codes.
-            up, down = _tables(len(data) + 1)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[data] * up[: len(data)], dtype=np.uint64)))
-            half = threshold // 2
-            digits = [mixed((sums[b] - sums[a]) * down[a]) for a, b in
-                      ((starts, starts + half), (starts + half, starts + threshold))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(o), pa.array(t), pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32)),
-                 *(pa.array(_signed(d)) for d in digits)], names=["o", "t", "lo", "n", "d1", "d2"])
+            some = pa.Table.from_batches(held).combine_chunks()
+            o, t, lo, g = (some[c].to_numpy() for c in ("o", "t", "lo", "g"))
+            part = some["part"].combine_chunks()
+            data, places = text_bytes(pa.Array.from_buffers(pa.string() if pa.types.is_binary(part.type) else pa.large_string(),
+                                                            len(part), part.buffers(), offset=part.offset))
+            windows = np.diff(places) - threshold + 1
+            unit = np.repeat(np.arange(len(windows)), windows)
+            inside = np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows)
+            # Earlier: smaller o, t and place in the text.
+            rank = np.empty(len(unit), np.int64)
+            rank[np.lexsort((lo[unit] + inside, t[unit], o[unit]))] = np.arange(len(unit))
+            again = repeated_windows(data, places[unit] + inside, g[unit], rank, threshold)
+            if len(again):
+                run = np.concatenate(([True], (np.diff(again) != 1) | (unit[again[1:]] != unit[again[:-1]])))
+                begin = again[run]
+                count = np.diff(np.concatenate((np.flatnonzero(run), [len(again)])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(o[unit[begin]]), pa.array(t[unit[begin]]),
+                     pa.array((lo[unit[begin]] + inside[begin]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["o", "t", "lo", "n"])
 
         held, room = [], 0
         for batch in batches:
@@ -290,17 +281,39 @@ def _ordered(candidates: DataFrame, rows: DataFrame, threshold: int) -> DataFram
         if held:
             yield from results(held)
 
-    met = parts.repartition("g").sortWithinPartitions("g").mapInArrow(
-        order_groups, "o long, t long, lo int, n int, d1 long, d2 long")
-    met = staged(met)
-    done = met.where(F.col("d1").isNull()).select("o", "t", "lo", "n")
-    # The frequent anchors, by passes of Spark: the first digit, then both.
-    open_ = met.where(F.col("d1").isNotNull()).select("o", "t", "lo", "d1", "d2")
-    first = open_.groupBy("d1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d1")
-    open_ = open_.join(first, "d1", "left_semi")
-    least = open_.groupBy("d1", "d2").agg(F.min(F.struct("o", "t", "lo")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    again = open_.join(least, ["d1", "d2"]).where(F.struct("o", "t", "lo") != F.col("least"))
-    return done.unionByName(again.select("o", "t", "lo", F.lit(1).alias("n")))
+    return parts.repartition("g").sortWithinPartitions("g").mapInArrow(order_groups, "o long, t long, lo int, n int")
+
+
+def _ordered_by_spark(units: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """The same for anchors of any number of units: each task turns the windows of its own texts into two digits of
+    half the threshold, as codes, and two passes of Spark group them, by the first digit and by both."""
+
+    def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = threshold // 2
+        for batch in batches:
+            data, places = text_bytes(batch["text"])
+            for i, (a, units) in enumerate(zip(places[:-1].tolist(), batch["units"])):
+                lo, n = units.values.field("lo").to_numpy(), units.values.field("n").to_numpy()
+                for first in range(0, len(lo), GROUP_UNITS):
+                    los, ns = lo[first : first + GROUP_UNITS].astype(np.int64), n[first : first + GROUP_UNITS].astype(np.int64)
+                    part = np.concatenate([data[a + x : a + x + m + threshold - 1] for x, m in zip(los.tolist(), ns.tolist())])
+                    inside = np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+                    starts = inside + np.repeat(np.cumsum(ns + threshold - 1) - (ns + threshold - 1), ns)
+                    up, down = _tables(len(part) + 1)
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[part] * up[: len(part)], dtype=np.uint64)))
+                    d1, d2 = (mixed((sums[y] - sums[x]) * down[x]) for x, y in
+                              ((starts, starts + half), (starts + half, starts + threshold)))
+                    o, t = (np.full(len(inside), batch[c][i].as_py(), np.int64) for c in ("o", "t"))
+                    at = (np.repeat(los, ns) + inside).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (o, t, at, _signed(d1), _signed(d2))],
+                                                     names=["o", "t", "lo", "d1", "d2"])
+
+    found = staged(_beside_texts(units, rows).mapInArrow(digits, "o long, t long, lo int, d1 long, d2 long"))
+    first = found.groupBy("d1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d1")
+    found = found.join(first, "d1", "left_semi")
+    least = found.groupBy("d1", "d2").agg(F.min(F.struct("o", "t", "lo")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    again = found.join(least, ["d1", "d2"]).where(F.struct("o", "t", "lo") != F.col("least"))
+    return again.select("o", "t", "lo", F.lit(1).alias("n"))
 
 
 def repeated_runs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -311,26 +324,28 @@ def repeated_runs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     frequent = _frequent(rows, threshold)
     units = _units(rows, frequent, threshold).repartition("g")
     here = W.partitionBy("g")
+    often = F.col("kind") > 1
     told = (
         units.withColumn("before", F.lag("u").over(here.orderBy("u", "o", "t", "lo")))
         .withColumn("least", F.min("u").over(here)).withColumn("most", F.max("u").over(here))
         .withColumn("again", (F.col("kind") == 1) | F.coalesce(F.col("before") == F.col("u"), F.lit(False)))
-        .where("again or least <> most or kind = 2")
+        .where(F.col("again") | (F.col("least") != F.col("most")) | often)
         .select(
-            # The anchor itself again, where it was dealt to 64 places.
-            F.when(F.col("kind") == 2, F.col("g").bitwiseXOR(F.col("u").bitwiseAND(63) + 1)).otherwise(F.col("g")).alias("g"),
-            "o", "t", "lo", "n", "again", (F.col("kind") == 2).alias("often"),
+            # The anchor itself again, where it was dealt to places.
+            F.when(often, F.col("g").bitwiseXOR(F.col("u").bitwiseAND(F.col("kind").cast("long") - 1) + 1)).otherwise(F.col("g")).alias("g"),
+            "o", "t", "lo", "n", "again",
         )
     )
     told = staged(told)
-    open_ = told.where("not again")
-    # Of the anchors on the list (at most FREQUENT), those with more different units than a task should order.
-    heavy = staged(open_.where("often").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_UNITS)
-                   .select("g", F.lit(True).alias("heavy")))
-    candidates = open_.join(F.broadcast(heavy), "g", "left").select(
-        "g", "o", "t", "lo", "n", F.coalesce("heavy", F.lit(False)).alias("heavy"))
-    ordered = _ordered(candidates, rows, threshold)
-    all_runs = told.where("again").select("o", "t", "lo", "n").unionByName(ordered)
+    open_ = told.where("not again").select("g", "o", "t", "lo", "n")
+    # Anchors with more different units than a task should order: at most one in GROUP_UNITS units.
+    heavy = staged(open_.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_UNITS).select("g"))
+    all_runs = told.where("again").select("o", "t", "lo", "n")
+    if heavy.isEmpty():
+        all_runs = all_runs.unionByName(_ordered_in_tasks(open_, rows, threshold))
+    else:
+        light, hot = (open_.join(small(heavy), "g", how) for how in ("left_anti", "left_semi"))
+        all_runs = all_runs.unionByName(_ordered_in_tasks(light, rows, threshold)).unionByName(_ordered_by_spark(hot, rows, threshold))
     per_doc = all_runs.groupBy("o", "t").agg(F.collect_list(F.struct("lo", "n")).alias("windows"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,12 +123,8 @@ def test_subset_sizes(n):
     assert jaccard.choose_boundary({3: 10, 200: 5}) >= 3
 
 
-def test_repeated_strings(spark, odd):
-    rng = random.Random(4)
-    passage = "".join(rng.choice("abcé ") for _ in range(180))
-    rows = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 150))) + (passage[: rng.randint(90, 180)] if i % 2 else "")
-             + "q" * rng.choice([0, 99, 100, 101, 260])) for i in range(40)] + [(90, None), (91, ""), (92, passage * 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+def without_earlier(rows):
+    """The digests of texts without strings of 100 bytes that start earlier, by a set of all such strings."""
     seen, want = set(), []
     for i, text in rows:
         data, covered = (text or "").encode(), set()
@@ -139,7 +135,16 @@ def test_repeated_strings(spark, odd):
         kept = bytes(b for k, b in enumerate(data) if k not in covered)
         spans = sum(k - 1 not in covered for k in covered)
         want.append((i, len(data), len(covered), spans, hashlib.sha256(kept).hexdigest()))
-    assert sorted(tuple(r) for r in repeats.removal_digests(docs).collect()) == sorted(want)
+    return want
+
+
+def test_repeated_strings(spark, odd):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcé ") for _ in range(180))
+    rows = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 150))) + (passage[: rng.randint(90, 180)] if i % 2 else "")
+             + "q" * rng.choice([0, 99, 100, 101, 260])) for i in range(40)] + [(90, None), (91, ""), (92, passage * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in repeats.removal_digests(docs).collect()) == sorted(without_earlier(rows))
     out = repeats.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert repeats.removal_digests(docs.limit(0)).count() == 0
@@ -147,6 +152,32 @@ def test_repeated_strings(spark, odd):
     assert sorted(r.n_removed for r in repeats.removal_digests(same).collect()) == [0] + [len(passage.encode())] * 2
 
 
+def test_repeats_around_frequent_anchors(spark, monkeypatch):
+    for name, value in {"GROUP_UNITS": 5, "SEEN": 2, "PLACE_UNITS": 1, "PLACES": 2, "FLUSH": 4000, "UNITS_HELD": 50}.items():
+        monkeypatch.setattr(repeats, name, value)
+    by_spark, passes = [], repeats._ordered_by_spark
+    monkeypatch.setattr(repeats, "_ordered_by_spark", lambda *given: by_spark.append(given) or passes(*given))
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("uvwxyzé ") for _ in range(n))
+    hot, other = word(230), word(160)
+    rows = []
+    for i in range(90):
+        cut = rng.randint(0, 60)
+        rows.append((i, word(rng.randint(0, 90)) + hot[cut : cut + rng.randint(95, 170)] + word(rng.randint(0, 90)) + (other if i % 7 == 0 else "")))
+    rows += [(200, hot * 3), (201, None), (202, "aaaa" * 100), (203, hot[:99])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in repeats.removal_digests(docs).collect()) == sorted(without_earlier(rows))
+    assert by_spark
+
+
+def test_repeats_in_a_long_text(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long[131_000:131_150]), (2, long[:131_080] + long[500:900] + long[131_080:]), (3, long[250_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in repeats.removal_digests(docs).collect()) == sorted(without_earlier(rows))
+
+
 def test_radix_passes_find_what_sorting_finds():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
