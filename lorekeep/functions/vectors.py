@@ -12,6 +12,10 @@ from lorekeep.functions.binding import let
 
 METRICS = ("cosine", "l2")
 
+#: What `hashed` counts: runs of letters and digits, and every other character beyond ASCII by itself.
+FEATURE = r"[a-z0-9\x{C0}-\x{24F}]+|[^\x00-\x7F]"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def as_literal(vector: Sequence[float]) -> Column:
     """A query vector as a constant array."""
@@ -56,3 +60,22 @@ def unit_literal(query: Sequence[float]) -> Column:
     """A query vector scaled to length one, as a constant array."""
     size = math.sqrt(sum(float(x) ** 2 for x in query))
     return as_literal([float(x) / size if size else 0.0 for x in query])
+
+
+def hashed(text: Column, dim: int = 64) -> Column:
+    """Text as a vector of length 1000 in whole numbers: its features, A-Z lower-cased, counted in hashed places.
+
+    A feature counts up or down in one of `dim` places, by the first eight digits of its MD5. Whole numbers make
+    distances exact, whatever the order of summation. Text without features gives zeros, NULL gives NULL.
+    """
+    features = F.regexp_extract_all(F.translate(text, LETTERS, LETTERS.lower()), F.lit(FEATURE), F.lit(0))
+    place = lambda w: F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("long") % (2 * dim)
+    count = lambda codes, code: F.size(codes) - F.size(F.array_remove(codes, code))
+    sums = let(
+        F.transform(features, place),
+        lambda codes: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda b: count(codes, b) - count(codes, b + dim)),
+    )
+    scaled = let(
+        sums, lambda v: let(norm(v), lambda size: F.transform(v, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(F.floor(x * F.lit(1000.0) / size + 0.5)).cast("float")))
+    )
+    return F.when(text.isNotNull(), scaled)

@@ -273,6 +273,23 @@ found AS (
     )
 
 
+
+
+def _hashed(source: str, key: str, text: str) -> str:
+    """{source}_vectors (id, v): a vector in 64 places for each row, from its words one by one."""
+    words = f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{C0}}-\\x{{24F}}]+|[^\\x00-\\x7F]')"
+    return f"""{source}_codes AS (
+  SELECT id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 128 AS code FROM (SELECT {key} AS id, unnest({words}) AS w FROM {source})
+), {source}_sums AS (
+  SELECT id, b, coalesce(n, 0) AS n
+  FROM (SELECT {key} AS id, unnest(range(64)) AS b FROM {source})
+  LEFT JOIN (SELECT id, code % 64 AS b, sum(CASE WHEN code < 64 THEN 1 ELSE -1 END) AS n FROM {source}_codes GROUP BY 1, 2) USING (id, b)
+), {source}_vectors AS (
+  SELECT id, list(CASE WHEN size = 0 THEN 0 ELSE floor(n * CAST(1000 AS DOUBLE) / size + 0.5) END ORDER BY b) AS v
+  FROM (SELECT *, sqrt(CAST(sum(n * n) OVER (PARTITION BY id) AS DOUBLE)) AS size FROM {source}_sums) GROUP BY id
+)"""
+
+
 _FOUND = "SELECT id, content, result_source, round(score, 6) AS score, rank FROM "
 
 _BOOK_HITS = f"""{_SIM},
@@ -520,7 +537,9 @@ ORACLES = {
     "CAST(CASE WHEN c.chars IS NULL THEN 1 WHEN contains(text, 'ü') THEN 2 ELSE 5 END AS BIGINT) AS is_use, "
     "CAST(a.searched AND (c.chars IS NULL OR length(text) > 800 OR contains(text, 'ü')) AS BIGINT) AS retried "
     "FROM asked a LEFT JOIN ctx c ON c.request_id = a.request_id",
-    "streamed_import": _FULL + "SELECT id, source, row_no, content, CAST(64 AS BIGINT) AS dim FROM keyed",
+    "streamed_import": _with(_CHAT, _RECORDS, _hashed("keyed", "id", "content"))
+    + "SELECT id, source, row_no, content, CAST(64 AS BIGINT) AS dim, "
+    "array_to_string(list_transform(v, lambda x: CAST(x AS BIGINT)), ',') AS vector FROM keyed JOIN keyed_vectors USING (id)",
     "streamed_session_tail": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations "
     "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "session_tail": "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations "
@@ -615,3 +634,11 @@ ORACLES["sender_sketch"] = _with(_MEMORY) + (
     "SELECT collection, count(*) AS records, count(DISTINCT talker) AS senders, CAST(1 AS BIGINT) AS close, CAST(1 AS BIGINT) AS as_rebuilt "
     "FROM memory GROUP BY collection"
 )
+ORACLES["book_answers"] = _book_sql(
+    _BOOK,
+    "stored AS (SELECT concat_ws('/', source, page, chunk_no) AS id, text FROM chunks)",
+    _hashed("stored", "id", "text"),
+    _hashed("benchmark", "item_id", "text"),
+) + """SELECT q.id AS item_id, s.id AS chunk, list_sum(list_transform(list_zip(s.v, q.v), lambda p: (p[1] - p[2]) ** 2)) AS distance,
+  row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(list_zip(s.v, q.v), lambda p: (p[1] - p[2]) ** 2)), s.id) AS rank
+FROM benchmark_vectors q, stored_vectors s QUALIFY rank <= 5"""

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions import chat, context, labels, text, uploads
+from lorekeep.functions import chat, context, labels, text, uploads, vectors
 from lorekeep.operators import batch, chatrows, neighbours, ordering, pages, personas, results, sessions, similarity, stats, timeline
 from lorekeep.plans import imports, search, tables
 from lorekeep.plans.reflective import Wording, reflective_answers
 from lorekeep.session import checkpoint_dir
 from lorekeep.sources import chat_csv
-from lorekeep.sources.collections import Collections
+from lorekeep.sources.collections import Collections, staged
 from lorekeep.sources.providers import HashEmbedder, message
 from lorekeep.sources.sketches import SenderSketches, sender_sketches
 from lorekeep.sources.tracking import Tracking
@@ -438,6 +438,15 @@ def book_sources(spark: SparkSession, sf: str) -> DataFrame:
     return results.chapter_sources(_book_results(spark, sf)).withColumns(_big("source_no"))
 
 
+def book_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of all chunks for every benchmark passage, by vectors that each chunk and passage gets here."""
+    chunk = F.concat_ws("/", "source", "page", "chunk_no").alias("id")
+    stored = staged(_chunks(spark, sf).select(chunk, vectors.hashed(F.col("text")).alias("embedding")))
+    asked = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), vectors.hashed(F.col("text")).alias("embedding"))
+    found = batch.batch_nearest(stored, asked, 5, "l2")
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("chunk"), "distance", F.col("rank").cast("long"))
+
+
 # ── reflection ───────────────────────────────────────────────────────────────
 
 
@@ -636,7 +645,10 @@ def streamed_import(spark: SparkSession, sf: str) -> DataFrame:
     store = Collections(spark, f"{checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}")
     rows = tables.chat_rows_of(tables.stream(spark, sf, "events"))
     start_import(rows, store, "live", HashEmbedder(), f"{store.root}/checkpoint").awaitTermination()
-    return store.read("live").select("id", "source", F.col("row_no").cast("long"), "content", F.size("embedding").cast("long").alias("dim"))
+    return store.read("live").select(
+        "id", "source", F.col("row_no").cast("long"), "content", F.size("embedding").cast("long").alias("dim"),
+        F.array_join(F.col("embedding").cast("array<long>").cast("array<string>"), ",").alias("vector"),
+    )
 
 
 def streamed_session_tail(spark: SparkSession, sf: str) -> DataFrame:
@@ -721,5 +733,6 @@ QUERIES = {
         numbered_passages, reflective_replies, session_tail, session_history, persona_parameters, persona_catalogue, persona_requests,
         persona_stats, query_guards, message_previews, upload_messages, streamed_import, streamed_session_tail,
         batch_nearest, batch_search, all_time_neighbours, reimported_collection, cleaning_report, tracked_import, sender_sketch, streamed_live_sessions, streamed_replies,
+        book_answers,
     )
 }
\ No newline at end of file

@@ -5,12 +5,13 @@ The engine never needs a network: tests use the deterministic ones below.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import re
 import time
 import urllib.error
 import urllib.request
-import zlib
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.functions.vectors import LETTERS, hashed
+
 EMBED_BATCH = 10
 #: Seconds before the second and the third try: after a failure, and where the service is busy.
 PAUSES = ((1.0, 2.0), (1.0, 4.0))
@@ -39,22 +42,26 @@ class ChatModel(Protocol):
 
 
 class HashEmbedder:
-    """Letter triples hashed into a unit vector: repeatable, no model."""
+    """Words hashed into a vector by expressions (`functions.vectors.hashed`): repeatable, no model, no Python per row."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
+    def column(self, text: Column) -> Column:
+        return hashed(text, self.dim)
+
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        """The same for a few texts on the driver, such as a question."""
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> list[float]:
-        out = [0.0] * self.dim
-        padded = f" {text.lower()} "
-        for i in range(len(padded) - 2):
-            code = zlib.crc32(padded[i : i + 3].encode())
-            out[code % self.dim] += 1.0 if code & 0x80000000 else -1.0
-        size = math.sqrt(sum(x * x for x in out)) or 1.0
-        return [x / size for x in out]
+        lower = text.translate(str.maketrans(LETTERS, LETTERS.lower()))
+        sums = [0] * self.dim
+        for word in re.findall("[a-z0-9\u00c0-\u024f]+|[^\\x00-\\x7f]", lower):
+            code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % (2 * self.dim)
+            sums[code % self.dim] += 1 if code < self.dim else -1
+        size = math.sqrt(sum(x * x for x in sums)) or 1.0
+        return [float(math.floor(x * 1000.0 / size + 0.5)) for x in sums]
 
 
 class CannedModel:
@@ -180,7 +187,10 @@ def with_embeddings(
     Only the text travels to Python and its vector back, row by row in order.
     `tasks` sets how many calls run at a time, for services slower than the scan.
     Stage the result before using it twice: a second use would embed again.
+    An embedder with a `column` method is an expression; no text leaves the JVM.
     """
+    if hasattr(embedder, "column"):
+        return df.withColumn("embedding", embedder.column(F.col(text_col)))
     if tasks:
         df = df.repartition(tasks)
 

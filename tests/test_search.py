@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import neighbours, results, similarity
 from lorekeep.plans.search import ChatSearch, chat_search
+from lorekeep.sources.providers import HashEmbedder, with_embeddings
 
 
 def vectors(spark, n=60, dim=8, seed=0):
@@ -181,3 +182,14 @@ def test_numbered_passages(spark):
     df = ranked(spark, [f" line\n{i} " + "z" * 200 for i in range(20)])
     text = results.numbered_passages(df).head().passages.split("\n")
     assert len(text) == 15 and text[0].startswith("[1] line 0 z") and len(text[0]) == 4 + 120
+
+
+def test_hashed_vectors_by_expression_and_on_the_driver(spark):
+    texts = ["", "  \t", "Über die Straße, naïve CAFÉ x1", "我们去 Beijing 吧😀😀", "a a a b", "word " * 3000, "İI\n.,;"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, content string")
+    embedder = HashEmbedder(16)
+    got = [r.embedding for r in with_embeddings(rows, embedder).orderBy("i").collect()]
+    assert got == [*embedder.embed(texts), None]
+    assert got[0] == got[1] == [0.0] * 16 and abs(np.linalg.norm(got[2]) - 1000) < 3
+    plan = with_embeddings(rows, embedder)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
