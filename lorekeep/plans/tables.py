@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
+    """A table as a stream of its files: of one file, or of those in a folder of that name."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A stream takes a single file by a pattern only. This one matches just the table, whether it is a file or a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _materialised(columns: list[Column], source: DataFrame) -> DataFrame:

@@ -37,3 +37,12 @@ def test_time_ranges_reach_the_scan(spark):
     for name in ("time_range", "time_neighbours", "chat_search"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(ts," in plan, name
+
+
+def test_a_table_in_a_folder_is_streamed_like_one_file(spark, tmp_path):
+    from lorekeep.plans.queries import QUERIES
+
+    spark.read.parquet(f"{SF}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.read.parquet(f"{SF}/events.parquet").limit(50).write.parquet(str(tmp_path / "events_old.parquet"))
+    got = QUERIES["streamed_session_tail"](spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(QUERIES["session_tail"](spark, SF).collect()) and got
