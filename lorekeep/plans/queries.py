@@ -15,7 +15,7 @@ from lorekeep.session import checkpoint_dir
 from lorekeep.sources import chat_csv
 from lorekeep.sources.collections import Collections, staged
 from lorekeep.sources.providers import HashEmbedder, message
-from lorekeep.sources.sketches import SenderSketches, sender_sketches
+from lorekeep.sources.sketches import SenderSketches, estimated, sender_sketches
 from lorekeep.sources.tracking import Tracking
 from lorekeep.streaming.imports import start_import
 from lorekeep.streaming.replies import replies_within
@@ -388,7 +388,7 @@ def sender_sketch(spark: SparkSession, sf: str) -> DataFrame:
     kept = SenderSketches(spark, f"{checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}")
     kept.add(records.where("seq % 3 = 0"))
     kept.add(records.where("seq % 3 > 0"))
-    rebuilt = sender_sketches(records).select("collection", F.hll_sketch_estimate("senders").alias("rebuilt"))
+    rebuilt = sender_sketches(records).select("collection", estimated("senders").alias("rebuilt"))
     exact = records.groupBy("collection").agg(F.count_distinct("talker").alias("senders"))
     both = kept.counts().join(rebuilt, "collection").join(exact, "collection")
     error = F.abs(F.col("unique_senders") - F.col("senders")) / F.col("senders")

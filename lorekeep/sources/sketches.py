@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.sources import files
@@ -23,6 +23,15 @@ def merged(sketches: DataFrame, by: str = "collection") -> DataFrame:
     return sketches.groupBy(by).agg(F.sum("records").alias("records"), F.hll_union_agg("senders").alias("senders"))
 
 
+def estimated(sketches: Column | str) -> Column:
+    """Distinct talkers of a sketch, by its registers alone.
+
+    A sketch that has seen rows only, and none of its parts merged, estimates from the order of these rows. United with
+    itself it holds the same registers and is taken as merged, so that equal talkers give equal numbers however they were dealt.
+    """
+    return F.hll_sketch_estimate(F.hll_union(sketches, sketches))
+
+
 class SenderSketches:
     """Sketches of collections, a few small rows for each import."""
 
@@ -42,4 +51,4 @@ class SenderSketches:
         if not files.exists(self.spark, self.path):
             return self.spark.createDataFrame([], "collection string, records long, unique_senders long")
         rows = self.spark.read.parquet(self.path)
-        return merged(rows).select("collection", "records", F.hll_sketch_estimate("senders").alias("unique_senders"))
+        return merged(rows).select("collection", "records", estimated("senders").alias("unique_senders"))

@@ -14,7 +14,7 @@ from lorekeep.sources.pages import FormFeedPages, read_pages
 from lorekeep.sources.persona_store import PersonaStore
 from lorekeep.sources.providers import HashEmbedder, ServiceBusy, vectors_or_none, with_embeddings
 from lorekeep.sources.session_store import SessionStore
-from lorekeep.sources.sketches import SenderSketches
+from lorekeep.sources.sketches import SenderSketches, estimated, sender_sketches
 from lorekeep.sources.tracking import Tracking, tracked_in_json
 
 STANDARD = ["id", "MsgSvrID", "type_name", "is_sender", "talker", "src", "msg", "CreateTime", "room_name"]
@@ -220,6 +220,19 @@ def test_sender_sketches(spark, tmp_path):
         assert abs(senders - 20_000) <= 0.05 * 20_000
 
 
+def test_sketches_estimate_alike_however_rows_were_dealt(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("concat('c', id % 2) AS collection", "concat('u', id % 2999) AS talker")
+    kept = SenderSketches(spark, str(tmp_path / "s"))
+    kept.add(rows.where("talker < 'u5'"))
+    kept.add(rows.where("talker >= 'u4'"))
+    parts = {r.collection: r.unique_senders for r in kept.counts().collect()}
+    for n in (1, 7):
+        whole = sender_sketches(rows.repartition(n)).select("collection", estimated("senders").alias("n"))
+        assert {r.collection: r.n for r in whole.collect()} == parts
+    assert all(abs(n - 2999) < 150 for n in parts.values())
+
+
+
 class Failing:
     def embed(self, texts):
         if any("bad" in t for t in texts):
