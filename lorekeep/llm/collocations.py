@@ -4,7 +4,8 @@ Every run of words has a 64-bit Rabin-Karp fingerprint: prefix sums of a polynom
 bytes give one for each word, prefix sums over the words one for each run, whatever its length.
 Fingerprints are counted length by length. A run can only be frequent if both of its halves that
 lack one word are, so a run is counted only where the bitmap of the frequent shorter runs holds
-both. One more pass follows each task's own pointers (first word of the first occurrence) back to
+both. What tasks have counted travels in blocks: the leading bits of a fingerprint name its part, and a
+task sends the sorted codes and counts of a part as one row, which the part's task merges as arrays. One more pass follows each task's own pointers (first word of the first occurrence) back to
 the text: occurrences with equal fingerprints are compared word by word and byte by byte, and the
 phrase is cut from the text once. What is counted in the end are phrases, not fingerprints.
 """
@@ -30,9 +31,13 @@ PER_LANG = 2000
 #: A candidate goes if a longer one around it is at least so many percent as frequent.
 COVERED_PERCENT = 100
 #: Bytes of text that are hashed at a time. A longer text is cut between words.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Fingerprints that a task sorts and counts before it passes them on.
 CHUNK_RUNS = 1 << 21
+#: Parts that fingerprints are counted in: so many at least, and so many for each partition of the texts.
+LEAST_PARTS, PARTS_EACH = 1 << 10, 4
+#: Bits of a fingerprint that are counted within its part.
+CODE_BITS = 32
 #: Phrases that a task holds before it passes them on.
 HELD_PHRASES = 1 << 17
 #: A bitmap has at least 16 places for each frequent run, and at most 2^26 (8 MB): beyond, more runs are counted for nothing.
@@ -167,14 +172,26 @@ def _lang_codes(langs: pa.Array) -> tuple[list[str], np.ndarray]:
     return langs.to_pylist(), each[coded.indices.to_numpy()]
 
 
-def _counter(n: int, shorter, size: int, bits: int):
-    """A function of batches that counts the fingerprints of runs of n words whose halves are in the bitmap."""
+def _counter(n: int, shorter, size: int, bits: int, part_bits: int):
+    """A function of batches that counts the fingerprints of runs of n words whose halves are in the bitmap, one row a part and chunk."""
+    edges = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(CODE_BITS)
 
     def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
-        for a in range(0, len(found), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(counts[part].astype(np.int64))], ["fp", "n"])
+        prints = np.concatenate(held)
+        prints >>= np.uint64(64 - CODE_BITS - part_bits)
+        prints.sort()
+        first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+        counts = np.diff(first, append=len(prints)).astype(np.uint32)
+        prints = prints[first]
+        ends = np.append(np.searchsorted(prints, edges[1:]), len(prints))
+        begins = np.append(0, ends[:-1])
+        codes = prints.astype(np.uint32)
+        parts = np.flatnonzero(ends > begins)
+        for at in range(0, len(parts), 256):
+            some = parts[at : at + 256]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), *(pa.array([x[begins[p] : ends[p]].tobytes() for p in some], pa.binary()) for x in (codes, counts))],
+                ["part", "codes", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -197,6 +214,21 @@ def _counter(n: int, shorter, size: int, bits: int):
     return count
 
 
+def _frequent(least: int, part_bits: int):
+    """A function of the blocks of one part that gives the leading bits of the fingerprints counted `least` times or more."""
+
+    def merge(key: tuple, blocks: pa.Table) -> pa.Table:
+        codes, counts = (np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in blocks[c]]) for c in ("codes", "counts"))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        often = first[np.add.reduceat(counts.astype(np.int64), first) >= least]
+        prints = (np.uint64(key[0].as_py()) << np.uint64(CODE_BITS)) | codes[often].astype(np.uint64)
+        return pa.table({"fp": (prints << np.uint64(64 - CODE_BITS - part_bits)).view(np.int64)})
+
+    return merge
+
+
 def _word_ids(words: Words) -> np.ndarray:
     """A number for each word, equal just for equal words: equal fingerprints are compared byte by byte."""
     _, first, ids = np.unique(words.prints, return_index=True, return_inverse=True)
@@ -276,13 +308,14 @@ def frequent_phrases(
     spark = docs.sparkSession
     lang = F.coalesce(docs[lang_col].cast("string"), F.lit("und"))
     texts = docs.select(lang.alias("lang"), docs[text_col].cast("string").alias("text")).where(F.col("text").isNotNull())
+    part_bits = (max(LEAST_PARTS, PARTS_EACH * texts.rdd.getNumPartitions()) - 1).bit_length()
     frequent: list = []
     for n in range(1, most_words + 1):
         shorter = frequent[-1] if frequent else None
         if shorter is not None and shorter.value is None:
             break
-        counts = texts.mapInArrow(_counter(n, shorter, slice_bytes, print_bits), "fp long, n long")
-        kept = staged(counts.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp"))
+        counts = texts.mapInArrow(_counter(n, shorter, slice_bytes, print_bits, part_bits), "part int, codes binary, counts binary")
+        kept = staged(counts.groupBy("part").applyInArrow(_frequent(least, part_bits), "fp long"))
         frequent.append(spark.sparkContext.broadcast(bitmap_of(kept, most_bits)))
     read = texts.mapInArrow(_reader(frequent, slice_bytes, print_bits), "lang string, phrase string, n long")
     counted = read.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))

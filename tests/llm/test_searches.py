@@ -77,6 +77,20 @@ def test_collocations_of_a_very_long_text(spark):
     assert got == sorted([("en", p, c) for p, c in want.items() if c >= 300] + [("en", None, len(ws))], key=repr)
 
 
+def test_counts_of_runs_travel_in_blocks():
+    import pyarrow as pa
+
+    text = " ".join("w%d" % (i % 50_000) for i in range(120_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})
+    rows = [r for b in collocations._counter(2, None, 1 << 19, 64, 6)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) <= 64 and {r["part"] for r in rows} == set(range(64))
+    merge, found = collocations._frequent(3, 6), []
+    for part in range(64):
+        blocks = pa.Table.from_pylist([{k: r[k] for k in ("codes", "counts")} for r in rows if r["part"] == part])
+        found += merge((pa.scalar(part),), blocks)["fp"].to_pylist()
+    assert len(set(found)) == len(found) == 19_999  # the runs of the third round
+
+
 def test_word_ids_tell_colliding_words_apart():
     import pyarrow as pa
 
