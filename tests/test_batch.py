@@ -51,6 +51,36 @@ def test_batch_nearest(spark, monkeypatch, metric):
         batch.batch_nearest(table, asked, 9, "dot")
 
 
+def test_queries_are_weighed_together_and_dealt_to_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(60, 4)).tolist())], "id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(1500, 4)).tolist())], "query_id int, embedding array<double>")
+    searcher, gaps, sent, calls = batch._searcher, batch._gaps, [], []
+    monkeypatch.setattr(batch, "_searcher", lambda *a: sent.append(a) or searcher(*a))
+    found = batch.batch_nearest(table, asked, 3)
+    assert len(sent) == 3  # one partition of rows, yet three tasks
+    want = brute_nearest([tuple(r) for r in table.collect()], [tuple(r) for r in asked.collect()], 3, "cosine")
+    assert sorted((r.query_id, r.id, r["rank"]) for r in found.collect()) == want
+    monkeypatch.setattr(batch, "_gaps", lambda *a: calls.append(a) or gaps(*a))
+    assert sum(b.num_rows for b in searcher(*sent[0])(iter(table.toArrow().to_batches()))) == 3 * 512
+    assert len(calls) == 1  # not one a query
+
+
+def test_nearest_rows_that_come_last_are_found():
+    import pyarrow as pa
+
+    rows = np.array([[1.0, x] for x in range(400, 0, -1)] + [[1.0, 0.0]] * 3)
+    names = [f"r{i:03}" for i in range(403)]
+    batches = pa.table({"id": names, "embedding": rows.tolist()}).to_batches(max_chunksize=7)
+    queries = np.array([[1.0, 0.0], [1.0, 390.0]])
+
+    class Sent:
+        value = (5, queries)
+
+    got = [tuple(r.values()) for b in batch._searcher(Sent, 2, "l2")(iter(batches)) for r in b.to_pylist()]
+    assert got == [(5, "r400", 0.0), (5, "r401", 0.0), (6, "r010", 0.0), (6, "r009", 1.0)]
+
+
 def test_batch_search_equals_one_search_after_the_other(spark):
     rng = np.random.default_rng(3)
     table = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(80)], "id long, embedding array<double>")
