@@ -158,7 +158,8 @@ def merged_collection(spark: SparkSession, sf: str) -> DataFrame:
 def reimported_collection(spark: SparkSession, sf: str) -> DataFrame:
     """A collection after its first import, a second one that replaces and adds, compaction, and a third one."""
     store = Collections(spark, f"{checkpoint_dir(spark)}/reimported-{uuid.uuid4().hex}", buckets=8)
-    rows = chatrows.with_upsert_ids(_documents(spark, sf)).select("id", "source", "row_no", "content", "chat_time")
+    # Each run stores a part of these rows; they are made once.
+    rows = staged(chatrows.with_upsert_ids(_documents(spark, sf)).select("id", "source", "row_no", "content", "chat_time"))
     store.open("chat")
     runs = (
         ("stored", F.col("source") <= STORED_UNTIL), ("incoming", F.col("source") >= INCOMING_FROM), ("again", F.col("source") == TRACKED_BEFORE)

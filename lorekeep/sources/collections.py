@@ -141,18 +141,28 @@ class Collections:
 
         What is stored is neither read nor written: the rows are a change of their own, and readers
         take the latest change of an id. Running it again with the same rows gives the same records.
-        No rows are no change. One writer at a time.
+        No rows are no change. One writer at a time. What `rows` comes from is worked out once: whether there
+        were any shows in what was written.
         """
-        if rows.isEmpty():
-            return 0
         if not self.has_rows(name):
             self._write(name, self._bucketed(name, rows), sort_by=sort_by)
+            self._dropped_if_empty(self._rows(name))
             return 0
         done = [int(c.removeprefix("change=")) for c in files.children(self.spark, self._changes(name)) if c.startswith("change=")]
         change = max(done, default=0) + 1
         even = self._bucketed(name, rows).hint("rebalance", "bucket")
         even.write.partitionBy("bucket").parquet(f"{self._changes(name)}/change={change}")
-        return change
+        return 0 if self._dropped_if_empty(f"{self._changes(name)}/change={change}", self._changes(name)) else change
+
+    def _dropped_if_empty(self, path: str, *around: str) -> bool:
+        """Delete a folder that no bucket was written to, then the folders around it that this leaves empty."""
+        if any(c.startswith("bucket=") for c in files.children(self.spark, path)):
+            return False
+        files.delete(self.spark, path)
+        for folder in around:
+            if not files.children(self.spark, folder):
+                files.delete(self.spark, folder)
+        return True
 
     def compact(self, name: str, sort_by: str | None = "chat_time") -> None:
         """Bring changes into the stored rows: only buckets with a changed id are written anew.

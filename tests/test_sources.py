@@ -147,6 +147,27 @@ def test_collections(spark, tmp_path):
     assert store.delete("one") and not store.has_rows("one")
 
 
+def test_upserts_work_their_rows_out_once(spark, tmp_path):
+    store = Collections(spark, str(tmp_path), buckets=3)
+    store.open("c")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    for first in (0, 400):
+        rows = spark.range(first, first + 500, 1, 4).selectExpr("cast(id as string) as id", "'v' as v").mapInArrow(counted, "id string, v string")
+        store.upsert("c", rows)
+    assert seen.value == 1000 and store.read("c").count() == 900
+    assert store.upsert("c", rows.limit(0)) == 0 and store.read("c").count() == 900
+    store.compact("c")
+    assert store.upsert("c", rows.limit(0)) == 0 and store.read("c").count() == 900
+    store.open("new")
+    assert store.upsert("new", rows.limit(0)) == 0 and not store.has_rows("new")
+
+
 def test_upserts_write_what_comes_in(spark, tmp_path):
     store = Collections(spark, str(tmp_path / "store"), buckets=8)
     store.open("c")
