@@ -1,5 +1,7 @@
 """Nearest vectors, diverse selection, neighbours and the merged list against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +186,30 @@ def test_numbered_passages(spark):
     assert len(text) == 15 and text[0].startswith("[1] line 0 z") and len(text[0]) == 4 + 120
 
 
+def test_hashed_vectors_count_all_features(spark):
+    import hashlib
+    import re
+
+    from lorekeep.functions.vectors import hashed
+
+    texts = ["", " \x00\x01 ", "Ab aB,c_d\x7fÉté ɏɐ", "相关的 word×÷ÀÖ", "x🙂y © À", "a " * 300 + "À\u0301", "$1 \\ tail\n\t", None]
+    for dim in (64, 200):
+        column = hashed(F.col("t"), dim)
+        assert "array_remove" not in str(column) and "regexp_extract_all" not in str(column)
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", column.alias("v")).collect()
+        for i, v in rows:
+            if texts[i] is None:
+                assert v is None
+                continue
+            sums = [0] * dim
+            low = re.sub("[A-Z]", lambda m: m[0].lower(), texts[i])
+            for w in re.findall("[a-z0-9\u00c0-\u024f]+|[^\x00-\x7f]", low):
+                code = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (2 * dim)
+                sums[code % dim] += 1 if code < dim else -1
+            size = math.sqrt(sum(x * x for x in sums))
+            assert v == [math.floor(x * 1000 / size + 0.5) if size else 0 for x in sums], texts[i]
+
+
 def test_hashed_vectors_by_expression_and_on_the_driver(spark):
     texts = ["", "  \t", "Über die Straße, naïve CAFÉ x1", "我们去 Beijing 吧😀😀", "a a a b", "word " * 3000, "İI\n.,;"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, content string")
